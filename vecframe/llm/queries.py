@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, toxicity
+from . import chat, decontaminate, line_dedup, quality, toxicity
 from .common import table
 
 
@@ -38,5 +38,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_line_dedup": op10_line_dedup, "op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
 ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
