@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, line_dedup, quality, simhash, toxicity
+from . import chat, decontaminate, fingerprint, html_text, line_dedup, quality, simhash, toxicity
 from .common import table
 
 
@@ -50,5 +50,9 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op7_html_text": op7_html_text, "op5_simhash": op5_simhash, "op10_line_dedup": op10_line_dedup, "op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op7_html_text": op7_html_text, "op5_simhash": op5_simhash, "op10_line_dedup": op10_line_dedup, "op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
 ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
