@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, utf8
 
@@ -125,7 +126,7 @@ def dedup(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAVY_WORDS) -> Da
             cols = [c if i != place else pa.array(texts, pa.string()) for i, c in enumerate(part.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=[*part.schema.names[:-1], "__removed", "__runs"])
 
-    kinds = docs.schema.add("__removed", "long").add("__runs", "long")
+    kinds = T.StructType([*docs.schema.fields, T.StructField("__removed", T.LongType()), T.StructField("__runs", T.LongType())])
     return both.mapInArrow(work, kinds)
 
 
