@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, html_text, line_dedup, pieces, quality, simhash, toxicity
+from . import chat, decontaminate, fingerprint, html_text, line_dedup, pieces, quality, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -58,5 +58,9 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_fingerprint": op2_fingerprint, "op7_html_text": op7_html_text, "op5_simhash": op5_simhash, "op10_line_dedup": op10_line_dedup, "op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_suffix_dedup": op4_suffix_dedup, "op1_pieces": op1_pieces, "op2_fingerprint": op2_fingerprint, "op7_html_text": op7_html_text, "op5_simhash": op5_simhash, "op10_line_dedup": op10_line_dedup, "op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
 ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
