@@ -62,9 +62,9 @@ def gauge(spark, sf):
     return M.gauges(events(spark, sf).withColumn("at", F.struct("ts", "event_id")), ["event_type"], "at")
 
 
-@query("running_stats", "SELECT event_id, round(avg(value) OVER w, 4) AS mean, coalesce(min(nullif(value, 0)) OVER w, 0) AS least, coalesce(max(nullif(value, 0)) OVER w, 0) AS greatest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query("running_stats", "SELECT event_id, round(avg(value) OVER w, 10) AS mean, coalesce(min(nullif(value, 0)) OVER w, 0) AS least, coalesce(max(nullif(value, 0)) OVER w, 0) AS greatest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running(spark, sf):
-    return M.running(events(spark, sf), ["user_id"], ["ts", "event_id"]).select("event_id", F.round("mean", 4).alias("mean"), "least", "greatest")
+    return M.running(events(spark, sf), ["user_id"], ["ts", "event_id"]).select("event_id", F.round("mean", 10).alias("mean"), "least", "greatest")
 
 
 @query(
