@@ -8,6 +8,7 @@ where one text alone is larger, so memory does not follow the batch size.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,6 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as a compressed table beside the checkpoints."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values as UTF-8 bytes; null: empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -37,13 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, utf8
+from .common import slices, stored, utf8
 
 LENGTH = 100
 GRAM = 32
 RUN = 64
 #: Bytes of a shard that are sorted at once (whole fingerprints), and tuples a queue holds in memory.
-TAKEN = 8 << 20
+TAKEN = 2 << 20
 HELD = 1 << 18
 _P = 0x9FB21C651E98DF25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -209,9 +209,10 @@ def _names(x: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     nth = number[order]
     # substrings are compared by a hash of their bytes; they are neighbours if equal
     h = _BYTE[x]
-    place = np.arange(len(x)) - lms[np.clip(np.searchsorted(lms, np.arange(len(x)), "right") - 1, 0, None)]
-    power = np.cumprod(np.full(int(size.max()) + 1, _P, np.uint64)) if len(size) else np.ones(1, np.uint64)
-    total = np.add.reduceat(h * power[np.clip(place, 0, len(power) - 1)], lms)
+    whole = np.diff(np.append(lms, len(x)))
+    power = np.cumprod(np.full(int(whole.max()) + 1, _P, np.uint64))
+    place = np.arange(len(x) - lms[0]) - np.repeat(lms - lms[0], whole)
+    total = np.add.reduceat(h[lms[0] :] * power[place], lms - lms[0])
     key = _mixed(total + h[end] * np.uint64(0xC2B2AE3D27D4EB4F)) + size.astype(np.uint64)
     new = np.ones(len(order), bool)
     new[1:] = key[nth[1:]] != key[nth[:-1]]
@@ -232,7 +233,7 @@ def _ordered(name: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(len(rank), np.int64)
         after[: len(rank) - k] = rank[k:]
         key = rank * (len(rank) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(np.concatenate(([True], s[1:] != s[:-1])))
@@ -245,17 +246,36 @@ def suffix_order(x: np.ndarray, depth: int = LENGTH):
     n = len(x)
     if not n:
         return
+    # a place is S if the next different byte is greater; L at the end
     differs = np.flatnonzero(x[1:] != x[:-1])
-    nxt = np.searchsorted(differs, np.arange(n))
     small = np.zeros(n, bool)
-    some = nxt < len(differs)
-    j = differs[nxt[some]]
-    small[some] = x[j] < x[j + 1]
+    if len(differs):
+        size = np.diff(np.concatenate(([-1], differs)))
+        small[: differs[-1] + 1] = np.repeat(x[differs] < x[differs + 1], size)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    seeds = lms[_ordered(_names(x, small, lms), depth)] if len(lms) else lms
+    seeds = lms[_ordered(_names(x, small, lms), -(-depth // 2))] if len(lms) else lms  # an LMS substring has two bytes at least
     yield from _induce(x, small, seeds)
 
 
+def trimmed(x: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (numbers, places in x, windows) cut to what may repeat: from their first to their last window whose hash another one has."""
+    at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+    h = Hashes(x).hundred(at)
+    order = np.argsort(h)
+    s = h[order]
+    same = s[1:] == s[:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    hit = np.flatnonzero(twice)
+    run = np.repeat(np.arange(len(start)), count)[hit]
+    if not len(hit):
+        return run, run, run
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    last = np.append(first[1:], len(run)) - 1
+    return run[first], at[hit[first]], hit[last] - hit[first] + 1
+
+
 def later(x: np.ndarray, start: np.ndarray, count: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """x: texts of runs joined, with `count` windows from `start` on; rank: order of the runs.
 
@@ -399,23 +419,29 @@ def _compared(packed: DataFrame, runs_: DataFrame) -> DataFrame:
     def shard(batches):
         def done(parts):
             t = pa.Table.from_batches(parts)
-            low = t.column(0).to_numpy()
             texts = t.column(4).to_pylist()
             sizes = np.array([len(x) for x in texts])
             start = np.cumsum(sizes) - sizes
+            x = np.frombuffer(b"".join(texts), np.uint8)
+            del texts
             # rows come in the order of fingerprint, document and place, so their number is their rank
-            gone = later(np.frombuffer(b"".join(texts), np.uint8), start, sizes - LENGTH + 1, np.arange(len(texts)))
-            at = np.flatnonzero(gone)
-            if len(at):
-                which = np.searchsorted(start, at, "right") - 1
-                head = np.ones(len(at), bool)
-                head[1:] = (at[1:] != at[:-1] + 1) | (which[1:] != which[:-1])
+            run, place, count = trimmed(x, start, sizes - LENGTH + 1)
+            if not len(run):
+                return
+            size = count + LENGTH - 1
+            own = np.cumsum(size) - size
+            at = np.repeat(place - own, size) + np.arange(size.sum())
+            gone = np.flatnonzero(later(x[at], own, count, run))
+            if len(gone):
+                which = np.searchsorted(own, gone, "right") - 1
+                head = np.ones(len(gone), bool)
+                head[1:] = (gone[1:] != gone[:-1] + 1) | (which[1:] != which[:-1])
                 i = np.flatnonzero(head)
-                n = np.diff(np.append(i, len(at)))
-                rows = pa.array(which[i])
-                first = t.column(3).to_numpy()[which[i]] + at[i] - start[which[i]]
-                yield pa.RecordBatch.from_arrays([t.column(1).take(rows).combine_chunks(), t.column(2).take(rows).combine_chunks(), pa.array(first), pa.array(n.astype(np.int32))], names=["doc", "row", "first", "n"])
-            del low
+                n = np.diff(np.append(i, len(gone)))
+                rows = run[which[i]]
+                first = t.column(3).to_numpy()[rows] + place[which[i]] - start[rows] + gone[i] - own[which[i]]
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([t.column(1).take(take).combine_chunks(), t.column(2).take(take).combine_chunks(), pa.array(first), pa.array(n.astype(np.int32))], names=["doc", "row", "first", "n"])
 
         held, size, last = [], 0, None
         for part in slices(batches, "text", TAKEN // 2):
@@ -459,7 +485,7 @@ def marked(docs: DataFrame) -> DataFrame:
     """doc, row, z (the text packed), marks: array of (first, n), a row for each row of docs."""
     keyed = _keyed(docs)
     packed = _packed(keyed)
-    seen = durable(_classes(_found(keyed)))
+    seen = stored(_classes(_found(keyed)))
     part = _compared(packed, seen.where("compare"))
     marks = seen.where("not compare").select("doc", "row", "first", "n").unionByName(part)
     return _joined(packed, marks.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "n")).alias("marks")), "left")
