@@ -32,12 +32,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, utf8
+from .common import release, slices, stored, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -45,6 +44,8 @@ RUN = 64
 #: Bytes of a shard that are sorted at once (whole fingerprints), and tuples a queue holds in memory.
 TAKEN = 2 << 20
 HELD = 1 << 18
+#: Stands for a null doc_id.
+NONE = -(2**63)
 _P = 0x9FB21C651E98DF25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = ((np.arange(1, 257, dtype=np.uint64) * _MIX) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(9)))
@@ -318,23 +319,26 @@ def later(x: np.ndarray, start: np.ndarray, count: np.ndarray, rank: np.ndarray)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """doc, row, text; row tells rows with one doc_id apart, and is 0 where doc_ids are unique, so it costs no bytes."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash(text).alias("row"), text.alias("text"))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("i"))
+    repeated = ids.groupBy("i").count().where("count > 1").limit(1).count() > 0
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), (F.hash(text) if repeated else F.lit(0)).alias("row"), text.alias("text"))
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
-    """doc, row, z: the text packed."""
+    """k, row, z: the text packed; k is the doc_id, NONE for a null."""
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(t) for t in utf8(part.column(2))], pa.binary())], names=["doc", "row", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(0).fill_null(NONE), part.column(1), pa.array([press.compress(t) for t in utf8(part.column(2))], pa.binary())], names=["k", "row", "z"])
 
-    return keyed.mapInArrow(pack, "doc long, row int, z binary")
+    return keyed.mapInArrow(pack, "k long, row int, z binary")
 
 
 def _found(keyed: DataFrame) -> DataFrame:
-    """low, content, doc, row, first, n: the runs of all texts."""
+    """low, content, doc, row, at: the runs of all texts; at: first place << 8 | windows + 128."""
 
     def scan(batches):
         for part in slices(batches, "text", 2 << 20):
@@ -343,9 +347,9 @@ def _found(keyed: DataFrame) -> DataFrame:
             low, content, own, first, n = runs(np.frombuffer(b"".join(texts), np.uint8), ends, np.arange(len(texts)))
             begin = np.concatenate(([0], ends[:-1]))
             own_at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(content), part.column(0).take(own_at), part.column(1).take(own_at), pa.array(first - begin[own] if len(own) else first), pa.array(n.astype(np.int32))], names=["low", "content", "doc", "row", "first", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(content), part.column(0).take(own_at), part.column(1).take(own_at), pa.array((first - begin[own] if len(own) else first) << 8 | (n + 128))], names=["low", "content", "doc", "row", "at"])
 
-    return keyed.mapInArrow(scan, "low long, content long, doc long, row int, first long, n int")
+    return keyed.mapInArrow(scan, "low long, content long, doc long, row int, at long")
 
 
 def _classes(found: DataFrame) -> DataFrame:
@@ -366,7 +370,7 @@ def _classes(found: DataFrame) -> DataFrame:
             new[1:] |= content[1:] != content[:-1]
             new[0] |= content0 is None or content[0] != content0
             # rows with the place of their content's first row are that document again
-            place = np.stack([batch.column(i).cast(pa.int64()).fill_null(-(2**62)).to_numpy(zero_copy_only=False) for i in (2, 3, 4)])
+            place = np.stack([batch.column(i).cast(pa.int64()).fill_null(NONE).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]) >> np.array([[0], [0], [8]])
             heads = np.concatenate((place0[:, None] if place0 is not None else place[:, :1], place[:, np.flatnonzero(new)]), 1)
             head = heads[:, np.cumsum(new)]
             later_rows = np.flatnonzero(~new & (place != head).any(0))
@@ -374,7 +378,7 @@ def _classes(found: DataFrame) -> DataFrame:
             other = new & ~new_low  # the first of a second or later content
             group = np.cumsum(new_low)  # 0: goes on from the batch before
             several = np.bincount(group, other, group[-1] + 1) > 0
-            own = new & (batch.column(5).to_numpy() < 0)
+            own = new & ((batch.column(4).to_numpy() & 255) < 128)
             compare = np.flatnonzero(other | own | (new_low & several[group]))
             parts = []
             if open_row is not None and several[0] and group[0] == 0:
@@ -385,40 +389,54 @@ def _classes(found: DataFrame) -> DataFrame:
             if len(compare):
                 parts.append((batch.take(pa.array(compare)), True))
             for rows, flag in parts:
-                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:5], pc.abs(rows.column(5)), pa.array([flag] * rows.num_rows)], names=["low", "doc", "row", "first", "n", "compare"])
+                at = rows.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:4], pa.array(at >> 8), pa.array(np.abs((at & 255) - 128).astype(np.int32)), pa.array([flag] * rows.num_rows)], names=["low", "doc", "row", "first", "n", "compare"])
             if group[-1] > 0:
                 head = int(np.flatnonzero(new_low)[-1])
                 open_row = None if several[group[-1]] or own[head] else batch.slice(head, 1)
             low0, content0 = low[-1], content[-1]
 
-    near = found.repartition("low").sortWithinPartitions("low", "content", "doc", "row", "first")
+    near = found.repartition("low").sortWithinPartitions("low", "content", "doc", "row", "at")
     return near.mapInArrow(sift, "low long, doc long, row int, first long, n int, compare boolean")
 
 
-def _joined(packed: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    marks = marks.select(F.col("doc").alias("d"), F.col("row").alias("r"), "marks")
-    return packed.join(marks, F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), how).select("doc", "row", "z", "marks")
+def _by_document(marks: DataFrame, *fields: str) -> DataFrame:
+    """k, row, marks: distinct marks of each document; k is its doc_id, NONE for a null."""
+    k = F.coalesce("doc", F.lit(NONE)).alias("k")
+    return marks.select(k, "row", F.struct(*fields).alias("m")).groupBy("k", "row").agg(F.collect_set("m").alias("marks"))
 
 
-def _unpacked(batch: pa.RecordBatch, own: zstandard.ZstdDecompressor):
-    for doc, row, z, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-        yield doc, row, own.decompress(z) if z else b"", marks or []
+def _joined(packed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Both uses are left joins on the same keys, so they share one exchange of the texts, and the marks keep that of their grouping."""
+    return packed.join(marks.select(F.col("k").alias("k2"), F.col("row").alias("r2"), "marks"), (F.col("k") == F.col("k2")) & (F.col("row") == F.col("r2")), "left").select("k", "row", "z", "marks")
+
+
+def _unpacked(batch: pa.RecordBatch, own: zstandard.ZstdDecompressor, all_rows: bool = True):
+    for k, row, z, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+        if marks or all_rows:
+            yield None if k == NONE else k, row, own.decompress(z.as_buffer()), marks or []
 
 
 def _compared(packed: DataFrame, runs_: DataFrame) -> DataFrame:
     """doc, row, first, n: windows that also start earlier, of runs to compare."""
-    own = runs_.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "n", "low")).alias("marks"))
+    own = _by_document(runs_, "first", "n", "low")
 
     def texts(batches):
         own = zstandard.ZstdDecompressor()
         for part in slices(batches, "z", 2 << 20):
-            out = [(m["low"], doc, row, m["first"], text[m["first"] : m["first"] + m["n"] + LENGTH - 1]) for doc, row, text, marks in _unpacked(part, own) for m in marks]
+            out = [(m["low"], doc, row, m["first"], text[m["first"] : m["first"] + m["n"] + LENGTH - 1]) for doc, row, text, marks in _unpacked(part, own, False) for m in marks]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["low", "doc", "row", "first", "text"])
 
     def shard(batches):
         def done(parts):
             t = pa.Table.from_batches(parts)
+            # repeated rows of one document give a run more than once, next to each other
+            key = np.stack([t.column(i).cast(pa.int64()).fill_null(NONE).to_numpy() for i in range(4)])
+            fresh = np.ones(len(t), bool)
+            fresh[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+            if not fresh.all():
+                t = t.take(pa.array(np.flatnonzero(fresh)))
             texts = t.column(4).to_pylist()
             sizes = np.array([len(x) for x in texts])
             start = np.cumsum(sizes) - sizes
@@ -460,7 +478,7 @@ def _compared(packed: DataFrame, runs_: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    near = _joined(packed, own, "inner").mapInArrow(texts, "low long, doc long, row int, first long, text binary").repartition("low").sortWithinPartitions("low", "doc", "row", "first")
+    near = _joined(packed, own).mapInArrow(texts, "low long, doc long, row int, first long, text binary").repartition("low").sortWithinPartitions("low", "doc", "row", "first")
     return near.mapInArrow(shard, "doc long, row int, first long, n int")
 
 
@@ -482,13 +500,14 @@ def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc, row, z (the text packed), marks: array of (first, n), a row for each row of docs."""
+    """k, row, z (the text packed), marks: array of (first, n), a row for each row of docs."""
     keyed = _keyed(docs)
     packed = _packed(keyed)
     seen = stored(_classes(_found(keyed)))
+    release(docs.sparkSession)
     part = _compared(packed, seen.where("compare"))
     marks = seen.where("not compare").select("doc", "row", "first", "n").unionByName(part)
-    return _joined(packed, marks.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "n")).alias("marks")), "left")
+    return _joined(packed, _by_document(marks, "first", "n"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
