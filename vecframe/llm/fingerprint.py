@@ -84,9 +84,12 @@ def _cuts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         peak[1:] = label[1:] > label[:-1]
         peak[:-1] &= label[:-1] >= label[1:]
         out[lo:hi] = peak[lo - a : hi - a]
-    # the symbols next to a text's start have no labels of their own text; they never cut
+    # the symbols next to a text's start have no labels of their own text, and its last one has
+    # no neighbour there; they never cut
     for k in (1, 2, 3, 4):
         out[k:] &= ~first[:-k]
+    out[:-1] &= ~first[1:]
+    out[-1] = False
     return out | first
 
 
