@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprint, html_text, line_dedup, pieces, quality, simhash, suffix_dedup, toxicity
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
         F.col("__contaminated").alias("contaminated"),
-        F.col("__longest").alias("longest_match"),
     )
 
 
@@ -63,4 +63,3 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup, "op1_pieces": op1_pieces, "op2_fingerprint": op2_fingerprint, "op7_html_text": op7_html_text, "op5_simhash": op5_simhash, "op10_line_dedup": op10_line_dedup, "op6_toxicity": op6_toxicity, "op3_chat_format": op3_chat_format, "op8_quality": op8_quality, "op9_decontaminate": op9_decontaminate}
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
