@@ -88,10 +88,12 @@ def later_windows(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAVY_WORD
 
     found = texts.mapInArrow(scan, "least long, whole long, doc_id long, row long, first int, lines int")
     repeated = found.select("least").groupBy("least").count().where("count > 1").select("least")
-    near = found.join(repeated, "least", "left_semi")
+    # a window is one key, not two: the rows of a frequent fingerprint are then dealt anew after sums in
+    # each task, and both joins may be split where a key is frequent
+    near = found.join(repeated, "least", "left_semi").select(F.struct("least", "whole").alias("window"), "doc_id", "row", "first", "lines")
     start = F.struct("doc_id", "row", "first")
-    first = near.groupBy("least", "whole").agg(F.min(start).alias("start"), F.count("*").alias("n")).where("n > 1").select("least", "whole", "start")
-    return near.join(first, ["least", "whole"]).where(start > F.col("start")).select("doc_id", "row", "first", "lines")
+    first = near.groupBy("window").agg(F.min(start).alias("start"), F.count("*").alias("n")).where("n > 1").select("window", "start")
+    return near.join(first, "window").where(start > F.col("start")).select("doc_id", "row", "first", "lines")
 
 
 def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
