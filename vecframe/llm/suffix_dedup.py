@@ -10,7 +10,8 @@ the input.  The work is cut so that only what can repeat is sorted:
 2. Runs meet by fingerprint, in order.  A run alone is done.  A run whose whole content
    another run had before is later in every window.  The first run of each
    content is compared window by window if the fingerprint has other contents.
-3. The texts of those runs meet in shards by fingerprint.  A shard's windows are
+3. The texts of those runs meet in shards by fingerprint, or, where a fingerprint is
+   frequent, by a finer one that also has the bytes beside it.  A shard's windows are
    sorted by induced sorting: LMS substrings are sorted by
    induction and named, the string of names is ordered by its own recursion
    (by doubling, which ends at LENGTH bytes), and L and S suffixes are induced from it.
@@ -32,6 +33,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,10 @@ RUN = 64
 #: Bytes of a shard that are sorted at once (whole fingerprints), and tuples a queue holds in memory.
 TAKEN = 2 << 20
 HELD = 1 << 18
+#: A fingerprint of more runs than HOT is cut finer; at most MAX_HOT of them are broadcast.
+HOT, MAX_HOT = 2000, 200_000
+#: Bytes left and right of a fingerprint's string that all windows hold in which it stands in the first, second, third, last quarter.
+SIDES = ((0, 51), (17, 34), (34, 17), (51, 0))
 #: Stands for a null doc_id.
 NONE = -(2**63)
 _P = 0x9FB21C651E98DF25
@@ -417,14 +423,43 @@ def _unpacked(batch: pa.RecordBatch, own: zstandard.ZstdDecompressor, all_rows:
             yield None if k == NONE else k, row, own.decompress(z.as_buffer()), marks or []
 
 
+def parts_of(text: bytes, low: int) -> list[tuple[int, int, int]]:
+    """A run's text in parts by what its windows have beside the fingerprint's string: (finer fingerprint, first window, windows).
+
+    Equal windows have the string at the same place, so they share the bytes that SIDES names for that place, and meet again."""
+    x = np.frombuffer(text, np.uint8)
+    wide = LENGTH - GRAM + 1
+    n = len(x) - LENGTH + 1
+    hashes = Hashes(x)
+    places = np.flatnonzero(_mixed(hashes.wide).view(np.int64) == low)
+    window = np.arange(n)
+    at = places[np.searchsorted(places, window)]  # the leftmost one in each window
+    side = np.minimum((at - window) * len(SIDES) // wide, len(SIDES) - 1)
+    change = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (side[1:] != side[:-1]))))
+    out = []
+    for i, j in zip(change.tolist(), [*change[1:].tolist(), n], strict=True):
+        a, b = SIDES[side[i]]
+        s, e = int(at[i]) - a, int(at[i]) + GRAM + b
+        out.append((xxhash.xxh3_64_intdigest(text[s:e], int(side[i])) - (1 << 63), i, j - i))
+    return out
+
+
 def _compared(packed: DataFrame, runs_: DataFrame) -> DataFrame:
     """doc, row, first, n: windows that also start earlier, of runs to compare."""
-    own = _by_document(runs_, "first", "n", "low")
+    # fingerprints of more than HOT runs are dealt by finer ones; there are few, but the bound is checked
+    hot = runs_.groupBy("low").count().where(F.col("count") > HOT).select("low", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot) if hot.count() <= MAX_HOT else hot
+    own = _by_document(runs_.join(hot, "low", "left"), "first", "n", "low", "hot")
 
     def texts(batches):
         own = zstandard.ZstdDecompressor()
         for part in slices(batches, "z", 2 << 20):
-            out = [(m["low"], doc, row, m["first"], text[m["first"] : m["first"] + m["n"] + LENGTH - 1]) for doc, row, text, marks in _unpacked(part, own, False) for m in marks]
+            out = []
+            for doc, row, text, marks in _unpacked(part, own, False):
+                for m in marks:
+                    first, run = m["first"], text[m["first"] : m["first"] + m["n"] + LENGTH - 1]
+                    for low, i, n in parts_of(run, m["low"]) if m["hot"] else [(m["low"], 0, m["n"])]:
+                        out.append((low, doc, row, first + i, run[i : i + n + LENGTH - 1]))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["low", "doc", "row", "first", "text"])
 
