@@ -87,12 +87,13 @@ def later_windows(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAVY_WORD
             yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(whole), part.column(0).take(own), part.column(1).take(own), pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32))], names=["least", "whole", "doc_id", "row", "first", "lines"])
 
     found = texts.mapInArrow(scan, "least long, whole long, doc_id long, row long, first int, lines int")
-    repeated = found.select("least").groupBy("least").count().where("count > 1").select("least")
-    # a window is one key, not two: the rows of a frequent fingerprint are then dealt anew after sums in
-    # each task, and both joins may be split where a key is frequent
+    # aggregates group by another form of the key than the joins use, so both sides of a join have an
+    # exchange of its own, and adaptive execution may split what is frequent
+    repeated = found.select(F.struct("least").alias("g")).groupBy("g").count().where("count > 1").select("g.least")
     near = found.join(repeated, "least", "left_semi").select(F.struct("least", "whole").alias("window"), "doc_id", "row", "first", "lines")
     start = F.struct("doc_id", "row", "first")
-    first = near.groupBy("window").agg(F.min(start).alias("start"), F.count("*").alias("n")).where("n > 1").select("window", "start")
+    first = near.groupBy(F.struct("window.whole", "window.least").alias("g")).agg(F.min(start).alias("start"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(F.struct("g.least", "g.whole").alias("window"), "start")
     return near.join(first, "window").where(start > F.col("start")).select("doc_id", "row", "first", "lines")
 
 
