@@ -297,3 +297,38 @@ def test_plans(spark, sf):
     got = plan(registry.QUERIES["flt_eq"](spark, sf))
     assert "PushedFilters: [IsNotNull(source)" in got
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in got
+
+
+def test_rules_and_redaction(spark):
+    from vecframe.operators import rules
+
+    df = spark.createDataFrame([("DROP it",), ("plain",), ("a; <script>",), (None,)], "t string")
+    got = [r.b for r in df.select(rules.broken_rules(F.col("t")).alias("b")).collect()]
+    assert got == [["sql_injection"], [], ["xss", "command_injection"], []]
+    m = value(spark, rules.redact(F.create_map(F.lit("Token"), F.lit("x"), F.lit("b"), F.lit("y")), ["token"]))
+    assert m == {"Token": "[REDACTED]", "b": "y"}
+
+
+def test_timeout(spark):
+    from vecframe.operators.control import QueryTimeout, with_timeout
+
+    assert with_timeout(spark, lambda: spark.range(5).count(), 30) == 5
+    slow = F.udf(lambda x: __import__("time").sleep(20) or x, "long")
+    with pytest.raises(QueryTimeout):
+        with_timeout(spark, lambda: spark.range(2).select(slow("id")).collect(), 1)
+
+
+def test_sinks_and_summary(spark, tmp_path):
+    from vecframe.sources import sinks
+
+    df = spark.createDataFrame([("up", {"b": "2", "a": "1"}, 1.0)], "name string, labels map<string,string>, value double")
+    sinks.export(df, "prometheus", str(tmp_path / "p"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "p")).collect()] == ['up{a="1",b="2"} 1.0']
+    sinks.export(df, "log", str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l")).count() == 1
+    with pytest.raises(ValueError):
+        sinks.export(df, "graphite", str(tmp_path))
+    row = metrics.summary(spark.range(1, 101).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("value")), ["k"]).first()
+    assert row.n == 100 and row.quantiles[0] == 50.0
+    back = sinks.metadata_from_json(sinks.metadata_to_json(df, "labels"), "labels")
+    assert back.select(F.try_variant_get("labels", "$.a", "string").alias("x")).first().x == "1"

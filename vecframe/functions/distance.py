@@ -118,7 +118,8 @@ def score_rank_blend(d: Column, rank0: Column) -> Column:
 
 
 def metric_catalogue(spark: SparkSession):
-    rows = [(m, {"cosine": 0.0, "dotproduct": None}.get(m, 0.0), {"cosine": 2.0, "jaccard": 1.0}.get(m), True) for m in METRICS]
+    """Range of each metric; of the dot product, the greater one is the better (its distance is minus it)."""
+    rows = [(m, None if m == "dotproduct" else 0.0, {"cosine": 2.0, "jaccard": 1.0}.get(m), m != "dotproduct") for m in METRICS]
     return spark.createDataFrame(rows, "metric string, lowest double, highest double, lower_is_better boolean")
 
 

@@ -15,6 +15,47 @@ from ..functions.times import micros
 #: What is aggregated by default: name, window, functions.
 DEFAULTS = (("request_rate", "1 minute", ("sum", "avg", "max")), ("error_rate", "5 minutes", ("sum", "avg")), ("latency", "5 minutes", ("p50", "p95", "p99")))
 
+_SIZES = (1024, 4096, 16384, 65536, 262144, 1048576, 4194304, 16777216)
+_SECONDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
+#: Instruments by name: kind, labels, bucket bounds.
+INSTRUMENTS = {
+    "service_up": ("gauge", "service instance version", ()),
+    "service_info": ("gauge", "service version instance build_time git_commit", ()),
+    "request_count_total": ("counter", "service method endpoint status protocol", ()),
+    "request_duration_seconds": ("histogram", "service method endpoint protocol", _SECONDS),
+    "request_size_bytes": ("histogram", "service method endpoint", _SIZES),
+    "response_size_bytes": ("histogram", "service method endpoint", _SIZES),
+    "search_count_total": ("counter", "service type cluster", ()),
+    "search_duration_seconds": ("histogram", "service type cluster", (0.001, 0.01, 0.1, 1.0, 10.0, 60.0)),
+    "search_results_count": ("histogram", "service type cluster", (1, 10, 100, 1000, 10000)),
+    "search_errors_total": ("counter", "service type cluster error_type", ()),
+    "storage_vectors_total": ("gauge", "service cluster node", ()),
+    "storage_segments_total": ("gauge", "service cluster node", ()),
+    "storage_size_bytes": ("gauge", "service cluster node", ()),
+    "storage_operations_total": ("counter", "service operation cluster node", ()),
+    "storage_operation_duration_seconds": ("histogram", "service operation cluster node", (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0)),
+    "cluster_nodes_total": ("gauge", "service cluster status", ()),
+    "cluster_replicas_total": ("gauge", "service cluster status", ()),
+}
+
+
+def observe(df: DataFrame, name: str) -> DataFrame:
+    """The series of one instrument from raw metrics (name, labels, value, ts): sums, last values or buckets by labels."""
+    kind, _, bounds = INSTRUMENTS[name]
+    rows = df.where(F.col("name") == name).withColumn("label", label_key(F.col("labels")))
+    if kind == "histogram":
+        return histogram(rows, list(bounds), ["label"])
+    return counters(rows, ["label"]) if kind == "counter" else gauges(rows, ["label"])
+
+
+def summary(df: DataFrame, by: list[str], quantiles: tuple[float, ...] = (0.5, 0.9, 0.99), value: str = "value", accuracy: int = 10_000) -> DataFrame:
+    """Quantiles of a sketch, count and sum: for groups too large to rank."""
+    return df.groupBy(*by).agg(F.percentile_approx(value, list(quantiles), accuracy).alias("quantiles"), F.count(value).alias("n"), F.sum(value).alias("sum"))
+
+
+def idle_connections(df: DataFrame, now: Column, timeout_s: float, last: str = "last_active") -> DataFrame:
+    return df.where(micros(now) - micros(F.col(last)) >= int(timeout_s * 1e6))
+
 
 def label_key(labels: Column) -> Column:
     """Labels in the order of their names, as one string."""

@@ -129,3 +129,17 @@ _machine("fixed_limiter", S.FixedWindow(3, 36_000, 1))
 _machine("load_circuit", S.LoadCircuit(0.9, 0.5), "load")
 _machine("circuit_breaker", S.CircuitBreaker(2, 2, 7200), "ok")
 _machine("consecutive_health", S.ConsecutiveHealth(), "ok")
+
+
+@query("instrument_series", "SELECT 'cluster=' || event_type || ',service=' || CAST(user_id % 3 AS VARCHAR) AS label, le, CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events, (VALUES (1.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE), (1000.0::DOUBLE), (10000.0::DOUBLE), ('inf'::DOUBLE)) t(le) GROUP BY ALL")
+def instrument(spark, sf):
+    labels = F.create_map(F.lit("service"), (F.col("user_id") % 3).cast("string"), F.lit("cluster"), F.col("event_type"))
+    raw = events(spark, sf).select(F.lit("search_results_count").alias("name"), labels.alias("labels"), "value", "ts")
+    return M.observe(raw, "search_results_count")
+
+
+@query("idle_connections", f"SELECT user_id FROM events GROUP BY user_id HAVING epoch({_NOW} - max(ts)) >= 3600")
+def idle(spark, sf):
+    e = events(spark, sf)
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    return M.idle_connections(e.groupBy("user_id").agg(F.max("ts").alias("last_active")), now, 3600).select("user_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters as L
-from ..operators import validate
+from ..operators import rules, validate
 from .registry import query, table, vectors
 
 
@@ -79,3 +79,8 @@ def variant_schema(spark, sf):
 @query("size_estimate", "SELECT vec_id AS id, CAST(octet_length(encode(CAST(vec_id AS VARCHAR))) + 4 * len(embedding) + 16 + 24 AS BIGINT) AS bytes FROM embeddings")
 def size(spark, sf):
     return vectors(spark, sf).select("id", validate.size_estimate(F.col("id").cast("string"), F.col("data"), F.lit(1)).alias("bytes"))
+
+
+@query("request_rules", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in rules.RULES) + "], lambda x: x IS NOT NULL), ',') AS broken FROM documents")
+def request_rules(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(rules.broken_rules(F.col("text")), ",").alias("broken"))

@@ -102,6 +102,17 @@ class VectorStore:
     def ids(self) -> DataFrame:
         return self.read().select("id")
 
+    def count(self) -> int:
+        return self.read().count()
+
+    def compression_ratio(self) -> float:
+        """Bytes of the table's files over those of its numbers."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.vectors)
+        size = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        raw = self.read().agg(F.sum(4 * F.size("data"))).first()[0] or 0
+        return size / raw if raw else 0.0
+
     def page(self, limit: int = 100, offset: int = 0) -> DataFrame:
         return self.read().orderBy("id").offset(offset).limit(limit)
 
