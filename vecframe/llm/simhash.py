@@ -251,14 +251,19 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     return near.mapInArrow(meet, "u long, v long")
 
 
+#: Stands for a null doc_id in joins.
+NONE = -(2**63)
+
+
 def clustered(docs: DataFrame) -> DataFrame:
-    """doc_id, __fp, __component: one row for each row of docs."""
-    marked = durable(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "__fp"))
+    """doc_id, __fp, __text (a hash), __root, __component: one row for each row of docs; __root names a component, __component is its id."""
+    own = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    marked = durable(own.select("doc_id", "__fp", F.xxhash64("text").alias("__text")))
     nodes = marked.groupBy("__fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(nodes, nodes.count()))
-    rooted = nodes.join(linked.select(F.col("u").alias("__fp"), F.col("v").alias("root")), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("__component"))
-    return marked.join(rooted.join(least, "root").select("__fp", "__component"), "__fp")
+    rooted = nodes.join(linked.select(F.col("u").alias("__fp"), F.col("v").alias("__root")), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
+    least = rooted.groupBy("__root").agg(F.min("least").alias("__component"))
+    return marked.join(rooted.join(least, "__root").select("__fp", "__root", "__component"), "__fp")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -270,11 +275,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, one row of it, with its own columns.
 
     In a component whose doc_ids are all null one of its rows stays."""
-    got = clustered(docs)
-    kept = got.where(F.col("doc_id").eqNullSafe(F.col("__component"))).groupBy(F.col("__component").alias("__id")).agg(F.min("__fp").alias("__own"))
-    whole = fingerprints(docs)
-    both = whole.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")))
-    return both.dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    number = lambda c: F.coalesce(c, F.lit(NONE))
+    first = clustered(docs).where(F.col("doc_id").eqNullSafe(F.col("__component")))
+    kept = first.groupBy("__root").agg(F.min(F.struct(number(F.col("doc_id")).alias("__k"), "__text")).alias("m")).select("m.*")
+    rows = docs.withColumns({"__k": number(F.col("doc_id").cast("long")), "__text": F.xxhash64("text")})
+    # repeated rows are next to each other after the join, which dealt them by the same keys
+    return rows.join(kept, ["__k", "__text"]).dropDuplicates(["__k", "__text"]).select(*docs.columns)
 
 
 def brute_force(docs: list[tuple[int, str | None]], budget: int = BUDGET) -> list[tuple]:
