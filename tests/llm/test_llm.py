@@ -146,7 +146,7 @@ def test_queues_spill(monkeypatch):
     assert got.tolist() == sorted(range(len(x)), key=lambda i, b=x.tobytes(): b[i:])
 
 
-@pytest.mark.parametrize("hot", [1, 2000])
+@pytest.mark.parametrize("hot", [1, 50_000])
 def test_suffix_dedup(make_docs, corpus, clashing, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     assert rows(suffix_dedup.digest(clashing(make_docs(corpus)))) == sorted(suffix_dedup.brute_force(corpus), key=repr)

@@ -46,8 +46,8 @@ RUN = 64
 #: Bytes of a shard that are sorted at once (whole fingerprints), and tuples a queue holds in memory.
 TAKEN = 2 << 20
 HELD = 1 << 18
-#: A fingerprint of more runs than HOT is cut finer; at most MAX_HOT of them are broadcast.
-HOT, MAX_HOT = 2000, 200_000
+#: A fingerprint of more contents than HOT is cut finer; at most MAX_HOT of them are broadcast.
+HOT, MAX_HOT = 50_000, 200_000
 #: Bytes left and right of a fingerprint's string that all windows hold in which it stands in the first, second, third, last quarter.
 SIDES = ((0, 51), (17, 34), (34, 17), (51, 0))
 #: Stands for a null doc_id.
@@ -359,12 +359,14 @@ def _found(keyed: DataFrame) -> DataFrame:
 
 
 def _classes(found: DataFrame) -> DataFrame:
-    """Runs that repeat: all of a later run of equal content, and (compare) the first of each content where a fingerprint has several."""
+    """Runs that repeat: all of a later run of equal content, and (compare) the first of each content where a fingerprint has several.
+
+    A row whose compare is null says that its fingerprint has more than HOT contents."""
 
     def sift(batches):
         # the run before this batch's first row: its fingerprint and content, and the first row of the
         # fingerprint if it is still open whether there are other contents
-        low0, content0, open_row, place0 = None, None, None, None
+        low0, content0, open_row, place0, many = None, None, None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -384,6 +386,11 @@ def _classes(found: DataFrame) -> DataFrame:
             other = new & ~new_low  # the first of a second or later content
             group = np.cumsum(new_low)  # 0: goes on from the batch before
             several = np.bincount(group, other, group[-1] + 1) > 0
+            contents = np.bincount(group, new, group[-1] + 1)
+            before = np.zeros(len(contents), np.int64)
+            before[0] = many
+            crossed = np.flatnonzero((before <= HOT) & (before + contents > HOT))
+            many = int(before[-1] + contents[-1])
             own = new & ((batch.column(4).to_numpy() & 255) < 128)
             compare = np.flatnonzero(other | own | (new_low & several[group]))
             parts = []
@@ -394,9 +401,11 @@ def _classes(found: DataFrame) -> DataFrame:
                 parts.append((batch.take(pa.array(later_rows)), False))
             if len(compare):
                 parts.append((batch.take(pa.array(compare)), True))
+            if len(crossed):
+                parts.append((batch.take(pa.array(np.searchsorted(group, crossed))), None))
             for rows, flag in parts:
                 at = rows.column(4).to_numpy()
-                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:4], pa.array(at >> 8), pa.array(np.abs((at & 255) - 128).astype(np.int32)), pa.array([flag] * rows.num_rows)], names=["low", "doc", "row", "first", "n", "compare"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:4], pa.array(at >> 8), pa.array(np.abs((at & 255) - 128).astype(np.int32)), pa.array([flag] * rows.num_rows, pa.bool_())], names=["low", "doc", "row", "first", "n", "compare"])
             if group[-1] > 0:
                 head = int(np.flatnonzero(new_low)[-1])
                 open_row = None if several[group[-1]] or own[head] else batch.slice(head, 1)
@@ -444,12 +453,13 @@ def parts_of(text: bytes, low: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _compared(packed: DataFrame, runs_: DataFrame) -> DataFrame:
-    """doc, row, first, n: windows that also start earlier, of runs to compare."""
-    # fingerprints of more than HOT runs are dealt by finer ones; there are few, but the bound is checked
-    hot = runs_.groupBy("low").count().where(F.col("count") > HOT).select("low", F.lit(True).alias("hot"))
-    hot = F.broadcast(hot) if hot.count() <= MAX_HOT else hot
-    own = _by_document(runs_.join(hot, "low", "left"), "first", "n", "low", "hot")
+def _compared(packed: DataFrame, runs_: DataFrame, hot: DataFrame) -> DataFrame:
+    """doc, row, first, n: windows that also start earlier, of runs to compare; hot has the fingerprints to cut finer."""
+    spark = runs_.sparkSession
+    found = [r.low for r in hot.limit(MAX_HOT + 1).collect()]  # there is one for HOT runs at most
+    hot = F.broadcast(spark.createDataFrame([(x, True) for x in found], "low long, hot boolean")) if len(found) <= MAX_HOT else hot.select("low", F.lit(True).alias("hot"))
+    runs_ = runs_.join(hot, "low", "left") if found else runs_.withColumn("hot", F.lit(False))
+    own = _by_document(runs_, "first", "n", "low", "hot")
 
     def texts(batches):
         own = zstandard.ZstdDecompressor()
@@ -540,7 +550,7 @@ def marked(docs: DataFrame) -> DataFrame:
     packed = _packed(keyed)
     seen = stored(_classes(_found(keyed)))
     release(docs.sparkSession)
-    part = _compared(packed, seen.where("compare"))
+    part = _compared(packed, seen.where("compare"), seen.where("compare is null").select("low"))
     marks = seen.where("not compare").select("doc", "row", "first", "n").unionByName(part)
     return _joined(packed, _by_document(marks, "first", "n"))
 
