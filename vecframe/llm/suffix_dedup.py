@@ -33,6 +33,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -264,9 +265,12 @@ def suffix_order(x: np.ndarray, depth: int = LENGTH):
     yield from _induce(x, small, seeds)
 
 
-def trimmed(x: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (numbers, places in x, windows) cut to what may repeat: from their first to their last window whose hash another one has."""
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+def trimmed(x: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (numbers, places in x, windows) cut to what may repeat: from their first to their last window whose hash another one has.
+
+    Also the hashes of those windows, one run after another."""
+    before = np.concatenate(([0], np.cumsum(count)[:-1]))
+    at = np.repeat(start - before, count) + np.arange(count.sum())
     h = Hashes(x).hundred(at)
     order = np.argsort(h)
     s = h[order]
@@ -277,47 +281,43 @@ def trimmed(x: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.nda
     hit = np.flatnonzero(twice)
     run = np.repeat(np.arange(len(start)), count)[hit]
     if not len(hit):
-        return run, run, run
+        return run, run, run, h[:0]
     first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     last = np.append(first[1:], len(run)) - 1
-    return run[first], at[hit[first]], hit[last] - hit[first] + 1
+    n = hit[last] - hit[first] + 1
+    keep = np.repeat(hit[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return run[first], at[hit[first]], n, h[keep]
 
 
-def later(x: np.ndarray, start: np.ndarray, count: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """x: texts of runs joined, with `count` windows from `start` on; rank: order of the runs.
+def later(x: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """x: texts of runs joined in their order, with `count` windows from `start` on, and the windows' hashes.
 
-    Whether each place of x begins a window that also starts in an earlier run,
-    or earlier in its own."""
-    run_of = np.full(len(x), -1, np.int64)
+    Whether each place of x begins a window that also starts before it in x."""
     at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    run_of[at] = np.repeat(np.arange(len(start)), count)
-    hashes = Hashes(x)
+    number = np.full(len(x), -1, np.int64)
+    number[at] = np.arange(len(at))
     out = np.zeros(len(x), bool)
     held: np.ndarray | None = None
-    mark = np.uint64(0)
 
-    def settle(places: np.ndarray, group: np.ndarray) -> None:
-        r = run_of[places]
-        order = np.lexsort((places, rank[r], group))
-        first = np.ones(len(order), bool)
-        g = group[order]
-        first[1:] = g[1:] != g[:-1]
-        out[places[order][~first]] = True
+    def settle(places: np.ndarray, first: np.ndarray) -> None:
+        # runs are in order, so the first of equal windows is the one with the least place
+        out[places] = True
+        out[np.minimum.reduceat(places, first)] = False
 
     # blocks come in order; the last group of a block may go on in the next
     for block in suffix_order(x):
-        block = block[run_of[block] >= 0]
+        block = block[number[block] >= 0]
         if not len(block):
             continue
         if held is not None:
             block = np.concatenate((held, block))
-        h = hashes.hundred(block)
-        group = np.cumsum(np.concatenate(([True], h[1:] != h[:-1])))
-        whole = int(np.searchsorted(group, group[-1]))
-        settle(block[:whole], group[:whole])
-        held = block[whole:]
-    if held is not None and len(held):
-        settle(held, np.zeros(len(held), np.int64))
+        h = hashes[number[block]]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        if len(first) > 1:
+            settle(block[: first[-1]], first[:-1])
+        held = block[first[-1] :]
+    if held is not None:
+        settle(held, np.zeros(1, np.int64))
     return out
 
 
@@ -426,10 +426,18 @@ def _joined(packed: DataFrame, marks: DataFrame) -> DataFrame:
     return packed.join(marks.select(F.col("k").alias("k2"), F.col("row").alias("r2"), "marks"), (F.col("k") == F.col("k2")) & (F.col("row") == F.col("r2")), "left").select("k", "row", "z", "marks")
 
 
-def _unpacked(batch: pa.RecordBatch, own: zstandard.ZstdDecompressor, all_rows: bool = True):
-    for k, row, z, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-        if marks or all_rows:
-            yield None if k == NONE else k, row, own.decompress(z.as_buffer()), marks or []
+def _unpacked(batch: pa.RecordBatch, own: zstandard.ZstdDecompressor):
+    """Number of the row in the batch, text, from and to of its marks in the flat arrays of marks."""
+    offsets = batch.column(3).offsets.to_numpy()
+    valid = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+    base = int(offsets[0])
+    for i, z in enumerate(batch.column(2)):
+        yield i, z, (int(offsets[i]) - base, int(offsets[i + 1]) - base) if valid[i] else (0, 0)
+
+
+def _flat(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The fields of all marks of a batch, as arrays."""
+    return [f.to_numpy(zero_copy_only=False) for f in batch.column(3).flatten().flatten()]
 
 
 def parts_of(text: bytes, low: int) -> list[tuple[int, int, int]]:
@@ -464,14 +472,30 @@ def _compared(packed: DataFrame, runs_: DataFrame, hot: DataFrame) -> DataFrame:
     def texts(batches):
         own = zstandard.ZstdDecompressor()
         for part in slices(batches, "z", 2 << 20):
-            out = []
-            for doc, row, text, marks in _unpacked(part, own, False):
-                for m in marks:
-                    first, run = m["first"], text[m["first"] : m["first"] + m["n"] + LENGTH - 1]
-                    for low, i, n in parts_of(run, m["low"]) if m["hot"] else [(m["low"], 0, m["n"])]:
-                        out.append((low, doc, row, first + i, run[i : i + n + LENGTH - 1]))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["low", "doc", "row", "first", "text"])
+            first, n, low, hot = _flat(part)
+            source, lows, firsts, out = [], [], [], []
+            for i, z, (a, b) in _unpacked(part, own):
+                if a == b:
+                    continue
+                text = own.decompress(z.as_buffer())
+                if not hot[a:b].any():
+                    f = first[a:b]
+                    out += [text[s:e] for s, e in zip(f.tolist(), (f + n[a:b] + (LENGTH - 1)).tolist(), strict=True)]
+                    source.append(np.full(b - a, i))
+                    lows.append(low[a:b])
+                    firsts.append(f)
+                    continue
+                for f, k, key, finer in zip(first[a:b].tolist(), n[a:b].tolist(), low[a:b].tolist(), hot[a:b].tolist(), strict=True):
+                    run = text[f : f + k + LENGTH - 1]
+                    for x, at, m in parts_of(run, key) if finer else [(key, 0, k)]:
+                        out.append(run[at : at + m + LENGTH - 1])
+                        source.append(np.array([i]))
+                        lows.append(np.array([x]))
+                        firsts.append(np.array([f + at]))
+            if out:
+                take = pa.array(np.concatenate(source))
+                k = part.column(0).take(take)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pc.if_else(pc.equal(k, NONE), None, k), part.column(1).take(take), pa.array(np.concatenate(firsts)), pa.array(out, pa.binary())], names=["low", "doc", "row", "first", "text"])
 
     def shard(batches):
         def done(parts):
@@ -487,14 +511,14 @@ def _compared(packed: DataFrame, runs_: DataFrame, hot: DataFrame) -> DataFrame:
             start = np.cumsum(sizes) - sizes
             x = np.frombuffer(b"".join(texts), np.uint8)
             del texts
-            # rows come in the order of fingerprint, document and place, so their number is their rank
-            run, place, count = trimmed(x, start, sizes - LENGTH + 1)
+            # rows come in the order of fingerprint, document and place
+            run, place, count, hashes = trimmed(x, start, sizes - LENGTH + 1)
             if not len(run):
                 return
             size = count + LENGTH - 1
             own = np.cumsum(size) - size
             at = np.repeat(place - own, size) + np.arange(size.sum())
-            gone = np.flatnonzero(later(x[at], own, count, run))
+            gone = np.flatnonzero(later(x[at], own, count, hashes))
             if len(gone):
                 which = np.searchsorted(own, gone, "right") - 1
                 head = np.ones(len(gone), bool)
@@ -529,19 +553,15 @@ def _compared(packed: DataFrame, runs_: DataFrame, hot: DataFrame) -> DataFrame:
 
 def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """The remaining bytes; bytes removed; maximal removed runs.  A mark is a first window and a count."""
-    spans: list[list[int]] = []
-    for first, n in sorted(marks):
-        end = first + n + LENGTH - 1
-        if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], end)
-        else:
-            spans.append([first, end])
-    keep, at = [], 0
-    for s, e in spans:
-        keep.append(text[at:s])
-        at = e
-    keep.append(text[at:])
-    return b"".join(keep), sum(e - s for s, e in spans), len(spans)
+    if not len(marks):
+        return text, 0, 0
+    m = np.asarray(marks, np.int64)
+    m = m[np.argsort(m[:, 0], kind="stable")]
+    end = np.maximum.accumulate(m[:, 0] + m[:, 1] + LENGTH - 1)
+    head = np.flatnonzero(np.concatenate(([True], m[1:, 0] > end[:-1])))
+    starts, ends = m[head, 0].tolist(), end[np.append(head[1:], len(m)) - 1].tolist()
+    keep = [text[e:s] for e, s in zip([0, *ends], [*starts, len(text)], strict=True)]
+    return b"".join(keep), sum(ends) - sum(starts), len(starts)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -561,10 +581,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     def work(batches):
         own = zstandard.ZstdDecompressor()
         for part in slices(batches, "z", 2 << 20):
-            rows = [(doc, len(text), *cut(text, [(m["first"], m["n"]) for m in marks])) for doc, _, text, marks in _unpacked(part, own)]
-            kept = [r[2] for r in rows]
+            marks = np.stack(_flat(part), 1).astype(np.int64)
+            texts = [(own.decompress(z.as_buffer()), a, b) for _, z, (a, b) in _unpacked(part, own)]
+            rows = [(len(t), *cut(t, marks[a:b])) for t, a, b in texts]
+            kept = [r[1] for r in rows]
+            k = part.column(0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(kept, pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 3, 4)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+                [pc.if_else(pc.equal(k, NONE), None, k), pa.array(kept, pa.binary()), *(pa.array([r[j] for r in rows], pa.int64()) for j in (0, 2, 3)), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())],
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
