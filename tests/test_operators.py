@@ -332,3 +332,24 @@ def test_sinks_and_summary(spark, tmp_path):
     assert row.n == 100 and row.quantiles[0] == 50.0
     back = sinks.metadata_from_json(sinks.metadata_to_json(df, "labels"), "labels")
     assert back.select(F.try_variant_get("labels", "$.a", "string").alias("x")).first().x == "1"
+
+
+def test_variant_schema(spark):
+    rows = ['{"n":5,"s":"abc","d":"2024-01-01","a":[1],"o":{"x":1},"b":true,"z":1}', '{"n":"x","s":5,"d":"nope","a":1,"o":2,"b":"t"}', "{}"]
+    df = spark.createDataFrame([(r,) for r in rows], "j string").select(F.parse_json("j").alias("m"))
+    R = validate.Rule
+    rules = {"n": R("int", required=True, min=6), "s": R("string", max=2), "d": R("datetime"), "a": R("array"), "o": R("object"), "b": R("bool", enum=(True,))}
+    got = [r.e for r in df.select(validate.schema_errors(F.col("m"), rules, strict=True).alias("e")).collect()]
+    assert got == [["n: min", "s: max", "z: unknown"], ["n: type", "s: type", "d: type", "a: type", "o: type", "b: type", "b: enum"], ["n: required"]]
+    first = df.select(validate.get_int(F.col("m"), "n").alias("i"), validate.get_string(F.col("m"), "s").alias("s"), validate.get_bool(F.col("m"), "b").alias("b")).first()
+    assert (first.i, first.s, first.b) == (5, "abc", True)
+    m = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    assert value(spark, validate.set_keys(m, {"a": "9", "c": "3"})) == {"a": "9", "b": "2", "c": "3"}
+    assert value(spark, validate.delete_keys(m, ["a"])) == {"b": "2"}
+
+
+def test_buffer_eviction(spark):
+    df = spark.createDataFrame([(i, i % 7) for i in range(20)], "id int, access_count int").withColumns({"last_access": F.col("id"), "added_at": -F.col("id")})
+    assert sorted(r.id for r in df.join(stateful.evict(df, "lfu", 20), "id", "left_anti").collect()) == [0, 7]
+    assert sorted(r.id for r in df.join(stateful.evict(df, "fifo", 20), "id", "left_anti").collect()) == [18, 19]
+    assert stateful.evict(df, "lru", 21).count() == 20

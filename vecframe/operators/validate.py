@@ -66,6 +66,13 @@ class Rule:
     enum: tuple = ()
 
 
+def _printed(x: Any) -> str:
+    """An enum value as metadata prints it."""
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
+
+
 _KINDS = {"string": "^STRING$", "int": "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*,0.*)$", "float": "^(DOUBLE|FLOAT|DECIMAL.*|BIGINT|INT)$", "bool": "^BOOLEAN$", "array": "^ARRAY.*$", "object": "^OBJECT.*$"}
 
 
@@ -90,7 +97,7 @@ def schema_errors(metadata: Column, rules: dict[str, Rule], strict: bool = False
         if rule.max is not None:
             out.append(F.when(v.isNotNull() & fits & (size > rule.max), f"{name}: max"))
         if rule.enum:
-            out.append(F.when(v.isNotNull() & ~text.isin([str(x) for x in rule.enum]), f"{name}: enum"))
+            out.append(F.when(v.isNotNull() & ~text.isin([_printed(x) for x in rule.enum]), f"{name}: enum"))
     if strict:
         keys = F.map_keys(F.try_variant_get(metadata, "$", "map<string,variant>"))
         extra = F.filter(keys, lambda k: ~k.isin(list(rules)))
@@ -110,7 +117,7 @@ def schema_errors_typed(columns: dict[str, tuple[Column, Rule]]) -> Column:
         if rule.max is not None:
             out.append(F.when(size > rule.max, f"{name}: max"))
         if rule.enum:
-            out.append(F.when(~c.cast("string").isin([str(x) for x in rule.enum]), f"{name}: enum"))
+            out.append(F.when(~c.cast("string").isin([_printed(x) for x in rule.enum]), f"{name}: enum"))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
