@@ -161,6 +161,8 @@ def test_strict_match(spark):
     assert f("n", "=", 1).count() == 1 and f("n", "=", "1").count() == 0
     with pytest.raises(Exception, match="needs numbers"):
         f("s", ">", 1).collect()
+    with pytest.raises(Exception, match="needs numbers"):
+        f("s", ">", "a").collect()
 
 
 def test_wire_metadata_is_text(spark):
@@ -295,7 +297,7 @@ def test_plans(spark, sf):
     assert "TakeOrderedAndProject" in plan(registry.QUERIES["knn_exact"](spark, sf))
     assert "WindowGroupLimit" in plan(registry.QUERIES["knn_batch"](spark, sf))
     got = plan(registry.QUERIES["flt_eq"](spark, sf))
-    assert "PushedFilters: [IsNotNull(source)" in got
+    assert "PushedFilters: [IsNotNull(source), EqualTo(source,src0)]" in got
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in got
 
 

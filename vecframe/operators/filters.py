@@ -90,6 +90,8 @@ class Value:
     number: Column
     printed: Column
     text: Column
+    plain: Column | None = None  # a typed column itself, and its kind
+    kind: str = ""
 
 
 class TypedFields:
@@ -106,9 +108,10 @@ class TypedFields:
         c, kind = F.col(self.columns[name]), self.types[self.columns[name]]
         if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
             n = c.cast("double")
-            return Value(c.isNotNull(), n, printed(n), none.cast("string"))
-        text = c if kind == "string" else none.cast("string")
-        return Value(c.isNotNull(), none.cast("double"), c.cast("string"), text)
+            return Value(c.isNotNull(), n, printed(n), none.cast("string"), c, "float" if kind in ("float", "double") else "int")
+        if kind == "string":
+            return Value(c.isNotNull(), none.cast("double"), c, c, c, "string")
+        return Value(c.isNotNull(), none.cast("double"), c.cast("string"), none.cast("string"))
 
 
 class MapFields:
@@ -175,12 +178,44 @@ def usable_pattern(p: Any) -> bool:
     return True
 
 
+def _direct(v: Value, op: str, x: Any) -> Column | None:
+    """The plain comparison of a typed column with a value of its kind, which a scan can take over; None if there is none."""
+    items = list(x) if isinstance(x, (list, tuple)) else [x]
+    if v.plain is None or not items or op in ("regex", "exists", "nexists") or (op in ("in", "nin")) != isinstance(x, (list, tuple)):
+        return None
+    if v.kind == "string":
+        if not all(isinstance(i, str) for i in items):
+            return None
+    elif op in ("contains", "ncontains", "startswith", "endswith") or not all(isinstance(i, (int, float)) and not isinstance(i, bool) and (v.kind == "float" or float(i).is_integer() and abs(i) < 1 << 62) for i in items):
+        return None
+    else:
+        items = [float(i) if v.kind == "float" else int(i) for i in items]
+    c, y = v.plain, items[0]
+    return {
+        "eq": lambda: c == y,
+        "ne": lambda: c != y,
+        "gt": lambda: c > y,
+        "ge": lambda: c >= y,
+        "lt": lambda: c < y,
+        "le": lambda: c <= y,
+        "in": lambda: c.isin(items),
+        "nin": lambda: ~c.isin(items),
+        "contains": lambda: c.contains(y),
+        "ncontains": lambda: ~c.contains(y),
+        "startswith": lambda: c.startswith(y),
+        "endswith": lambda: c.endswith(y),
+    }[op]()
+
+
 def condition(c: Condition, fields, regex: bool = True, strict: bool = False) -> Column:
     v, x, op = fields.get(c.field), c.value, c.operator
     if op == "exists":
         return F.coalesce(v.exists, F.lit(False))
     if op == "nexists":
         return ~F.coalesce(v.exists, F.lit(False))
+    ordered_text = strict and v.kind == "string" and op in ("gt", "ge", "lt", "le")
+    if not ordered_text and (plain := _direct(v, op, x)) is not None:
+        return v.plain.isNotNull() & plain  # false AND NULL is false, so no third value
     text = lambda f: F.coalesce(f, F.lit(False))
     if op in ("in", "nin"):
         if isinstance(x, (list, tuple)):
