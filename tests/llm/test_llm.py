@@ -93,6 +93,18 @@ def test_parsing_is_locally_consistent():
     assert (starts[8:4000] == starts[8 + 4000 * 262 : 4000 * 263]).all()
 
 
+@pytest.mark.parametrize("limit", [256, 2048])
+def test_near_copies_of_any_length(limit):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["an", "er", "th", "ou", "la"]) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    alike = []
+    for _ in range(20):
+        text = " ".join(rng.choice(words) for _ in range(900)).encode()[: limit - 6]
+        a, b = fingerprint.sketches([text, text + b" and so on"])
+        alike.append(fingerprint.likeness(a, b))
+    assert np.mean(alike) > 0.75 and min(alike) > 0.6
+
+
 def test_fingerprint_small_tables(make_docs):
     assert fingerprint.digest(make_docs([])).count() == 0
     one = fingerprint.digest(make_docs([(7, "abc" * 30)])).first()

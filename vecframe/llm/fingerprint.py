@@ -6,8 +6,7 @@ before it, taken again of the labels until they are small; a phrase begins at
 each local maximum.  A phrase's name is a hash of its symbols; names are the
 next level's symbols.  Cuts depend on a few symbols around them only, so equal
 substrings have equal phrases inside, whatever their offset.  The names of
-the levels from LEVEL on are a text's signatures, and of SHORT texts those of
-lower levels too.
+all levels are a text's signatures, whatever its length.
 
 A fingerprint keeps BINS minima of them (one permutation): in each bin,
 16 bits of the least name, 0000 if it has none.  The likeness of two
@@ -34,10 +33,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BINS = 64
-LEVEL = 3
 LEVELS = 6
-#: Texts of fewer bytes also have signatures from levels 1 and 2.
-SHORT = (256, 2048)
 CHUNK = 1 << 20
 #: Text of a bucket, in bytes, about.
 BUCKET = 8 << 20
@@ -130,17 +126,10 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         starts = np.flatnonzero(_cuts(codes, first))
         codes = _names(codes, starts)
         heads = np.searchsorted(starts, heads)
-        count = np.diff(np.append(heads, len(codes)))
-        if level < LEVEL:  # only of texts so short that they have few names above
-            count = np.where(sizes[full] < SHORT[level - 1], count, 0)
-            used = np.repeat(count > 0, np.diff(np.append(heads, len(codes))))
-        else:
-            used = slice(None)
-        own = np.repeat(full, count)
-        if len(own):
-            h = (codes[used] + np.uint64(level)) * _K1
-            h ^= h >> np.uint64(31)
-            np.minimum.at(out, own * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(6))
+        own = np.repeat(full, np.diff(np.append(heads, len(codes))))
+        h = (codes + np.uint64(level)) * _K1
+        h ^= h >> np.uint64(31)
+        np.minimum.at(out, own * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(6))
     least = out.reshape(-1, BINS)
     short = (least & np.uint64(0xFFFF)).astype(np.uint16)
     short[short == 0] = 1
