@@ -307,6 +307,21 @@ def test_html(html, text):
     assert html_text.main_text(html or "") == text
 
 
+def test_html_selects_by_threshold():
+    say = lambda n, k: [f"Sentence {i} of part {n} says a little more than the one before it, at least." for i in range(k)]
+    p = lambda lines: "".join(f"<p>{x}</p>" for x in lines)
+    a, b, lead = say("one", 8), say("two", 5), ["A lead that stands before the story and is as long as any sentence in it."]
+    menu = "<div><ul><li><a href=x>One</a><li><a href=y>Two</a><li><a href=z>Three</a></ul></div>"
+    for parts, html in (
+        ([a, ["Short."], b], f"{menu}<article>{p([*a, 'Short.'])}</article><article>{p(b)}</article>{menu}"),
+        ([a, b], f"<div>{menu}<article>{p(a)}</article></div><div><article>{p(b)}</article>{menu}</div>"),
+        ([lead, a, b], f"{menu}{p(lead)}<main><article>{p(a)}</article><div>{p(b)}</div></main>"),
+        ([a, b], f"{menu}<main>{p(a)}<div>{p(b)}</div></main>"),
+        ([lead, a, b], f"{menu}{p(lead)}<div>{p(a)}</div><div>{p(b)}</div>{menu}"),
+    ):
+        assert html_text.main_text(f"<html><body>{html}</body></html>").split("\n") == sum(parts, [])
+
+
 def test_html_frames(spark):
     df = spark.createDataFrame([(1, "u", "<p>é</p>"), (2, None, None), (1, "u", "<p>é</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert rows(html_text.digest(df), "page_id", "text", "n_chars") == sorted([(1, "é", 1), (2, "", 0), (1, "é", 1)], key=repr)

@@ -9,8 +9,8 @@ and tags, and those of links; its density is characters by tag, adjusted by the
 share of links.  The node with the largest sum of its children's densities
 is the centre; the least density on its path to the body is the
 threshold, and in each branch that reaches it the node with the largest sum
-is text, with all it holds but lists of links.  A centre inside an article or
-main element, or around one with most of its text, stands for that element.
+is text, with all it holds but lists of links.  Such a node inside an article,
+or inside a main element without articles, stands for that whole element.
 
 Blocks end at block-level tags.  Null and empty pages, and pages without
 text, give an empty string.  Repeated rows give repeated results.
@@ -210,6 +210,16 @@ def _blocks(node: Node, keep) -> list[str]:
     return out
 
 
+def _above(nodes, top: Node) -> set[int]:
+    """The ids of all nodes that hold one of these."""
+    out: set[int] = set()
+    for x in nodes:
+        while x is not top and id(x.up) not in out:
+            x = x.up
+            out.add(id(x))
+    return out
+
+
 def main_text(html: str) -> str:
     root = tree(html)
     _clean(root)
@@ -223,33 +233,32 @@ def main_text(html: str) -> str:
     inner = _walk(body)
     centre = max(inner, key=lambda x: x.total)
     low, x = centre.density, centre
-    path = [centre]
     while x is not body:
         x = x.up
-        path.append(x)
         low = min(low, x.density)
-    # a centre in an article stands for the article; one above a single article, too
-    home = next((x for x in reversed(path) if x.tag == "article"), None) or next((x for x in reversed(path) if x.tag == "main"), None)
-    if home is None:
-        under = [x for x in _walk(centre) if x.tag == "article"] or [x for x in _walk(centre) if x.tag == "main"]
-        if under:
-            big = max(under, key=lambda x: x.chars)
-            if 2 * big.chars >= centre.chars:
-                home = big
-    if home is not None:
-        return "\n".join(_blocks(home, lambda x: True))
-    # every branch that reaches the threshold gives its node with the largest sum; lists of links go
+    # every branch that reaches the threshold gives its node with the largest sum, widened to its article,
+    # or to a main element without articles; lists of links outside these go
     best: dict[int, Node] = {}
     for x in reversed(inner):
         best[id(x)] = max([x, *(best[id(k)] for k in x.kids if isinstance(k, Node))], key=lambda y: y.total)
-    marked = {id(centre)}
+    homes: dict[int, Node | None] = {id(body): None}
+    split = _above([x for x in inner if x.tag == "article"], body)
+    for x in inner:
+        if x is not body:
+            up = homes[id(x.up)]
+            own = x.tag == "article" or x.tag == "main" and id(x) not in split
+            homes[id(x)] = x if own and (up is None or up.tag == "main") else up
+    marked, whole = {id(homes[id(centre)] or centre)}, [homes[id(centre)]]
     for x in inner:
         if x.chars and x.density >= low:
             y = best[id(x)]
             while y.tag not in BLOCK and y is not body:
                 y = y.up
-            marked.add(id(y))
-    links = lambda x: x.tag in BLOCK and x.link_tags >= 3 and x.link_chars > 0.6 * x.chars
+            whole.append(homes[id(y)])
+            marked.add(id(homes[id(y)] or y))
+    chosen = {id(x): x for x in whole if x is not None}
+    over = _above(chosen.values(), body)
+    links = lambda x: x.tag in BLOCK and x.link_tags >= 3 and x.link_chars > 0.6 * x.chars and id(x) not in over and id(homes[id(x)]) not in chosen
     out: list[str] = []
     stack = [body]
     while stack:
