@@ -208,6 +208,15 @@ def test_topk_strategies(spark):
         topk.select(df, "best")
 
 
+def test_near_ties_go_past_copies(spark):
+    near = spark.createDataFrame([(f"{i:03}", float(i // 40)) for i in range(200)], "id string, distance double")
+    assert [r.id for r in merge.collapse_near_ties(near, k=3).collect()] == ["000", "040", "080"]
+    assert [r.id for r in merge.collapse_near_ties(near, k=9).collect()] == ["000", "040", "080", "120", "160"]
+    odd = near.selectExpr("id", "if(id < '035', 0D, double('nan')) as distance")
+    assert [r.id for r in merge.collapse_near_ties(odd, k=3).collect()] == ["000", "035", "036"]
+    assert merge.collapse_near_ties(near.limit(0)).count() == 0
+
+
 def test_merging(spark):
     s = lambda rows: spark.createDataFrame(rows, "pos int, id string, distance double, score double, rank int")
     sets = merge.flatten([s([(1, "a", 0.1, 0.9, 1), (2, "b", 0.2, 0.8, 2)]), s([(1, "b", 0.15, 0.7, 1), (2, "c", 0.4, 0.6, 0)])])

@@ -109,12 +109,22 @@ def with_sources(merged: DataFrame, df: DataFrame, eps: float = 0.001) -> DataFr
 def collapse_near_ties(df: DataFrame, eps: float = 0.001, k: int = MAX_RESULTS) -> DataFrame:
     """In order of distance and id, drop a row within eps of the last one kept.
 
-    It is an ordered fold over one result, so it takes the nearest k * 10 rows at most."""
+    A pass folds over the nearest 10 k rows; while fewer than k are kept and rows are left, another one
+    goes on from the last one kept. Passes run when this is called."""
     item = F.struct("distance", "id")
-    one = df.select("distance", "id").orderBy("distance", "id").limit(10 * k).agg(F.array_sort(F.collect_list(item)).alias("c"))
     step = lambda acc, x: F.when((F.size(acc) > 0) & (x.distance - F.element_at(acc, -1).distance < eps), acc).otherwise(F.concat(acc, F.array(x)))
-    out = one.select(F.explode(F.aggregate("c", F.slice(F.col("c"), 1, 0), step)).alias("x")).select("x.*")
-    return out.orderBy("distance", "id").limit(k)
+    rows = df.select("distance", "id")
+    rest, kept = rows, []
+    while True:
+        one = rest.orderBy("distance", "id").limit(10 * k).agg(F.array_sort(F.collect_list(item)).alias("c"))
+        size, got = one.select(F.size("c"), F.slice(F.aggregate("c", F.slice(F.col("c"), 1, 0), step), 1, k - len(kept))).first()
+        kept += got
+        if size < 10 * k or len(kept) >= k:
+            break
+        last = F.lit(kept[-1].distance)
+        # what is not a number comes last and is kept: those seen come first again
+        rest = rows.where((F.col("distance") >= last) & (F.col("distance") - last >= eps)).orderBy("distance", "id").offset(sum(x.distance != x.distance for x in kept))
+    return df.sparkSession.createDataFrame([(x.distance, x.id) for x in kept], rows.schema).orderBy("distance", "id")
 
 
 def merge_batches(batches: list[DataFrame], k: int) -> DataFrame:
