@@ -208,6 +208,25 @@ def test_topk_strategies(spark):
         topk.select(df, "best")
 
 
+def test_diverse_goes_past_a_pool_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(topk, "POOL", 6)
+    rng = np.random.default_rng(7)
+    kinds = np.eye(6).tolist() + [[0.0] * 6]
+    at = {"a": [0] * 40 + [1] * 30 + [2, 3, 4, 5], "b": [6] * 2 + [0] * 30 + [6, 1] + [2] * 20, None: [0] * 25, "c": [0, 0, 1], "d": rng.integers(0, 7, 60).tolist()}
+    data = [(g, i, float(-(i // 2)), kinds[x]) for g, xs in at.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(data, "g string, id int, score double, data array<double>")
+    for k in (1, 4, 5):
+        want = set()
+        for g, xs in at.items():
+            chosen = []
+            for i, x in enumerate(xs):
+                if len(chosen) < k and (len(xs) <= k or x == 6 or x not in [xs[j] for j in chosen]):
+                    chosen.append(i)
+            want |= {(g, i, n + 1) for n, i in enumerate(chosen)}
+        assert {(r.g, r.id, r["rank"]) for r in topk.diverse(df, k, ("g",)).collect()} == want
+    assert [r.id for r in topk.diverse(df.where("g = 'a'"), 5).orderBy("rank").collect()] == [0, 40, 70, 71, 72]
+
+
 def test_near_ties_go_past_copies(spark):
     near = spark.createDataFrame([(f"{i:03}", float(i // 40)) for i in range(200)], "id string, distance double")
     assert [r.id for r in merge.collapse_near_ties(near, k=3).collect()] == ["000", "040", "080"]

@@ -6,14 +6,16 @@ query; without it all rows are one result.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import clamp_k
 
 DEFAULT_THRESHOLD, SIMILAR, SAMPLE, SPREAD = 0.5, 0.8, 100, 0.5
-#: Candidates of a query that the greedy choice looks at.
-MAX_CANDIDATES = 1000
+#: Candidates of a query that a round of the greedy choice holds.
+POOL = 1000
 
 
 def _rank(df: DataFrame, by: list[str], k: int | None) -> DataFrame:
@@ -50,27 +52,60 @@ def adaptive(df: DataFrame, k: int | None = None, by: tuple[str, ...] = (), posi
     return _rank(kept.select(*df.columns), list(by), clamp_k(k))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The rows written once to spark.checkpoint.dir, which executors share."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(at or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def diverse(df: DataFrame, k: int | None = None, by: tuple[str, ...] = (), similar: float = SIMILAR, data: str = "data") -> DataFrame:
     """Greedy: best first, then whoever is at most `similar` to all chosen; may return fewer than k.
 
-    Only the best MAX_CANDIDATES of a query are looked at (the fold holds
-    them as one value); with k or fewer rows all of them stay."""
+    A round folds over the best POOL rows of each query that may still be chosen.
+    Queries with rows left and under k chosen have another one, over the rows at
+    most `similar` to all these; it chooses one row at least, so there are k rounds at most,
+    and one where pools are not full of likenesses.  With k or fewer rows all of them stay.
+    Rounds run when this is called; k rows of a query are kept between them, as a checkpoint."""
     from ..functions.distance import similarity
 
     k = clamp_k(k)
-    keys = list(by) or ["__all"]
-    rows = df if by else df.withColumn("__all", F.lit(0))
-    top = _rank(rows, keys, max(MAX_CANDIDATES, k))
-    item = F.struct(F.col("rank").alias("n"), "id", "score", F.col(data).alias("data"))
-    one = top.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    keys = [f"__k{i}" for i in range(max(1, len(by)))]
+    values = [F.col(c) for c in by] or [F.lit(0)]
+    rows = df.select(*(v.alias(n) for v, n in zip(values, keys, strict=True)), "id", "score", F.col(data).alias("data"))
+    pool = max(POOL, k + 1)
+    item = F.struct(F.col("__n").alias("n"), "id", "score", "data")
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("id"), F.col("data"))
+    near = lambda chosen, x: F.exists(chosen, lambda y: similarity(y.data, x, "cosine") > similar)
 
     def step(acc: Column, x: Column) -> Column:
-        near = F.exists(acc, lambda y: similarity(y.data, x.data, "cosine") > similar)
-        return F.when((F.size(acc) >= k) | near, acc).otherwise(F.concat(acc, F.array(x)))
+        return F.when((F.size(acc) >= k) | near(acc, x.data), acc).otherwise(F.concat(acc, F.array(x)))
+
+    def pools(left: DataFrame, skip: Column) -> DataFrame:
+        best = left.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= pool + k)
+        return best.where((F.col("__n") > skip) & (F.col("__n") <= skip + pool)).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("c"))
+
+    def state(chosen: Column) -> list[Column]:
+        return [*map(F.col, keys), chosen.alias("chosen"), ((F.size("c") >= pool) & (F.size(chosen) < k)).alias("open")]
 
     empty = F.slice(F.col("c"), 1, 0)
-    chosen = F.when(F.size("c") <= k, F.col("c")).otherwise(F.aggregate("c", empty, step))
-    out = one.select(*keys, F.posexplode(chosen).alias("p", "x"))
+    first = F.when(F.size("c") <= k, F.col("c")).otherwise(F.aggregate("c", empty, step))
+    now = _written(pools(rows, F.lit(0)).select(*state(first)))
+    done = now.where(~F.col("open"))
+    while not (now := now.where("open")).isEmpty():
+        # chosen rows that are not even like themselves (without a length) come first again
+        again = F.size(F.filter("chosen", lambda y: similarity(y.data, y.data, "cosine") <= similar))
+        been = now.select(*(F.col(c).alias(f"{c}b") for c in keys), "chosen", again.alias("again"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}b")) for c in keys]
+        left = rows.join(been, same).where(~near(F.col("chosen"), F.col("data"))).select(*keys, "id", "score", "data", "again")
+        more = pools(left, F.col("again"))
+        after = more.select(*(F.col(c).alias(f"{c}b") for c in keys), "c")
+        both = now.join(after, same, "left").withColumn("c", F.coalesce("c", F.slice("chosen", 1, 0)))
+        now = _written(both.select(*state(F.aggregate("c", F.col("chosen"), step))))
+        done = done.unionByName(now.where(~F.col("open")))
+    out = done.select(*(F.col(n).alias(c) for n, c in zip(keys, by)), F.posexplode("chosen").alias("p", "x"))
     return out.select(*by, F.col("x.id").alias("id"), F.col("x.score").alias("score"), (F.col("p") + 1).cast("bigint").alias("rank"))
 
 
