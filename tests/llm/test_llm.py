@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from vecframe.llm import chat, components, decontaminate, fingerprint, html_text, line_dedup, pieces, quality, queries, simhash, suffix_dedup, toxicity
-from vecframe.llm.common import table
+from vecframe.llm.common import labelled_sample, table
 
 
 def rows(df, *columns):
@@ -284,6 +284,15 @@ def test_field_is_exact_and_spans(judged):
     assert [text[a:b] for a, b in toxicity.spans(text, at, p)] == ["rotten", "blasted rotten", "rotten"]
 
 
+@pytest.mark.parametrize("long", [0, 1, 2])
+def test_sample_passes_over_long_texts(spark, make_docs, long):
+    ids = [r.id for r in spark.range(40).where("crc32(cast(cast(id as string) as binary)) % 5 != 0").orderBy(F.xxhash64("id")).collect()]
+    size = {i: 10 for i in ids} | {i: 1000 + k for k, i in enumerate(ids[:long])}
+    labels = spark.createDataFrame([(i, int(k < 2)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = labelled_sample(make_docs([(i, "x" * n) for i, n in size.items()]), labels, "toxic", 100, 10 * len(ids))
+    assert sorted(i for i, _, _ in got) == sorted(ids[long:] + ids[: max(0, long - 1)])
+
+
 # -- 7
 
 

@@ -111,16 +111,20 @@ def held_out(doc_id) -> "F.Column":
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, max_chars: int) -> list[tuple[int, str, int]]:
     """At most `rows` labelled training texts of at most `max_chars` code points
     in total, the first by a hash of doc_id; both are documented bounds of the
-    fit.  Held-out rows and null labels are not learnt from.
+    fit.  A text over what is left of the code points is passed over; a class of
+    which none fits is there with its shortest one.  Held-out rows and null
+    labels are not learnt from.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(target).cast("int").alias("__y")).dropDuplicates(["doc_id"])
     pick = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(pick), "doc_id")
     got = got.select("doc_id", "__t", "__y").orderBy(F.xxhash64("doc_id"), "doc_id", "__t").limit(rows)
-    out, chars = [], 0
+    out, chars, over = [], 0, {}
     for i, t, y in got.toLocalIterator():
-        chars += len(t)
-        if out and chars > max_chars:
-            break
-        out.append((i, t, y))
-    return out
+        if chars + len(t) <= max_chars:
+            chars += len(t)
+            out.append((i, t, y))
+        elif bool(y) not in over or len(t) < len(over[bool(y)][1]):
+            over[bool(y)] = (i, t, y)
+    there = {bool(y) for _, _, y in out}
+    return out + [over[y] for y in sorted(over.keys() - there)]
