@@ -293,6 +293,11 @@ def test_sample_passes_over_long_texts(spark, make_docs, long):
     assert sorted(i for i, _, _ in got) == sorted(ids[long:] + ids[: max(0, long - 1)])
 
 
+def test_shapes_are_whole():
+    assert quality._shape(b"a-" * 6 + b"b") != quality._shape(b"a-" * 6 + b"9")
+    assert quality._shape(b"Word-12") == quality._shape(b"Another-345")
+
+
 # -- 7
 
 

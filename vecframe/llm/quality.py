@@ -41,7 +41,7 @@ def _shape(word: bytes) -> int:
     for pattern, sign in _SHAPES:
         word = pattern.sub(sign, word)
     h = 2166136261
-    for c in word[:12]:
+    for c in word:
         h = (h ^ c) * 16777619 & 0xFFFFFFFF
     return h >> 1 << 1
 
