@@ -284,6 +284,15 @@ def test_field_is_exact_and_spans(judged):
     assert [text[a:b] for a, b in toxicity.spans(text, at, p)] == ["rotten", "blasted rotten", "rotten"]
 
 
+def test_field_learns_from_whole_documents():
+    rng = random.Random(8)
+    plain = lambda n: [b"%s%s" % (rng.choice([b"an", b"th", b"ou"]), rng.choice([b"der", b"ther", b"ble"])) for _ in range(n)]
+    late = [b"rotten", b"horrid", b"vicious", b"ghastly"]
+    toxic = [[w for _ in range(40) for w in (b"blasted", *plain(9))] + [w for x in late for w in (*plain(2000), x)] for _ in range(10)]
+    field = toxicity.train([*toxic, *(plain(100) for _ in range(100))], [1] * 10 + [0] * 100)
+    assert all(field.weight[b"w" + x] > 0.5 for x in late)
+
+
 @pytest.mark.parametrize("long", [0, 1, 2])
 def test_sample_passes_over_long_texts(spark, make_docs, long):
     ids = [r.id for r in spark.range(40).where("crc32(cast(cast(id as string) as binary)) % 5 != 0").orderBy(F.xxhash64("id")).collect()]

@@ -6,7 +6,8 @@ toxic training documents and its smoothed log-odds against the others, less
 SEED_ERRORS standard errors, are over SEED_ODDS; tokens of toxic documents
 with a seed are toxic.  Two
 labels, those features and the transitions make the field, fitted by AdaGrad
-on the exact gradient (forward-backward) of labelled windows.
+on the exact gradient (forward-backward) of labelled windows: every token of the
+sampled rows with one of those features is in one, and two random places a document.
 
 Only features that a toxic token had can have a weight, so all other tokens
 share one emission.  Forward and backward messages run over the tokens
@@ -163,13 +164,21 @@ def train(docs: list[list[bytes]], toxic: list[int], rounds: int = 15, rate: flo
         for w in set(d):
             if w not in own:
                 own[w] = ([number[f] for f in features(w) if f in number] + [none] * 4)[:4]
-        # around toxic tokens, around others that share a feature with one, and anywhere
-        mid = [i for i, y in enumerate(m) if y][:40] + [i for i, w in enumerate(d) if own[w][0] != none and not m[i]][:10] + rng.integers(0, len(d), 2).tolist()
-        for i in mid:
-            row = [d[j] if 0 <= j < len(d) else None for j in range(i - SIDE, i + SIDE + 1)]
-            xs.append([own[w] if w is not None else [none] * 4 for w in row])
-            ys.append([m[j] if 0 <= j < len(d) else 0 for j in range(i - SIDE, i + SIDE + 1)])
-    x, y = np.array(xs, np.int64), np.array(ys, np.int64)
+        # around all toxic tokens, around all others that share a feature with one, and anywhere
+        code = np.full((len(d) + 2 * SIDE, 4), none, np.int32)
+        code[SIDE : SIDE + len(d)] = [own[w] for w in d]
+        mark = np.zeros(len(d) + 2 * SIDE, np.int8)
+        mark[SIDE : SIDE + len(d)] = m
+        mid, last = rng.integers(0, len(d), 2).tolist(), -wide
+        for i in np.flatnonzero((code[SIDE : SIDE + len(d)] != none).any(1)).tolist():
+            # one window stands for the tokens up to half a side after its middle
+            if i - last > SIDE // 2:
+                mid.append(i)
+                last = i
+        at = np.array(mid)[:, None] + np.arange(wide)
+        xs.append(code[at])
+        ys.append(mark[at])
+    x, y = np.concatenate(xs), np.concatenate(ys)
     weight, grad_sq = np.zeros(none + 1), np.full(none + 1, 1e-6)
     rest = np.zeros(6)  # bias, first, move
     rest_sq = np.full(6, 1e-6)
