@@ -16,9 +16,9 @@ the input.  The work is cut so that only what can repeat is sorted:
    induction and named, the string of names is ordered by its own recursion
    (by doubling, which ends at LENGTH bytes), and L and S suffixes are induced from it.
    The queues of the induction are disk-backed: a bucket is a first-in-first-out
-   priority queue, since induction feeds it in order.  Suffix tuples are (place, common-prefix
-   flag); neighbours whose common prefix is LENGTH or more are one string,
-   and all but the first place of it are later.
+   priority queue, since induction feeds it in order.  They hold places only: no
+   common-prefix values are carried.  Neighbours whose LENGTH bytes have equal hashes
+   are one string, and all but the first place of it are later.
 4. Marks meet their document, whose bytes are cut.
 
 Texts are packed (zstd) where they are shuffled.  Null texts are empty.  Rows
