@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import os
 import random
 import zlib
 
@@ -8,7 +10,8 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from vecframe.llm import chat, components, decontaminate, fingerprint, html_text, line_dedup, pieces, quality, queries, simhash, suffix_dedup, toxicity
+import brute
+from vecframe.llm import chat, components, decontaminate, fingerprint, html_text, induced, line_dedup, pieces, quality, queries, simhash, suffix_dedup, toxicity
 from vecframe.llm.common import labelled_sample, table
 
 
@@ -142,26 +145,71 @@ def test_chat_cases(spark):
 # -- 4
 
 
-def test_suffix_order():
-    rng = np.random.default_rng(5)
-    for k in (1, 2, 3, 26):
-        for n in (1, 2, 50, 300):
-            x = rng.integers(97, 97 + k, n).astype(np.uint8)
-            got = np.concatenate(list(suffix_dedup.suffix_order(x, 2 * n)))[::-1]
-            assert got.tolist() == sorted(range(n), key=lambda i, b=x.tobytes(): b[i:])
-
-
-def test_queues_spill(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HELD", 16)
-    x = np.frombuffer(b"abracadabra banana mississippi " * 20, np.uint8)
-    got = np.concatenate(list(suffix_dedup.suffix_order(x, 2 * len(x))))[::-1]
-    assert got.tolist() == sorted(range(len(x)), key=lambda i, b=x.tobytes(): b[i:])
+def by_induction(text, **kw):
+    x = np.concatenate((np.frombuffer(text, np.uint8) + np.uint8(1), np.zeros(9, np.uint8)))
+    got = list(induced.of_bytes(x).suffixes(**kw))
+    return [np.concatenate([g[k] for g in got]).tolist() if got else [] for k in (0, 2)]
+
+
+def in_order(text):
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    return [order, [0][: len(text)] + [min(100, len(os.path.commonprefix([text[i:], text[j:]]))) for i, j in itertools.pairwise(order)]]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_induced_sorting(monkeypatch, small):
+    if small:  # all arrays, queues and strings of names in files, in many blocks
+        for name, n in (("HELD", 64), ("TUPLES", 50), ("CHUNK", 16)):
+            monkeypatch.setattr(induced, name, n)
+    rng = random.Random(5)
+    texts = [bytes(rng.randrange(20, 20 + k) for _ in range(n)) for k in (1, 2, 3, 26, 200) for n in (0, 1, 2, 50, 300)]
+    texts += [t[:100] + t[20:90] * 2 + t for t in texts]
+    texts += [b"a" * 400, b"ab" * 200, bytes(range(97, 123)) * 15, bytes(range(122, 96, -1)) * 9 + b"-" * 300, "é日😀".encode() * 40]
+    for t in texts:
+        assert by_induction(t) == in_order(t)
+
+
+def test_any_ranges_least():
+    x = np.random.default_rng(1).integers(0, 9, 300).astype(np.uint8)
+    lo, hi = (np.sort(np.random.default_rng(2).integers(0, 300, (2, 500)), 0)).tolist()
+    assert induced.RangeMin(x).of(np.array(lo), np.array(hi)).tolist() == [x[a : b + 1].min() for a, b in zip(lo, hi, strict=True)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_shards_by_common_prefixes_only(monkeypatch, small):
+    """Windows that repeat are found alike when every hash of the sieve is the same, and in shards many times what is held."""
+    rng = random.Random(7)
+    runs = [bytes(rng.choice(b"ab cd") for _ in range(rng.randrange(100, 164))) for _ in range(60)]
+    runs += [rng.choice(runs)[rng.randrange(9) :] + b"xyz" * 40 for _ in range(60)] + [b"-" * 163, b"=" * 140 + b"-" * 110]
+    runs = [r[:163] for r in runs if len(r) >= 100] * 1
+
+    def marks():
+        shard = suffix_dedup.Shard()
+        for lo in range(0, len(runs), 25):
+            part = runs[lo : lo + 25]
+            n = np.arange(lo, lo + len(part))
+            shard.put(n // 7, n * 0, n * 1000, part, n * 0)
+        return {(d, f + i) for doc, row, first, n in shard.later() for d, f, k in zip(doc.tolist(), first.tolist(), n.tolist(), strict=True) for i in range(k)}
+
+    seen, want = set(), set()
+    for n, r in enumerate(runs):
+        for i in range(len(r) - 99):
+            if r[i : i + 100] in seen:
+                want.add((n // 7, n * 1000 + i))
+            seen.add(r[i : i + 100])
+    if small:
+        for name, k in (("HELD", 500), ("TUPLES", 300), ("CHUNK", 200)):
+            monkeypatch.setattr(induced, name, k)
+        monkeypatch.setattr(suffix_dedup, "AT_ONCE", 8)
+    assert marks() == want
+    monkeypatch.setattr(suffix_dedup.Hashes, "hundred", lambda self, at: np.zeros(len(at), np.uint64))
+    assert marks() == want
 
 
 @pytest.mark.parametrize("hot", [1, 50_000])
 def test_suffix_dedup(make_docs, corpus, clashing, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    assert rows(suffix_dedup.digest(clashing(make_docs(corpus)))) == sorted(suffix_dedup.brute_force(corpus), key=repr)
+    assert rows(suffix_dedup.digest(clashing(make_docs(corpus)))) == sorted(brute.suffixes(corpus), key=repr)
 
 
 def test_suffix_dedup_ties(make_docs):
@@ -174,7 +222,7 @@ def test_suffix_dedup_ties(make_docs):
 
 
 def test_simhash(make_docs, corpus, clashing):
-    assert rows(simhash.digest(clashing(make_docs(corpus)))) == sorted(simhash.brute_force(corpus), key=repr)
+    assert rows(simhash.digest(clashing(make_docs(corpus)))) == sorted(brute.near(corpus), key=repr)
 
 
 @pytest.mark.parametrize("m", [5, 6, 7, 8])
@@ -363,7 +411,7 @@ def test_decontamination(spark, make_docs, corpus, clashing, block_chars):
     own = corpus + corpus[:3]
     got = decontaminate.judged(clashing(make_docs(own)), bench, block_chars=block_chars)
     got = got.select("doc_id", "__n_words", "__n_hit", F.size("__items").alias("i"), F.sha2(F.concat_ws(",", "__items"), 256).alias("s"), "__contaminated")
-    assert rows(got) == sorted(decontaminate.brute_force(own, items), key=repr)
+    assert rows(got) == sorted(brute.contamination(own, items), key=repr)
     kept = decontaminate.decontaminate(make_docs(own), bench)
     assert kept.columns == make_docs(own).columns
 
@@ -378,7 +426,7 @@ def test_decontamination_empty(spark, make_docs):
 
 
 def test_line_dedup(make_docs, corpus, clashing):
-    assert rows(line_dedup.digest(clashing(make_docs(corpus)))) == sorted(line_dedup.brute_force(corpus), key=repr)
+    assert rows(line_dedup.digest(clashing(make_docs(corpus)))) == sorted(brute.lines(corpus), key=repr)
 
 
 def test_line_dedup_cases(make_docs):

@@ -7,9 +7,7 @@ where one text alone is larger, so memory does not follow the batch size.
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,14 +53,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when their handles are collected, in its own thread."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The values as UTF-8 bytes; null: empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -217,25 +217,3 @@ def judged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     return judged(docs, benchmark, **kw).where(~F.col("__contaminated")).select(*docs.columns)
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], window: int = WINDOW) -> list[tuple]:
-    """The rows of op9 from sets of tuples; for tests."""
-    wins: dict[tuple, set[str]] = {}
-    for i, t in items:
-        w = words((t or "").encode())
-        n = min(window, len(w))
-        for k in range(len(w) - n + 1 if n else 0):
-            wins.setdefault(tuple(w[k : k + n]), set()).add(str(i))
-    lengths = {len(x) for x in wins}
-    out = []
-    for d, t in docs:
-        w = words((t or "").encode())
-        hit, found = set(), set()
-        for n in lengths:
-            for k in range(len(w) - n + 1):
-                if own := wins.get(tuple(w[k : k + n])):
-                    hit.update(range(k, k + n))
-                    found |= own
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    return out

@@ -144,24 +144,3 @@ def drop_repeated_lines(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAV
 def digest(docs: DataFrame) -> DataFrame:
     got = dedup(docs.select("doc_id", "text"))
     return got.select("doc_id", F.col("__removed").alias("n_removed"), F.col("__runs").alias("n_runs"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], run: int = RUN_LINES, heavy: int = HEAVY_WORDS) -> list[tuple]:
-    """The rows of op10 from a dictionary of windows; for tests."""
-    seen: dict[tuple, tuple] = {}
-    marks: dict[tuple, list] = {}
-    rows = sorted({(d, xxhash.xxh64_intdigest((t or "").encode()), t or "") for d, t in docs})
-    for d, h, t in rows:
-        lines, own = lines_of(t.encode())
-        for i in range(len(own)):
-            for k in sorted({1, 2, run}):
-                w = tuple(lines[j] for j in own[i : i + k])
-                if len(w) == k and (k == run or sum(len(x.split()) for x in w) >= heavy):
-                    if w in seen and seen[w] < (d, h, i):
-                        marks.setdefault((d, t), []).append((i, k))
-                    seen.setdefault(w, (d, h, i))
-    out = []
-    for d, t in docs:
-        got = cut((t or "").encode(), marks.get((d, t or ""), []))
-        out.append((d, got[1], got[2], len(got[0].decode()), hashlib.sha256(got[0]).hexdigest()))
-    return out

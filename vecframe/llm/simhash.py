@@ -281,29 +281,3 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({"__k": number(F.col("doc_id").cast("long")), "__text": F.xxhash64("text")})
     # repeated rows are next to each other after the join, which dealt them by the same keys
     return rows.join(kept, ["__k", "__text"]).dropDuplicates(["__k", "__text"]).select(*docs.columns)
-
-
-def brute_force(docs: list[tuple[int, str | None]], budget: int = BUDGET) -> list[tuple]:
-    """The rows of op5 by all pairs of documents; for tests."""
-    words = [[w for w in (t or "").encode().lower().split()] for _, t in docs]
-    prints = []
-    for w in words:
-        grams = [b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))] if w else []
-        h = [xxhash.xxh64_intdigest(g, SEED) for g in grams]
-        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    comp = list(range(len(docs)))
-
-    def root(x):
-        while comp[x] != x:
-            x = comp[x]
-        return x
-
-    for i in range(len(docs)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= budget:
-                p, q = root(i), root(j)
-                comp[max(p, q)] = min(p, q)
-    least: dict[int, int] = {}
-    for i, (d, _) in enumerate(docs):
-        least[root(i)] = min(d, least.get(root(i), d))
-    return [(d, f"{prints[i]:016x}", least[root(i)]) for i, (d, _) in enumerate(docs)]

@@ -1,4 +1,4 @@
-"""Exact substring dedup with suffix arrays made by external induced sorting.
+"""Exact substring dedup by external induced sorting.
 
 Every byte covered by a LENGTH-byte string that also starts earlier (smaller
 doc_id, or before it in the same document) is removed; strings are judged on
@@ -6,30 +6,32 @@ the input.  The work is cut so that only what can repeat is sorted:
 
 1. Each LENGTH-byte window has a fingerprint, the least hash of its
    GRAM-byte strings.  Following windows with one fingerprint are a run, of
-   at most RUN windows; equal windows are in runs of equal fingerprints.
+   at most RUN windows; equal windows are in runs of equal fingerprints.  Of runs
+   that are equal in one task all but the first are later, so a frequent run
+   goes on once a task.
 2. Runs meet by fingerprint, in order.  A run alone is done.  A run whose whole content
-   another run had before is later in every window.  The first run of each
-   content is compared window by window if the fingerprint has other contents.
+   another run had before is later in every window (contents are told by 128 bits:
+   the fingerprint and a hash).  The first run of each content is compared if the
+   fingerprint has other contents.
 3. The texts of those runs meet in shards by fingerprint, or, where a fingerprint is
-   frequent, by a finer one that also has the bytes beside it.  A shard's windows are
-   sorted by induced sorting: LMS substrings are sorted by
-   induction and named, the string of names is ordered by its own recursion
-   (by doubling, which ends at LENGTH bytes), and L and S suffixes are induced from it.
-   The queues of the induction are disk-backed: a bucket is a first-in-first-out
-   priority queue, since induction feeds it in order.  They hold places only: no
-   common-prefix values are carried.  Neighbours whose LENGTH bytes have equal hashes
-   are one string, and all but the first place of it are later.
+   frequent, by a finer one that also has the bytes beside it.  A shard of any size
+   goes through `induced`: its windows come in the order of their suffixes with
+   the common prefix of neighbours, and those that share LENGTH bytes are one
+   string.  All but its first place are later.  A sieve before that passes over
+   windows whose hash is alone in the shard; it decides nothing, and with any
+   other hash the result is the same.
 4. Marks meet their document, whose bytes are cut.
 
-Texts are packed (zstd) where they are shuffled.  Null texts are empty.  Rows
-that repeat doc_id and text are one document, and each gets its result;
-a null doc_id comes before all others.
+Texts are packed (zstd) where they are shuffled; a shard's text, tuples and ranks
+are in files beside Spark's own spills where they are large.  Null texts are empty.
+Rows that repeat doc_id and text are one document, and each gets its result;
+a null doc_id comes before all others.  Other columns aren't read; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored, utf8
+from . import induced
+from .common import slices, stored, utf8
 
 LENGTH = 100
 GRAM = 32
 RUN = 64
-#: Bytes of a shard that are sorted at once (whole fingerprints), and tuples a queue holds in memory.
+#: Bytes of a shard, about (whole fingerprints), and its runs that are worked on at once.
 TAKEN = 2 << 20
-HELD = 1 << 18
+AT_ONCE = 4096
 #: A fingerprint of more contents than HOT is cut finer; at most MAX_HOT of them are broadcast.
 HOT, MAX_HOT = 50_000, 200_000
 #: Bytes left and right of a fingerprint's string that all windows hold in which it stands in the first, second, third, last quarter.
@@ -131,193 +134,116 @@ def runs(x: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return key.view(np.int64), content.view(np.int64), doc[text], first, np.where(twice, -n, n)
 
 
-class Queue:
-    """Places in the order they came; what is over HELD goes to an unnamed file."""
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Shard:
+    """Runs of a shard, in the order of their documents and places."""
 
     def __init__(self):
-        self.file, self.parts, self.size = None, [], 0
-
-    def put(self, x: np.ndarray) -> None:
-        self.parts.append(x)
-        self.size += len(x)
-        if self.size > HELD:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            self.file.seek(0, 2)
-            for p in self.parts:
-                self.file.write(p.astype(np.int64).tobytes())
-            self.parts, self.size = [], 0
-
-    def blocks(self):
-        """What is in it now, in blocks."""
-        parts, self.parts, self.size = self.parts, [], 0
-        file, self.file = self.file, None
-        if file is not None:
-            file.seek(0)
-            while raw := file.read(8 * HELD):
-                yield np.frombuffer(raw, np.int64)
-            file.close()
-        if parts:
-            yield np.concatenate(parts)
-
-    def __bool__(self):
-        return bool(self.parts) or self.file is not None
-
-
-def _deal(queues: list[Queue], to: np.ndarray, places: np.ndarray) -> None:
-    if not len(to):
-        return
-    order = np.argsort(to, kind="stable")
-    to, places = to[order], places[order]
-    cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-    for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
-        queues[to[a]].put(places[a:b])
-
-
-def _induce(x: np.ndarray, small: np.ndarray, seeds: np.ndarray):
-    """All places of x in order, in blocks from the greatest: from LMS places in order."""
-    lesser, seeded, larger = [Queue() for _ in range(256)], [Queue() for _ in range(256)], [Queue() for _ in range(256)]
-    kept = [Queue() for _ in range(256)]
-    _deal(seeded, x[seeds], seeds)
-    lesser[x[-1]].put(np.array([len(x) - 1]))
-    for c in range(256):
-        while lesser[c]:
-            for block in lesser[c].blocks():
-                kept[c].put(block)
-                p = block[block > 0] - 1
-                p = p[~small[p]]
-                _deal(lesser, x[p], p)
-        for block in seeded[c].blocks():
-            p = block[block > 0] - 1
-            _deal(lesser, x[p], p)
-    for c in range(255, -1, -1):
-        while larger[c]:
-            for block in larger[c].blocks():
-                yield block
-                p = block[block > 0] - 1
-                p = p[small[p]]
-                _deal(larger, x[p], p)
-        for block in reversed(list(kept[c].blocks())):
-            block = block[::-1]
-            yield block
-            p = block[block > 0] - 1
-            p = p[small[p]]
-            _deal(larger, x[p], p)
-
-
-def _names(x: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The rank of each LMS substring, in the order of places; equal ones are equal."""
-    mark = np.zeros(len(x), bool)
-    mark[lms] = True
-    order = np.concatenate([b[mark[b]] for b in _induce(x, small, lms)])[::-1]
-    number = np.zeros(len(x), np.int64)
-    number[lms] = np.arange(len(lms))
-    end = np.append(lms[1:], len(x) - 1)
-    size = end - lms + 1
-    nth = number[order]
-    # substrings are compared by a hash of their bytes; they are neighbours if equal
-    h = _BYTE[x]
-    whole = np.diff(np.append(lms, len(x)))
-    power = np.cumprod(np.full(int(whole.max()) + 1, _P, np.uint64))
-    place = np.arange(len(x) - lms[0]) - np.repeat(lms - lms[0], whole)
-    total = np.add.reduceat(h[lms[0] :] * power[place], lms - lms[0])
-    key = _mixed(total + h[end] * np.uint64(0xC2B2AE3D27D4EB4F)) + size.astype(np.uint64)
-    new = np.ones(len(order), bool)
-    new[1:] = key[nth[1:]] != key[nth[:-1]]
-    if len(nth):
-        new[np.flatnonzero(nth == len(lms) - 1)] = True
-    name = np.empty(len(lms), np.int64)
-    name[nth] = np.cumsum(new)
-    return name
-
-
-def _ordered(name: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, by at least `depth` names."""
-    rank, k = name.copy(), 1
-    order = np.argsort(rank, kind="stable")
-    while k < depth:
-        if len(rank) == 0 or rank.max() == len(rank):
-            break
-        after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - k] = rank[k:]
-        key = rank * (len(rank) + 2) + after
-        order = np.argsort(key)
-        s = key[order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(np.concatenate(([True], s[1:] != s[:-1])))
-        k *= 2
-    return order
-
-
-def suffix_order(x: np.ndarray, depth: int = LENGTH):
-    """Places of x by their suffixes' first `depth` bytes at least, from the greatest, in blocks."""
-    n = len(x)
-    if not n:
-        return
-    # a place is S if the next different byte is greater; L at the end
-    differs = np.flatnonzero(x[1:] != x[:-1])
-    small = np.zeros(n, bool)
-    if len(differs):
-        size = np.diff(np.concatenate(([-1], differs)))
-        small[: differs[-1] + 1] = np.repeat(x[differs] < x[differs + 1], size)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    seeds = lms[_ordered(_names(x, small, lms), -(-depth // 2))] if len(lms) else lms  # an LMS substring has two bytes at least
-    yield from _induce(x, small, seeds)
-
-
-def trimmed(x: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (numbers, places in x, windows) cut to what may repeat: from their first to their last window whose hash another one has.
-
-    Also the hashes of those windows, one run after another."""
-    before = np.concatenate(([0], np.cumsum(count)[:-1]))
-    at = np.repeat(start - before, count) + np.arange(count.sum())
-    h = Hashes(x).hundred(at)
-    order = np.argsort(h)
-    s = h[order]
-    same = s[1:] == s[:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    hit = np.flatnonzero(twice)
-    run = np.repeat(np.arange(len(start)), count)[hit]
-    if not len(hit):
-        return run, run, run, h[:0]
-    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    last = np.append(first[1:], len(run)) - 1
-    n = hit[last] - hit[first] + 1
-    keep = np.repeat(hit[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return run[first], at[hit[first]], n, h[keep]
-
-
-def later(x: np.ndarray, start: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """x: texts of runs joined in their order, with `count` windows from `start` on, and the windows' hashes.
-
-    Whether each place of x begins a window that also starts before it in x."""
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    number = np.full(len(x), -1, np.int64)
-    number[at] = np.arange(len(at))
-    out = np.zeros(len(x), bool)
-    held: np.ndarray | None = None
-
-    def settle(places: np.ndarray, first: np.ndarray) -> None:
-        # runs are in order, so the first of equal windows is the one with the least place
-        out[places] = True
-        out[np.minimum.reduceat(places, first)] = False
-
-    # blocks come in order; the last group of a block may go on in the next
-    for block in suffix_order(x):
-        block = block[number[block] >= 0]
-        if not len(block):
-            continue
-        if held is not None:
-            block = np.concatenate((held, block))
-        h = hashes[number[block]]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        if len(first) > 1:
-            settle(block[: first[-1]], first[:-1])
-        held = block[first[-1] :]
-    if held is not None:
-        settle(held, np.zeros(1, np.int64))
+        self.text, self.runs, self.size, self.last = induced.Spool(np.uint8), [induced.Spool(np.int64) for _ in range(4)], 0, None
+
+    def put(self, doc: np.ndarray, row: np.ndarray, first: np.ndarray, texts: list[bytes], low: np.ndarray) -> None:
+        key = np.stack((low, doc, row, first))
+        fresh = np.ones(len(texts), bool)
+        # repeated rows of one document give a run more than once, next to each other
+        fresh[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        fresh[0] = self.last is None or (key[:, 0] != self.last).any()
+        self.last = key[:, -1]
+        texts = [t for t, new in zip(texts, fresh.tolist(), strict=True) if new]
+        n = np.array([len(t) for t in texts], np.int64)
+        for spool, x in zip(self.runs, (doc[fresh], row[fresh], first[fresh], n), strict=True):
+            spool.put(x)
+        self.text.put(np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1))
+        self.size += int(n.sum())
+
+    def later(self):
+        """doc, row, first place, windows: runs of windows that also start earlier, in blocks."""
+        x, (doc, row, first, size) = self.text.done(), (r.done() for r in self.runs)
+        n = len(size)
+        start = induced.room(n + 1, np.int64)
+        for lo in range(0, n, AT_ONCE):
+            part = size[lo : lo + AT_ONCE]
+            start[lo + 1 : lo + 1 + len(part)] = start[lo] + np.cumsum(part)
+        # what may repeat, as a text of its own: of each run, from the first to the last such window
+        kept, parts = induced.Spool(np.uint8), [induced.Spool(np.int64) for _ in range(3)]
+        twice, total = _sieved(x, start[:n], size), 0
+        for lo in range(0, n, AT_ONCE):
+            at, count = start[lo : min(n, lo + AT_ONCE)], size[lo : lo + AT_ONCE] - (LENGTH - 1)
+            base, stop = int(at[0]), int(at[-1] + count[-1] + LENGTH - 1)
+            hit = np.flatnonzero(twice[base:stop])
+            if not len(hit):
+                continue
+            run = np.searchsorted(at, hit + base, "right") - 1
+            head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            tail = np.append(head[1:], len(run)) - 1
+            own, windows = run[head], hit[tail] - hit[head] + 1
+            kept.put(x[base:stop][_spans(hit[head], windows + LENGTH - 1)])
+            for spool, y in zip(parts, (own + lo, hit[head] + base - at[own], windows), strict=True):
+                spool.put(y)
+        kept.put(np.zeros(9, np.uint8))
+        text, (own, offset, windows) = kept.done(), (p.done() for p in parts)
+
+        def places():
+            total = 0
+            for lo in range(0, len(own), AT_ONCE):
+                k = np.asarray(windows[lo : lo + AT_ONCE])
+                size = k + LENGTH - 1
+                yield total + _spans(np.cumsum(size) - size, k)
+                total += int(size.sum())
+
+        gone = later(text, places())
+        for lo in range(0, len(own), AT_ONCE):
+            k = np.asarray(windows[lo : lo + AT_ONCE])
+            begin = np.cumsum(k + LENGTH - 1) - (k + LENGTH - 1)
+            hit = np.flatnonzero(gone[total : total + int((k + LENGTH - 1).sum())])
+            total += int((k + LENGTH - 1).sum())
+            if not len(hit):
+                continue
+            which = np.searchsorted(begin, hit, "right") - 1
+            head = np.ones(len(hit), bool)
+            head[1:] = (hit[1:] != hit[:-1] + 1) | (which[1:] != which[:-1])
+            i = np.flatnonzero(head)
+            run = own[lo : lo + AT_ONCE][which[i]]
+            yield doc[run], row[run], first[run] + offset[lo : lo + AT_ONCE][which[i]] + hit[i] - begin[which[i]], np.diff(np.append(i, len(hit)))
+
+
+def _sieved(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each place, whether it begins a window of a run whose hash another window has: only these can repeat."""
+    out, heap, last = induced.room(len(x), bool), induced.Heap(1), (None, 0)
+    for lo in range(0, len(start), AT_ONCE):
+        at, n = start[lo : lo + AT_ONCE], size[lo : lo + AT_ONCE]
+        own = x[int(at[0]) : int(at[-1] + n[-1])]
+        places = _spans(at - at[0], n - (LENGTH - 1))
+        heap.put(Hashes(own).hundred(places), places + at[0])
+    for h, at in heap.pop():
+        same = np.concatenate(([h[0] == last[0]], h[1:] == h[:-1]))
+        out[at[same]] = True
+        out[np.concatenate(([last[1]], at))[:-1][same]] = True
+        last = (h[-1], at[-1])
+    return out
+
+
+def later(x: np.ndarray, places) -> np.ndarray:
+    """Whether each place of x begins a window that also starts before it in x; places: of all windows, in order.
+
+    x has bytes greater by one, and nine zeros at its end."""
+    out, open_ = induced.room(len(x), bool), -1
+    for at, _, shared in induced.of_bytes(x).suffixes(places):
+        out[at] = True
+        fresh = np.flatnonzero(shared < LENGTH)
+        lead = at[: fresh[0]] if len(fresh) else at
+        if len(lead):
+            # a string goes on from the block before
+            out[open_] = True
+            open_ = min(open_, int(lead.min()))
+            out[open_] = False
+        if len(fresh):
+            least = np.minimum.reduceat(at, fresh)
+            out[least] = False
+            open_ = int(least[-1])
     return out
 
 
@@ -329,7 +255,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("i"))
     repeated = ids.groupBy("i").count().where("count > 1").limit(1).count() > 0
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), (F.hash(text) if repeated else F.lit(0)).alias("row"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("row"), text.alias("text"))
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -340,22 +266,52 @@ def _packed(keyed: DataFrame) -> DataFrame:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0).fill_null(NONE), part.column(1), pa.array([press.compress(t) for t in utf8(part.column(2))], pa.binary())], names=["k", "row", "z"])
 
-    return keyed.mapInArrow(pack, "k long, row int, z binary")
+    return keyed.mapInArrow(pack, "k long, row long, z binary")
+
+
+def _first_of_equal(content, low, doc, row, first) -> tuple[np.ndarray, np.ndarray]:
+    """Rows but for repeated ones of the same place; of these, the ones that are later: an equal run in another place is before them."""
+    every = np.arange(len(content))
+    order = np.argsort(content)
+    s = content[order]
+    tied = np.zeros(len(s) + 1, bool)
+    tied[1:-1] = s[1:] == s[:-1]
+    t = order[tied[1:] | tied[:-1]]
+    if not len(t):
+        return every, t
+    t = t[np.lexsort((first[t], row[t], doc[t], low[t], content[t]))]
+    new = np.ones(len(t), bool)
+    new[1:] = (content[t[1:]] != content[t[:-1]]) | (low[t[1:]] != low[t[:-1]])
+    head = t[new][np.cumsum(new) - 1]
+    other = (doc[t] != doc[head]) | (row[t] != row[head]) | (first[t] != first[head])
+    gone = np.zeros(len(content), bool)
+    gone[t[~new & ~other]] = True
+    return every[~gone] if gone.any() else every, t[~new & other]
 
 
 def _found(keyed: DataFrame) -> DataFrame:
-    """low, content, doc, row, at: the runs of all texts; at: first place << 8 | windows + 128."""
+    """low, content, doc, row, at: the runs of all texts; at: first place << 8 | windows + 128, or | windows - 1 if the run is later."""
 
     def scan(batches):
         for part in slices(batches, "text", 2 << 20):
             texts = utf8(part.column(2))
             ends = np.cumsum([len(t) for t in texts])
             low, content, own, first, n = runs(np.frombuffer(b"".join(texts), np.uint8), ends, np.arange(len(texts)))
-            begin = np.concatenate(([0], ends[:-1]))
-            own_at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(content), part.column(0).take(own_at), part.column(1).take(own_at), pa.array((first - begin[own] if len(own) else first) << 8 | (n + 128))], names=["low", "content", "doc", "row", "at"])
-
-    return keyed.mapInArrow(scan, "low long, content long, doc long, row int, at long")
+            doc, row = part.column(0).fill_null(NONE).to_numpy()[own], part.column(1).to_numpy()[own]
+            first = first - (ends - np.array([len(t) for t in texts]))[own]
+            keep, again = _first_of_equal(content, low, doc, row, first)
+            code, to = n + 128, low
+            if len(again):
+                # those are dealt anywhere, as they are done
+                code = np.where(np.isin(np.arange(len(n)), again), np.abs(n) - 1, code)
+                to, content = low.copy(), content.copy()
+                to[again] = _mixed((doc[again] * 64 + first[again]).view(np.uint64)).view(np.int64)
+                content[again] = 0
+                if len(keep) < len(n):
+                    low, to, content, doc, row, first, code = (c[keep] for c in (low, to, content, doc, row, first, code))
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(content), pa.array(doc, mask=doc == NONE), pa.array(row), pa.array(first << 8 | code)], names=["low", "content", "doc", "row", "at"])
+
+    return keyed.mapInArrow(scan, "low long, content long, doc long, row long, at long")
 
 
 def _classes(found: DataFrame) -> DataFrame:
@@ -363,11 +319,22 @@ def _classes(found: DataFrame) -> DataFrame:
 
     A row whose compare is null says that its fingerprint has more than HOT contents."""
 
+    def marks(rows, flag):
+        at = rows.column(4).to_numpy()
+        code = at & 255
+        n = np.where(code < RUN, code + 1, np.abs(code - 128)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:4], pa.array(at >> 8), pa.array(n), pa.array([flag] * rows.num_rows, pa.bool_())], names=["low", "doc", "row", "first", "n", "compare"])
+
     def sift(batches):
         # the run before this batch's first row: its fingerprint and content, and the first row of the
         # fingerprint if it is still open whether there are other contents
         low0, content0, open_row, place0, many = None, None, None, None, 0
         for batch in batches:
+            code = batch.column(4).to_numpy() & 255
+            done = pa.array(code < RUN)
+            if (gone := batch.filter(done)).num_rows:
+                yield marks(gone, False)
+                batch = batch.filter(pc.invert(done))
             if not batch.num_rows:
                 continue
             low, content = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -404,15 +371,14 @@ def _classes(found: DataFrame) -> DataFrame:
             if len(crossed):
                 parts.append((batch.take(pa.array(np.searchsorted(group, crossed))), None))
             for rows, flag in parts:
-                at = rows.column(4).to_numpy()
-                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:4], pa.array(at >> 8), pa.array(np.abs((at & 255) - 128).astype(np.int32)), pa.array([flag] * rows.num_rows, pa.bool_())], names=["low", "doc", "row", "first", "n", "compare"])
+                yield marks(rows, flag)
             if group[-1] > 0:
                 head = int(np.flatnonzero(new_low)[-1])
                 open_row = None if several[group[-1]] or own[head] else batch.slice(head, 1)
             low0, content0 = low[-1], content[-1]
 
     near = found.repartition("low").sortWithinPartitions("low", "content", "doc", "row", "at")
-    return near.mapInArrow(sift, "low long, doc long, row int, first long, n int, compare boolean")
+    return near.mapInArrow(sift, "low long, doc long, row long, first long, n int, compare boolean")
 
 
 def _by_document(marks: DataFrame, *fields: str) -> DataFrame:
@@ -498,57 +464,29 @@ def _compared(packed: DataFrame, runs_: DataFrame, hot: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pc.if_else(pc.equal(k, NONE), None, k), part.column(1).take(take), pa.array(np.concatenate(firsts)), pa.array(out, pa.binary())], names=["low", "doc", "row", "first", "text"])
 
     def shard(batches):
-        def done(parts):
-            t = pa.Table.from_batches(parts)
-            # repeated rows of one document give a run more than once, next to each other
-            key = np.stack([t.column(i).cast(pa.int64()).fill_null(NONE).to_numpy() for i in range(4)])
-            fresh = np.ones(len(t), bool)
-            fresh[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-            if not fresh.all():
-                t = t.take(pa.array(np.flatnonzero(fresh)))
-            texts = t.column(4).to_pylist()
-            sizes = np.array([len(x) for x in texts])
-            start = np.cumsum(sizes) - sizes
-            x = np.frombuffer(b"".join(texts), np.uint8)
-            del texts
-            # rows come in the order of fingerprint, document and place
-            run, place, count, hashes = trimmed(x, start, sizes - LENGTH + 1)
-            if not len(run):
-                return
-            size = count + LENGTH - 1
-            own = np.cumsum(size) - size
-            at = np.repeat(place - own, size) + np.arange(size.sum())
-            gone = np.flatnonzero(later(x[at], own, count, hashes))
-            if len(gone):
-                which = np.searchsorted(own, gone, "right") - 1
-                head = np.ones(len(gone), bool)
-                head[1:] = (gone[1:] != gone[:-1] + 1) | (which[1:] != which[:-1])
-                i = np.flatnonzero(head)
-                n = np.diff(np.append(i, len(gone)))
-                rows = run[which[i]]
-                first = t.column(3).to_numpy()[rows] + place[which[i]] - start[rows] + gone[i] - own[which[i]]
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([t.column(1).take(take).combine_chunks(), t.column(2).take(take).combine_chunks(), pa.array(first), pa.array(n.astype(np.int32))], names=["doc", "row", "first", "n"])
-
-        held, size, last = [], 0, None
+        def done(held):
+            for doc, row, first, n in held.later():
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NONE), pa.array(row), pa.array(first), pa.array(n.astype(np.int32))], names=["doc", "row", "first", "n"])
+
+        held, last = Shard(), None
         for part in slices(batches, "text", TAKEN // 2):
             low = part.column(0).to_numpy()
-            if held and size > TAKEN:
+            doc = part.column(1).fill_null(NONE).to_numpy()
+            row, first, texts = part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_pylist()
+            k = 0
+            if held.size > TAKEN and (other := low != last).any():
                 # whole fingerprints only: what goes on from before stays with it
-                k = int(np.argmax(low != last)) if (low != last).any() else None
-                if k is not None:
-                    if k:
-                        held.append(part.slice(0, k))
-                    yield from done(held)
-                    held, size, part = [], 0, part.slice(k)
-            held.append(part)
-            size += part.column(4).nbytes
+                if k := int(np.argmax(other)):
+                    held.put(doc[:k], row[:k], first[:k], texts[:k], low[:k])
+                yield from done(held)
+                held = Shard()
+            held.put(doc[k:], row[k:], first[k:], texts[k:], low[k:])
             last = low[-1]
-        if held:
+        if held.size:
             yield from done(held)
 
-    near = _joined(packed, own).mapInArrow(texts, "low long, doc long, row int, first long, text binary").repartition("low").sortWithinPartitions("low", "doc", "row", "first")
-    return near.mapInArrow(shard, "doc long, row int, first long, n int")
+    near = _joined(packed, own).mapInArrow(texts, "low long, doc long, row long, first long, text binary").repartition("low").sortWithinPartitions("low", "doc", "row", "first")
+    return near.mapInArrow(shard, "doc long, row long, first long, n int")
 
 
 def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -569,7 +507,6 @@ def marked(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     packed = _packed(keyed)
     seen = stored(_classes(_found(keyed)))
-    release(docs.sparkSession)
     part = _compared(packed, seen.where("compare"), seen.where("compare is null").select("low"))
     marks = seen.where("not compare").select("doc", "row", "first", "n").unionByName(part)
     return _joined(packed, _by_document(marks, "first", "n"))
@@ -596,20 +533,3 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
-    """The rows of op4 from a dictionary of all windows; for tests (distinct doc_ids)."""
-    seen: set[bytes] = set()
-    got = {}
-    for d, t in sorted((d, (t or "").encode()) for d, t in docs):
-        marks = []
-        for i in range(len(t) - length + 1):
-            w = t[i : i + length]
-            if w in seen:
-                marks.append((i, 1))
-            else:
-                seen.add(w)
-        keep, removed, spans = cut(t, marks)
-        got[d] = (d, len(t), removed, spans, hashlib.sha256(keep).hexdigest())
-    return [got[d] for d, _ in docs]
