@@ -71,7 +71,7 @@ def test_pieces_frames(spark, make_docs, corpus, clashing):
 
 def test_fingerprints(spark, make_docs, corpus):
     docs = make_docs(corpus)
-    got = {r.doc_id: r for r in fingerprint.digest(docs, bucket=4000).collect()}
+    got = {r.doc_id: r for r in fingerprint.digest(docs, parts=9).collect()}
     order = sorted(dict(corpus), reverse=True)
     texts = {i: t or "" for i, t in corpus}
     for k, i in enumerate(order):
@@ -337,17 +337,18 @@ def test_field_learns_from_whole_documents():
     plain = lambda n: [b"%s%s" % (rng.choice([b"an", b"th", b"ou"]), rng.choice([b"der", b"ther", b"ble"])) for _ in range(n)]
     late = [b"rotten", b"horrid", b"vicious", b"ghastly"]
     toxic = [[w for _ in range(40) for w in (b"blasted", *plain(9))] + [w for x in late for w in (*plain(2000), x)] for _ in range(10)]
-    field = toxicity.train([*toxic, *(plain(100) for _ in range(100))], [1] * 10 + [0] * 100)
+    docs = [*toxic, *(plain(100) for _ in range(100))]
+    field = toxicity.train(toxicity.Corpus((i, b" ".join(d).decode(), int(i < 10)) for i, d in enumerate(docs)), np.arange(110))
     assert all(field.weight[b"w" + x] > 0.5 for x in late)
 
 
-@pytest.mark.parametrize("long", [0, 1, 2])
-def test_sample_passes_over_long_texts(spark, make_docs, long):
+def test_sample(spark, make_docs):
     ids = [r.id for r in spark.range(40).where("crc32(cast(cast(id as string) as binary)) % 5 != 0").orderBy(F.xxhash64("id")).collect()]
-    size = {i: 10 for i in ids} | {i: 1000 + k for k, i in enumerate(ids[:long])}
-    labels = spark.createDataFrame([(i, int(k < 2)) for k, i in enumerate(ids)], "doc_id long, toxic int")
-    got = labelled_sample(make_docs([(i, "x" * n) for i, n in size.items()]), labels, "toxic", 100, 10 * len(ids))
-    assert sorted(i for i, _, _ in got) == sorted(ids[long:] + ids[: max(0, long - 1)])
+    labels = spark.createDataFrame([(i, y) for i in range(40) for y in (0, int(i % 3 == 0), None)] * 2, "doc_id long, toxic int")
+    docs = make_docs([(i, "x" * i * 1000) for i in range(40)] + [(ids[0], "y")])
+    got = list(labelled_sample(docs, labels, "toxic", 9))
+    # the first ids by their hash; of conflicting labels the greatest; every text of an id
+    assert [(i, y) for i, _, y in got] == [(i, int(i % 3 == 0)) for i in [ids[0], *ids[:8]]]
 
 
 def test_shapes_are_whole():

@@ -9,14 +9,15 @@ string can come from data, and the escape is reversible.
 
 Turns are ordered by turn, then role, then text; repeated rows are
 repeated turns; null role or text is empty; null conv_id is a conversation
-of its own.  A conversation without assistant turns has no examples.  A
-conversation is one value, as its formatted text is; the expansion itself
-is done row by row, so a task holds one prefix at a time.
+of its own.  A conversation without assistant turns has no examples; other
+columns aren't read; an empty table gives an empty one.  A conversation is one
+value, as its formatted text is; the expansion itself is done row by row, so a task
+holds one prefix at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
@@ -40,21 +41,16 @@ def unescape(c: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row a conversation: conv_id, formatted, replies: array of
     (example, turn_end, loss_start, loss_end), offsets in code points from 0."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    role = F.coalesce(F.col("role"), F.lit(""))
-    rows = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    piece = lambda t: F.concat(F.lit(OPEN), escape(t.role), F.lit(MIDDLE), escape(t.text), F.lit(CLOSE))
-    got = got.select("conv_id", F.transform("t", lambda t: F.struct(piece(t).alias("s"), F.char_length(escape(t.text)).alias("n"), (t.role == ASSISTANT).alias("a"))).alias("p"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<example:int,turn_end:int,loss_start:int,loss_end:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc.at + F.char_length(p.s)
-        stop = end - len(CLOSE)
-        row = F.struct(F.size(acc.out).alias("example"), end.alias("turn_end"), (stop - p.n).alias("loss_start"), stop.alias("loss_end"))
-        return F.struct(end.alias("at"), F.when(p.a, F.concat(acc.out, F.array(row))).otherwise(acc.out).alias("out"))
-
-    return got.select("conv_id", F.array_join(F.transform("p", lambda p: p.s), "").alias("formatted"), F.aggregate("p", zero, step, lambda acc: acc.out).alias("replies"))
+    text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    # the running length is a window by the key of the grouping after it, so there is one exchange
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    piece = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
+    rows = rows.select("conv_id", piece.alias("s"), F.char_length(escape(F.col("text"))).alias("n"), F.sum(F.char_length(piece)).over(order).cast("int").alias("end"), (F.col("role") == ASSISTANT).alias("a"))
+    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("end", "s", "n", "a"))).alias("p"))
+    stop = lambda t: t.end - len(CLOSE)
+    reply = lambda t, i: F.struct(i.alias("example"), t.end.alias("turn_end"), (stop(t) - t.n).alias("loss_start"), stop(t).alias("loss_end"))
+    return got.select("conv_id", F.array_join(F.transform("p", lambda t: t.s), "").alias("formatted"), F.transform(F.filter("p", lambda t: t.a), reply).alias("replies"))
 
 
 def expand(formatted: DataFrame) -> DataFrame:

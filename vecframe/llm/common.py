@@ -8,6 +8,7 @@ where one text alone is larger, so memory does not follow the batch size.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,23 +35,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the folder that the session was given for checkpoints.
+
+    Where neither is set a new folder serves a local session only: on a cluster there is none that all executors share."""
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or (own.get() if own.isDefined() else None)
+    if not at and spark.sparkContext.master.startswith("local"):
+        at = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(at)
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return at
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows written once to spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(at or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as a compressed table beside the checkpoints."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
-    path = f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after those that df has already (whatever their case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str):
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -77,18 +104,16 @@ def append_arrow(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list[
     """All columns of `df`, and `fields` computed from the bytes of `text`.
 
     `make()` runs once a task and returns the function on a slice's texts.
-    The new names must not be among the columns of `df`.
+    New names that `df` has already get underscores; the new columns are the last ones.
     """
-    taken = {c.lower() for c in df.columns}
-    if clash := [n for n, _ in fields if n.lower() in taken]:
-        raise ValueError(f"columns are there already: {clash}")
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
+    names = fresh(df, *(n for n, _ in fields))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, (_, t) in zip(names, fields, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for part in slices(batches, text):
             made = work(utf8(part.column(part.schema.get_field_index(text))))
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -98,23 +123,12 @@ def held_out(doc_id) -> "F.Column":
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, max_chars: int) -> list[tuple[int, str, int]]:
-    """At most `rows` labelled training texts of at most `max_chars` code points
-    in total, the first by a hash of doc_id; both are documented bounds of the
-    fit.  A text over what is left of the code points is passed over; a class of
-    which none fits is there with its shortest one.  Held-out rows and null
-    labels are not learnt from.
-    """
-    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(target).cast("int").alias("__y")).dropDuplicates(["doc_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> Iterator[tuple[int, str, int]]:
+    """At most `rows` labelled training texts, the first by a hash of doc_id; that bound of the fit is documented.
+
+    Held-out rows and null labels are not learnt from.  A doc_id with several labels
+    has the greatest one; one with several texts gives each of them."""
+    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("y"))
     pick = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(pick), "doc_id")
-    got = got.select("doc_id", "__t", "__y").orderBy(F.xxhash64("doc_id"), "doc_id", "__t").limit(rows)
-    out, chars, over = [], 0, {}
-    for i, t, y in got.toLocalIterator():
-        if chars + len(t) <= max_chars:
-            chars += len(t)
-            out.append((i, t, y))
-        elif bool(y) not in over or len(t) < len(over[bool(y)][1]):
-            over[bool(y)] = (i, t, y)
-    there = {bool(y) for _, _, y in out}
-    return out + [over[y] for y in sorted(over.keys() - there)]
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(pick), "doc_id")  # `rows` rows at most
+    return (tuple(r) for r in got.select("doc_id", "t", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(rows).toLocalIterator())

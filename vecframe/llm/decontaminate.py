@@ -9,12 +9,15 @@ binary-searched in it, which gives the range of its verbatim occurrences;
 matches that go on in the next item word are joined for the longest one.
 
 The benchmark goes to the executors in blocks of at most BLOCK_CHARS code
-points, one map each over the documents, so its size bounds no worker's memory and
-nothing is shuffled.
+points (about 110 bytes of a worker's memory each), one map each over the documents,
+and nothing is shuffled.  A further block has a stage of its own, so a worker holds
+one at a time.  A longer item is cut into parts that share WINDOW - 1 words.
 
 Null and empty texts have no words and are never contaminated; repeated rows
 are each judged; item ids may repeat (their texts are judged together, and
-the id counts once); a null item id is written as an empty string.
+the id counts once); a null item id is written as an empty string.  A very long
+document is a shard of its own.  Columns may have any names; an empty table, of
+documents or of items, gives no hits.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow
+from .common import append_arrow, col, durable, fresh
 
 WINDOW = 13
 GRAM = 6
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: A-Z to a-z; 0-9, a-z and all of UTF-8 beyond ASCII stay; the rest separates.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MIX = 0x9E3779B97F4A7C15
@@ -160,27 +163,40 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, window: int = WINDOW):
     """The items in lists of at most about block_chars code points, read one after another."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     block, chars = [], 0
     for i, t in rows.toLocalIterator():
-        if block and chars + len(t) > block_chars:
-            yield block
-            block, chars = [], 0
-        block.append((i, t.encode()))
-        chars += len(t)
+        for part in [t.encode()] if len(t) <= block_chars else parts_of(words(t.encode()), block_chars, window):
+            if block and chars + len(part) > block_chars:
+                yield block
+                block, chars = [], 0
+            block.append((i, part))
+            chars += len(part)
     yield block
 
 
+def parts_of(own: list[bytes], size: int, window: int):
+    """A long item's words in texts of about `size` bytes that share window - 1 words, so every window is in one."""
+    start, total = 0, 0
+    for k, w in enumerate(own):
+        total += len(w) + 1
+        if total > size and k - start >= 2 * window or k == len(own) - 1:
+            yield b" ".join(own[start : k + 1])
+            start = k + 2 - window
+            total = sum(len(x) + 1 for x in own[start : k + 1])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, text: str = "text") -> DataFrame:
-    """All columns of docs and __n_words, __spans (hit words, from and to), __items, __longest."""
+    """All columns of docs and four more: __n_words, __spans (hit words, from and to), __items, __longest."""
     spark = docs.sparkSession
     span = T.ArrayType(T.ArrayType(T.IntegerType()))
     fields = [("n_words", T.LongType()), ("spans", span), ("items", T.ArrayType(T.StringType())), ("longest", T.LongType())]
-    out = docs
-    for k, block in enumerate(blocks(benchmark, block_chars)):
-        shared = spark.sparkContext.broadcast(block)  # of at most block_chars code points, or one item
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    out, place = docs.toDF(*own), own[docs.columns.index(text)]
+    for k, block in enumerate(blocks(benchmark, block_chars, window)):
+        shared = spark.sparkContext.broadcast(block)  # of about block_chars code points
 
         def make(shared=shared):
             bench = Benchmark(shared.value, window)
@@ -192,28 +208,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
             return work
 
-        out = append_arrow(out, make, [(f"__{n}_{k}", t) for n, t in fields], text)
-        if k == 0:
-            out = out.withColumnsRenamed({f"__{n}_0": f"__{n}" for n, _ in fields})
-        else:
-            out = out.withColumns({"__spans": F.concat("__spans", f"__spans_{k}"), "__items": F.concat("__items", f"__items_{k}"), "__longest": F.greatest("__longest", f"__longest_{k}")}).drop(*(f"__{n}_{k}" for n, _ in fields))
+        if k:
+            out = durable(out)
+        out = append_arrow(out, make, [(n if k == 0 else f"{n}_{k}", t) for n, t in fields], place)
+        if k:
+            out = out.withColumns({"spans": F.concat("spans", f"spans_{k}"), "items": F.concat("items", f"items_{k}"), "longest": F.greatest("longest", f"longest_{k}")}).drop(*(f"{n}_{k}" for n, _ in fields))
     # spans of several blocks may overlap: a native fold over the sorted ones joins them
-    ordered = F.array_sort("__spans")
     joined = F.aggregate(
-        ordered,
+        F.array_sort("spans"),
         F.array().cast("array<array<int>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= s[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], s[1]))))).otherwise(F.concat(acc, F.array(s))),
     )
-    return out.withColumns({"__spans": joined, "__items": F.array_sort(F.array_distinct("__items"))})
+    out = out.withColumns({"spans": joined, "items": F.array_sort(F.array_distinct("items"))})
+    return out.toDF(*docs.columns, *fresh(docs, *(f"__{n}" for n, _ in fields)))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """find_contamination() and __n_hit, __contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
+    """find_contamination() and two more columns: __n_hit, __contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     out = find_contamination(docs, benchmark, **kw)
-    out = out.withColumn("__n_hit", F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0])))
-    return out.withColumn("__contaminated", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
+    total, spans = (col(c) for c in out.columns[-4:-2])
+    hit, flag = fresh(out, "__n_hit", "__contaminated")
+    out = out.withColumn(hit, F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0])))
+    return out.withColumn(flag, (col(hit) > 0) & (20 * col(hit) >= total))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return judged(docs, benchmark, **kw).where(~F.col("__contaminated")).select(*docs.columns)
+    out = judged(docs, benchmark, **kw)
+    return out.where(~col(out.columns[-1])).select(*map(col, docs.columns))

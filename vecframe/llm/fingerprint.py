@@ -13,12 +13,17 @@ A fingerprint keeps BINS minima of them (one permutation): in each bin,
 fingerprints is the share of bins that agree among those not empty in both, which
 estimates the Jaccard similarity of the signatures; two without any are alike (1).
 
-The next document is found by a range of doc_id, not by one window: doc_ids are
-dealt to buckets by their quantiles, and each bucket also gets the last
-document of the bucket before it (the first one: of all), so every row meets its
-neighbour in its own task.  Null texts are empty.  A null doc_id counts as less than
-all others; rows that repeat a doc_id are in the order of their texts, identical
-ones next to each other in either order, with the same result.
+The next document is found by ranges of doc_id, not by one window: rows are
+dealt to as many buckets as Spark has tasks after a shuffle, about four each,
+by bounds from a sample of doc_ids; a doc_id with many rows gets several
+buckets, by a hash of the text.  Each bucket also gets the last document of the
+bucket before it (the first one: of all), so every row meets its neighbour in its own
+task, which reads its rows in order and holds a slice of them.
+
+Null texts are empty.  A null doc_id counts as less than all others; rows that
+repeat a doc_id are in the order of a hash of their texts, identical ones next to
+each other in either order, with the same result.  Texts may be of any length;
+columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,16 +32,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import append_arrow, slices
 
 BINS = 64
-LEVELS = 6
 CHUNK = 1 << 20
-#: Text of a bucket, in bytes, about.
-BUCKET = 8 << 20
 _K1, _K2, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x9FB21C651E98DF25
 _POWERS = np.array([pow(_P, k, 1 << 64) for k in range(4096)], np.uint64)
 
@@ -118,9 +122,9 @@ def sketches(texts: list[bytes]) -> np.ndarray:
     codes = np.frombuffer(b"".join(texts), np.uint8)
     full = np.flatnonzero(sizes)
     heads = np.cumsum(sizes)[full] - sizes[full]
-    for level in range(1, LEVELS + 1):
-        if not len(codes):
-            break
+    level = 0
+    while len(codes):
+        level += 1
         first = np.zeros(len(codes), bool)
         first[heads] = True
         starts = np.flatnonzero(_cuts(codes, first))
@@ -130,6 +134,11 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         h = (codes + np.uint64(level)) * _K1
         h ^= h >> np.uint64(31)
         np.minimum.at(out, own * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(6))
+        # texts that are one phrase are done
+        many = np.diff(np.append(heads, len(codes))) > 1
+        codes = codes[np.repeat(many, np.diff(np.append(heads, len(codes))))]
+        sizes = np.diff(np.append(heads, len(own)))[many]
+        full, heads = full[many], np.cumsum(sizes) - sizes
     least = out.reshape(-1, BINS)
     short = (least & np.uint64(0xFFFF)).astype(np.uint16)
     short[short == 0] = 1
@@ -149,10 +158,7 @@ def edited(text: str, after: str) -> str:
 
 
 def fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:
-    """All columns of docs, and __fingerprint, a hex string."""
-    from pyspark.sql import types as T
-
-    from .common import append_arrow
+    """All columns of docs, and one more, __fingerprint: a hex string."""
 
     def make():
         return lambda texts: [pa.array([s.astype(">u2").tobytes().hex() for s in sketches(texts)], pa.string())]
@@ -160,28 +166,56 @@ def fingerprint(docs: DataFrame, column: str = "text") -> DataFrame:
     return append_arrow(docs, make, [("__fingerprint", T.StringType())], column)
 
 
-def digest(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+class Ranges:
+    """Buckets by doc_id; one whose bounds have a doc_id several times has that many, by a hash."""
+
+    def __init__(self, sample: list[int], parts: int):
+        ids = np.sort(np.array(sample, np.int64))
+        bounds = ids[[len(ids) * k // parts for k in range(1, parts)]] if len(ids) else ids
+        self.edge, times = np.unique(bounds, return_counts=True)
+        # numbers of buckets left of, and at, each edge: an edge that is one bound begins the bucket on its right
+        self.wide = np.where(times > 1, times, 0)
+        self.first = np.cumsum(1 + self.wide) - self.wide
+        self.hot = bool((times > 1).any())
+
+    def of(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.edge, ids, "right")
+        out = np.concatenate(([0], self.first + self.wide))[at]
+        own = (at > 0) & (ids == self.edge[np.maximum(at - 1, 0)]) if len(self.edge) else np.zeros(len(ids), bool)
+        wide = self.wide[np.maximum(at - 1, 0)] if len(self.edge) else np.zeros(len(ids), np.int64)
+        own &= wide > 0
+        part = (h.astype(np.float64) / 2.0**64 + 0.5) * wide
+        return np.where(own, out - wide + np.minimum(part.astype(np.int64), np.maximum(wide - 1, 0)), out).astype(np.int32)
+
+
+#: Stands for a null doc_id.
+NONE = -(2**63)
+
+
+def digest(docs: DataFrame, parts: int | None = None, sampled: int = 40) -> DataFrame:
+    """parts: buckets; sampled: rows a bucket in the sample that gives their bounds."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # the size by octet_length of the column: no text leaves the scan
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    parts = max(1, min(int((size or 0) / bucket), n), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if n and parts > 1 else []
-    edge = np.array(bounds, np.float64)
+    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = rows.count()
+    ids = rows.select("doc_id").sample(min(1.0, sampled * parts / n), 7).collect() if n else []  # about sampled * parts numbers
+    ranges = Ranges([r.doc_id for r in ids], parts)
+    rows = rows.withColumn("h", F.xxhash64("text"))
 
     def place(batches):
         for batch in batches:
-            ids = batch.column(0)
-            at = np.searchsorted(edge, ids.fill_null(-(2**62)).to_numpy(zero_copy_only=False).astype(np.float64), "right").astype(np.int32)
+            at = ranges.of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["b", *batch.schema.names])
 
-    ends = rows.select("doc_id").mapInArrow(place, "b int, doc_id long").groupBy("b").agg(F.max("doc_id").alias("end")).orderBy("b").collect()  # a row a bucket
-    after = {ends[k - 1]["end"]: ends[k]["b"] for k in range(len(ends))}
-    last = list(after)
-    wanted = spark.createDataFrame([(i, b) for i, b in after.items()], "__end long, b int")
-    carried = rows.where(F.col("doc_id").isin([x for x in last if x is not None]) | (F.lit(None in after) & F.col("doc_id").isNull())).join(wanted, F.col("doc_id").eqNullSafe(F.col("__end"))).select("b", "doc_id", "text", F.lit(0).alias("own"))
-    dealt = rows.mapInArrow(place, "b int, doc_id long, text string").select("b", "doc_id", "text", F.lit(1).alias("own"))
-    near = dealt.unionByName(carried).repartition("b").sortWithinPartitions("b", "own", "doc_id", "text")
+    # the texts are hashed twice only where a doc_id has several buckets
+    known = rows.select("doc_id", "h" if ranges.hot else F.lit(0).cast("long").alias("h"))
+    ends = known.mapInArrow(place, "b int, doc_id long, h long").groupBy("b").agg(F.max(F.struct("doc_id", "h")).alias("end")).orderBy("b").collect()  # a row a bucket
+    after = [(*ends[k - 1]["end"], ends[k]["b"]) for k in range(len(ends))]
+    wanted = F.broadcast(spark.createDataFrame(after, "i long, g long, b int"))  # a row a bucket
+    same = (F.col("doc_id") == F.col("i")) & ((F.col("h") == F.col("g")) if ranges.hot else F.lit(True))
+    carried = rows.join(wanted, same).select("b", "doc_id", "h", "text", F.lit(0).alias("own"))
+    dealt = rows.select("doc_id", "h", "text").mapInArrow(place, "b int, doc_id long, h long, text string").select("b", "doc_id", "h", "text", F.lit(1).alias("own"))
+    near = dealt.unionByName(carried).repartition("b").sortWithinPartitions("b", "own", "doc_id", "h", "text").select("b", "doc_id", "text", "own")
 
     def work(batches):
         before, mark = "", np.zeros(BINS, np.uint16)
@@ -198,7 +232,7 @@ def digest(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
             keep = [i for i, x in enumerate(own) if x]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(1).take(pa.array(keep, pa.int64())),
+                    pc.if_else(pc.equal(ids := part.column(1).take(pa.array(keep, pa.int64())), NONE), None, ids),
                     pa.array([len(texts[i]) for i in keep], pa.int64()),
                     pa.array([hashlib.sha256(raw[i]).hexdigest() for i in keep], pa.string()),
                     pa.array([mine[i].astype(">u2").tobytes().hex() for i in keep], pa.string()),

@@ -1,25 +1,31 @@
 """Line dedup by winnowing over line hashes.
 
 Lines are cut at \\n; those without words are not compared.  A window is
-RUN_LINES lines that follow each other (lines without words left out), or a
-line or pair of lines of HEAVY_WORDS words or more.  A window is deleted if
+`run` lines that follow each other (lines without words left out), or a
+line or pair of lines of `heavy` words or more (0: every line).  A window is deleted if
 the same lines also start earlier: in a smaller doc_id, or before it in the
 same document; windows are judged on the input and may overlap, so what goes
 is every later repeated run, extended both ways as far as it matches.
 
-The least line hash of a window is its fingerprint; equal windows have
-equal fingerprints at equal places.  Fingerprints that occur once are put
-aside by a count with map-side sums; only positions of repeated ones are
-joined.  Around these the windows are compared (extension in
-both directions is the union of equal windows), the first of each
-found by an aggregate, and the later ones marked.  A fingerprint
-with a third of all rows costs one row a task in the counts, and its joins
-are between many rows and one, which adaptive execution splits.
+1. Winnowing: of each window the line with the least hash is its fingerprint; a line
+   that is the least of several windows is one row.  Equal windows
+   have equal fingerprints at equal places, so each repeated run has one.
+2. Positions are joined: fingerprints that occur once are put aside by a count
+   with map-side sums.
+3. From the positions left, the documents' windows around them extend both ways.
+   Windows are one if their lines are (by 128 bits of line hashes, besides the
+   fingerprint); the first of each is found by an aggregate, and the later ones are
+   marked.  A maximal repeated run is the union of its windows.
+
+A fingerprint with a third of all rows costs one row a task in the counts, and
+its joins are between many rows and one, which adaptive execution splits.  Both
+joins with the documents share one exchange of them.
 
 A line without words goes if the nearest line with words before it goes.  Null
 texts stay null and have no lines; a text may become empty.  Rows that repeat
 doc_id and text are one document, and each gets its result; a null doc_id
-comes before all others.
+comes before all others.  Columns may have any names; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import col, fresh, slices, utf8
 
 RUN_LINES = 3
 HEAVY_WORDS = 50
@@ -46,16 +52,17 @@ def lines_of(text: bytes) -> tuple[list[bytes], list[int]]:
 
 
 def windows(texts: list[bytes], run: int, heavy: int) -> tuple[np.ndarray, ...]:
-    """Of all texts: number of the text, fingerprint, hash of the window, its first line and lines; lines count only those with words."""
-    hashes, words, sizes = [], [], []
+    """Of all windows of all texts: number of the text, fingerprint, its line, two hashes of the lines, first line, lines; lines are counted among those with words."""
+    hashes, checks, words, sizes = [], [], [], []
     for t in texts:
         lines, own = lines_of(t)
         sizes.append(len(own))
         for i in own:
             x = lines[i]
             hashes.append(xxhash.xxh3_64_intdigest(x))
+            checks.append(xxhash.xxh3_64_intdigest(x, 1))
             words.append(len(x.split()))
-    h, n = np.array(hashes, np.uint64), np.array(words, np.int64)
+    h, c, n = np.array(hashes, np.uint64), np.array(checks, np.uint64), np.array(words, np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = []
@@ -67,34 +74,81 @@ def windows(texts: list[bytes], run: int, heavy: int) -> tuple[np.ndarray, ...]:
         if k < run:
             keep &= sum(n[j : m + j] for j in range(k)) >= heavy
         i = np.flatnonzero(keep)
-        least = np.minimum.reduce([h[i + j] for j in range(k)])
-        whole = np.full(len(i), k, np.uint64)
-        for j in range(k):
-            whole = (whole ^ h[i + j]) * np.uint64(0x9E3779B97F4A7C15)
-            whole ^= whole >> np.uint64(32)
-        out.append((doc[i], least.view(np.int64), whole.view(np.int64), at[i], np.full(len(i), k)))
-    return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(5))
+        least, where = h[i], np.zeros(len(i), np.int64)
+        for j in range(1, k):
+            less = h[i + j] < least
+            least, where = np.where(less, h[i + j], least), np.where(less, j, where)
+        whole = []
+        for x in (h, c):
+            total = np.full(len(i), k, np.uint64)
+            for j in range(k):
+                total = (total ^ x[i + j]) * np.uint64(0x9E3779B97F4A7C15)
+                total ^= total >> np.uint64(32)
+            whole.append(total.view(np.int64))
+        out.append((doc[i], least.view(np.int64), at[i] + where, *whole, at[i], np.full(len(i), k)))
+    return tuple(np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(7))
+
+
+#: Stands for a null doc_id in joins.
+NONE = -(2**63)
+
+
+def _beside(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """k, row, the columns of docs by number, and the set of marks of each document (null: none).
+
+    Uses that pass on all columns have equal exchanges of the documents, so Spark makes one."""
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text, doc = (named[f"c{docs.columns.index(x)}"] for x in ("text", "doc_id"))
+    keyed = named.withColumns({"k": F.coalesce(doc.cast("long"), F.lit(NONE)), "row": F.xxhash64(text)})
+    value = [c for c in marks.columns if c not in ("k", "row")]
+    grouped = marks.groupBy("k", "row").agg(F.collect_set(F.struct(*value)).alias("marks")).select(F.col("k").alias("k2"), F.col("row").alias("row2"), "marks")
+    return keyed.join(grouped, (F.col("k") == F.col("k2")) & (F.col("row") == F.col("row2")), "left").select("k", "row", *named.columns, "marks")
 
 
 def later_windows(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAVY_WORDS) -> DataFrame:
-    """doc_id, row (a hash of the text), first, lines: windows that also start earlier."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+    """k (doc_id), row (a hash of the text), first, lines: windows that also start earlier."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"), F.xxhash64("text").alias("row"), "text")
 
-    def scan(batches):
+    def winnow(batches):
         for part in slices(batches, "text"):
-            doc, least, whole, at, k = windows(utf8(part.column(2)), run, heavy)
-            own = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(whole), part.column(0).take(own), part.column(1).take(own), pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32))], names=["least", "whole", "doc_id", "row", "first", "lines"])
-
-    found = texts.mapInArrow(scan, "least long, whole long, doc_id long, row long, first int, lines int")
+            doc, least, where = windows(utf8(part.column(2)), run, heavy)[:3]
+            # the fingerprints of neighbouring windows are one line
+            order = np.lexsort((where, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(doc[order]) != 0) | (np.diff(where[order]) != 0)
+            keep = order[new]
+            own = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(least[keep]), part.column(0).take(own), part.column(1).take(own), pa.array(where[keep].astype(np.int32))], names=["least", "k", "row", "at"])
+
+    found = texts.mapInArrow(winnow, "least long, k long, row long, at int")
     # aggregates group by another form of the key than the joins use, so both sides of a join have an
     # exchange of its own, and adaptive execution may split what is frequent
     repeated = found.select(F.struct("least").alias("g")).groupBy("g").count().where("count > 1").select("g.least")
-    near = found.join(repeated, "least", "left_semi").select(F.struct("least", "whole").alias("window"), "doc_id", "row", "first", "lines")
-    start = F.struct("doc_id", "row", "first")
-    first = near.groupBy(F.struct("window.whole", "window.least").alias("g")).agg(F.min(start).alias("start"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(F.struct("g.least", "g.whole").alias("window"), "start")
-    return near.join(first, "window").where(start > F.col("start")).select("doc_id", "row", "first", "lines")
+    near = found.join(repeated, "least", "left_semi").select("k", "row", "at")
+    both = _beside(docs, near)
+    place = 2 + docs.columns.index("text")
+
+    def extend(batches):
+        for batch in batches:
+            with_marks = batch.filter(batch.column(batch.num_columns - 1).is_valid())
+            for part in slices(iter([with_marks]), with_marks.schema.names[place]):
+                doc, least, where, whole, check, first, lines = windows(utf8(part.column(place)), run, heavy)
+                marks = part.column(part.num_columns - 1)
+                size = np.diff(marks.offsets.to_numpy())
+                at = marks.flatten().flatten()[0].to_numpy()
+                base = int(where.max(initial=0)) + 1
+                hit = np.isin(doc * base + where, (np.repeat(np.arange(len(size)), size) * base + at)[at < base])
+                own = pa.array(doc[hit])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[hit]) for x in (least, whole, check)), part.column(0).take(own), part.column(1).take(own), *(pa.array(x[hit].astype(np.int32)) for x in (first, lines))],
+                    names=["least", "whole", "check", "k", "row", "first", "lines"],
+                )
+
+    around = both.mapInArrow(extend, "least long, whole long, check long, k long, row long, first int, lines int")
+    key, start = ("least", "whole", "check"), F.struct("k", "row", "first")
+    first = around.groupBy(F.struct(*reversed(key)).alias("g")).agg(F.min(start).alias("start"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(F.struct(*(f"g.{x}" for x in key)).alias("window"), "start")
+    return around.select(F.struct(*key).alias("window"), "k", "row", "first", "lines").join(first, "window").where(start > F.col("start")).select("k", "row", "first", "lines")
 
 
 def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -114,28 +168,27 @@ def cut(text: bytes, marks: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAVY_WORDS) -> DataFrame:
-    """All columns of docs with the text cut, and __removed, __runs: lines and runs of lines that went."""
-    marks = later_windows(docs, run, heavy).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "lines")).alias("__marks")).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "__marks")
-    both = docs.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__row")), "left").select(*docs.columns, "__marks")
-    place = docs.columns.index("text")
+    """All columns of docs with the text cut, and two more, __removed and __runs: lines and runs of lines that went."""
+    both = _beside(docs, later_windows(docs, run, heavy))
+    place, n = docs.columns.index("text"), len(docs.columns)
 
     def work(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, f"c{place}"):
             texts, counts = [], []
-            for raw, own in zip(part.column(place).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
+            for raw, own in zip(part.column(place + 2).to_pylist(), part.column(n + 2).to_pylist(), strict=True):
                 got = (None if raw is None else raw.encode(), 0, 0) if not own else cut(raw.encode(), [(x["first"], x["lines"]) for x in own])
                 texts.append(None if got[0] is None else got[0].decode())
                 counts.append(got[1:])
-            cols = [c if i != place else pa.array(texts, pa.string()) for i, c in enumerate(part.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=[*part.schema.names[:-1], "__removed", "__runs"])
+            columns = [c if i != place else pa.array(texts, pa.string()) for i, c in enumerate(part.columns[2 : n + 2])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[j] for c in counts], pa.int64()) for j in (0, 1))], names=[*(f"c{i}" for i in range(n)), "removed", "runs"])
 
-    kinds = T.StructType([*docs.schema.fields, T.StructField("__removed", T.LongType()), T.StructField("__runs", T.LongType())])
-    return both.mapInArrow(work, kinds)
+    kinds = T.StructType([*(T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema.fields)), T.StructField("removed", T.LongType()), T.StructField("runs", T.LongType())])
+    return both.mapInArrow(work, kinds).toDF(*docs.columns, *fresh(docs, "__removed", "__runs"))
 
 
 def drop_repeated_lines(docs: DataFrame, run: int = RUN_LINES, heavy: int = HEAVY_WORDS) -> DataFrame:
     """The documents with their own columns; n_chars, if there, is that of the new text."""
-    out = dedup(docs, run, heavy).select(*docs.columns)
+    out = dedup(docs, run, heavy).select(*map(col, docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

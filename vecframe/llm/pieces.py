@@ -14,7 +14,9 @@ of an earlier state.  Whether a pair stays apart is worked out once.
 
 Models must have identity normalization, as the public ones here do; others
 are refused.  Null texts give null; empty texts give no ids.  As in the
-library, the mark itself (U+2581) in a text decodes as a space.
+library, the mark itself (U+2581) in a text decodes as a space.  Repeated rows give
+repeated results; a text without spaces is one word, however long; columns may
+have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import col, fresh, slices
 
 MARK = "▁"
-#: Words and pairs of pieces that a worker remembers.
-KNOWN_WORDS = 700_000
+#: Bytes of words, and pairs of pieces, that a worker remembers; longer words are forgotten at once.
+KNOWN_BYTES = 64 << 20
 KNOWN_PAIRS = 400_000
+LONG_WORD = 1 << 10
 MODEL_BYTES = 64 << 20
 
 
@@ -71,6 +74,7 @@ class Pieces:
         self.cut_marks = not any(inner.search(p) for p in self.id)
         self.cut_lines = not any("\n" in p and len(p) > 1 for p in self.id)
         self.words: dict[str, bytes] = {}
+        self.size = 0
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # -- segmentation
@@ -167,12 +171,19 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.marked(t) for t in texts]
-        if len(self.words) > KNOWN_WORDS:
+        if self.size > KNOWN_BYTES:
             self.words.clear()
-        fresh = set().union(*cut) - self.words.keys() if cut else set()
-        self.learn(sorted(fresh))
+            self.size = 0
+        new = set().union(*cut) - self.words.keys() if cut else set()
+        self.learn(sorted(new))
         get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), self.dtype) for w in cut]
+        out = [np.frombuffer(b"".join(map(get, w)), self.dtype) for w in cut]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.words[w]
+            else:
+                self.size += 120 + 3 * len(w)  # the entry, the word and its ids, about
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -202,7 +213,7 @@ def _map(df: DataFrame, model: str | None, schema, columns) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """All columns of docs, and __ids: array of int."""
+    """All columns of docs, and one more, __ids: array of int."""
 
     def columns(pieces, texts):
         got = pieces.encode([t or "" for t in texts])
@@ -212,21 +223,23 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         offsets = pa.array(ends.astype(np.int32), mask=np.append(gone, False)) if gone.any() else pa.array(ends.astype(np.int32))
         return [pa.ListArray.from_arrays(offsets, pa.array(flat))]
 
-    return _map(docs, model, T.StructType([*docs.schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))]), columns)
+    return _map(docs, model, T.StructType([*docs.schema.fields, T.StructField(*fresh(docs, "__ids"), T.ArrayType(T.IntegerType()))]), columns)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
-    """All columns of rows, and __decoded, the text of the array column `ids`; null stays null."""
+    """All columns of rows, and one more, __decoded: the text of the array column `ids`; null stays null."""
     shared = rows.sparkSession.sparkContext.broadcast(_read(model or default_model()))
-    place = rows.columns.index(ids)
+    place, (name,) = rows.columns.index(ids), fresh(rows, "__decoded")
 
     def run(batches):
         pieces = Pieces(shared.value)
         for part in batches:
+            if not part.num_rows:
+                continue
             texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in part.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "__decoded"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__decoded", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -245,3 +258,13 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
     own = docs.select("doc_id", "text")
     schema = T.StructType([*own.schema.fields]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
     return _map(own, model, schema, columns).drop("text")
+
+
+def tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """The documents without their texts, and two more columns, ids and n_tokens."""
+    out = encode(docs, model)
+    kept = [c for c in docs.columns if c != "text"]
+    rest = out.select(*map(col, kept))
+    ids, n = fresh(rest, "ids", "n_tokens")
+    last = col(out.columns[-1])
+    return out.select(*map(col, kept), last.alias(ids), F.when(last.isNotNull(), F.size(last)).cast("long").alias(n))

@@ -7,18 +7,20 @@ classes; a text's vector is scaled to unit length.  Dual coordinate descent fits
 linear model (L1 hinge loss, L2 penalty); a logistic curve on its margins
 makes scores.
 
-The fit uses at most FIT_ROWS labelled rows and FIT_CHARS code points, chosen by a hash of
-doc_id from the rows that are not held out; every document is scored from
-its whole text and from nothing else.  Null and empty texts have no
-features: their score is that of the bias.  Repeated rows score alike.
-With labels of one class only, or none, every score is that class's share
-(0.5 with none).
+The fit uses at most FIT_ROWS labelled rows, chosen by a hash of doc_id from the
+rows that are not held out; their texts are read one by one and kept as features.
+Every document is scored from its whole text, however long, and from nothing else.
+Null and empty texts have no features: their score is that of the bias.  Repeated
+rows score alike; a doc_id with several labels has the greatest.  With labels of
+one class only, or none, every score is that class's share (0.5 with none).
+Columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from pyspark.sql import types as T
 from .common import append_arrow, held_out, labelled_sample
 
 FIT_ROWS = 6000
-FIT_CHARS = 30_000_000
 BITS = 18
 BYTE_GRAMS = (2, 3)
 SHAPE_GRAMS = (1, 2, 3, 4)
@@ -146,14 +147,15 @@ def curve(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
-def fit(sample: list[tuple[int, str, int]], cost: float = 4.0, epochs: int = 12) -> Model:
+def fit(sample: Iterable[tuple[int, str | None, int]], cost: float = 4.0, epochs: int = 12) -> Model:
     """A model from (doc_id, text, label) rows."""
-    y = np.array([1 if label else 0 for _, _, label in sample])
-    size = 1 << BITS
+    features, rows, labels, size = Features(), [], [], 1 << BITS
+    for _, text, label in sample:
+        rows.append(features.of((text or "").encode()).astype(np.int32))
+        labels.append(1 if label else 0)
+    y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, 0.0, float(y[0]) if len(y) else 0.5)
-    features = Features()
-    rows = [features.of((t or "").encode()).astype(np.int32) for _, t, _ in sample]
     folds = np.arange(len(rows)) % 3
 
     def train(keep: np.ndarray) -> Model:
@@ -190,9 +192,9 @@ def scorer(model: Model):
     return make
 
 
-def score(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
-    """All columns of docs, and __score: the probability of label 1."""
-    model = fit(labelled_sample(docs, labels, target, rows, chars))
+def score(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = FIT_ROWS) -> DataFrame:
+    """All columns of docs, and one more, __score: the probability of label 1."""
+    model = fit(labelled_sample(docs, labels, target, rows))
     return append_arrow(docs, scorer(docs.sparkSession.sparkContext.broadcast(model)), [("__score", T.DoubleType())])
 
 

@@ -15,8 +15,9 @@ what is not yet joined are returned, at most one fewer than the nodes.
 
 Components come from star steps over those links.  A text without words has
 fingerprint zero (null and empty too); texts of fewer than four words have
-one shingle, the whole sequence.  Repeated rows link like any copies; the
-component's id is its smallest doc_id that is not null (null if all are).
+one shingle, the whole sequence; a text of any length is hashed whole.  Repeated
+rows link like any copies; the component's id is its smallest doc_id that is not
+null (null if all are).  Columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -262,7 +263,8 @@ def clustered(docs: DataFrame) -> DataFrame:
     nodes = marked.groupBy("__fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(nodes, nodes.count()))
     rooted = nodes.join(linked.select(F.col("u").alias("__fp"), F.col("v").alias("__root")), "__fp", "left").withColumn("__root", F.coalesce("__root", "__fp"))
-    least = rooted.groupBy("__root").agg(F.min("least").alias("__component"))
+    # grouped by another form of the key, so the join's sides have exchanges of their own and a large component can be split
+    least = rooted.groupBy(F.struct("__root").alias("g")).agg(F.min("least").alias("__component")).select("g.__root", "__component")
     return marked.join(rooted.join(least, "__root").select("__fp", "__root", "__component"), "__fp")
 
 
@@ -275,9 +277,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, one row of it, with its own columns.
 
     In a component whose doc_ids are all null one of its rows stays."""
-    number = lambda c: F.coalesce(c, F.lit(NONE))
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(NONE))
     first = clustered(docs).where(F.col("doc_id").eqNullSafe(F.col("__component")))
-    kept = first.groupBy("__root").agg(F.min(F.struct(number(F.col("doc_id")).alias("__k"), "__text")).alias("m")).select("m.*")
-    rows = docs.withColumns({"__k": number(F.col("doc_id").cast("long")), "__text": F.xxhash64("text")})
+    kept = first.groupBy("__root").agg(F.min(F.struct(number(F.col("doc_id")).alias("k"), F.col("__text").alias("t"))).alias("m")).select("m.*")
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    doc, text = (named[f"c{docs.columns.index(x)}"] for x in ("doc_id", "text"))
+    rows = named.withColumns({"k": number(doc), "t": F.xxhash64(text)})
     # repeated rows are next to each other after the join, which dealt them by the same keys
-    return rows.join(kept, ["__k", "__text"]).dropDuplicates(["__k", "__text"]).select(*docs.columns)
+    return rows.join(kept, ["k", "t"]).dropDuplicates(["k", "t"]).select(*named.columns).toDF(*docs.columns)

@@ -12,21 +12,23 @@ sampled rows with one of those features is in one, and two random places a docum
 Only features that a toxic token had can have a weight, so all other tokens
 share one emission.  Forward and backward messages run over the tokens
 with weights and cross the gaps by powers of the transfer matrix, which
-is the full recursion in fewer steps.  A logistic curve on the log-odds that some word of a document is toxic
-(by each word's largest marginal, if LEAST or more) makes its score;
+is the full recursion in fewer steps.  A logistic curve on the log-odds that some
+word of a document is toxic (by each word's largest marginal) makes its score;
 tokens whose marginal is at least 0.5 make its spans.
 
-The fit uses at most FIT_ROWS labelled rows and FIT_CHARS code points, chosen by a hash of
-doc_id from the rows that are not held out.  Texts are used whole.  Null
-and empty texts have no tokens: marginals are zero and the curve's
-lowest value is their score.  With labels of one class only, or none, every
-score is that class's share (0 with none) and nothing is tagged.
+The fit uses at most FIT_ROWS labelled rows, chosen by a hash of doc_id from the
+rows that are not held out; their whole texts are read one by one and kept as numbers
+of words.  Every document is scored from its whole text.  Null and empty texts
+have no tokens: the curve's lowest value is their score.  Repeated rows score
+alike; a doc_id with several labels has the greatest.  With labels of one class
+only, or none, every score is that class's share (0 with none) and nothing is
+tagged.  Columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, held_out, labelled_sample
+from .common import append_arrow, col, held_out, labelled_sample
 from .decontaminate import FOLD
 from .quality import curve
 
 FIT_ROWS = 7000
-FIT_CHARS = 14_000_000
 SEED_DOCS = 4
 SEED_ODDS = 2.0
 SEED_ERRORS = 1.64
-#: Marginals under this don't count towards a document's score.
-LEAST = 0.25
 SIDE = 8
 
 
@@ -52,17 +51,39 @@ def features(word: bytes) -> tuple[bytes, ...]:
     return (b"w" + word, *(b"%d" % n + word[:n] for n in (4, 5, 6) if len(word) >= n))
 
 
-def seeds(docs: list[list[bytes]], toxic: list[int]) -> set[bytes]:
-    """Features that tell toxic documents from the others."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for tokens, y in zip(docs, toxic, strict=True):
-        seen[y].update({f for w in set(tokens) for f in features(w)})
-    n1, n0 = sum(toxic) + 1, len(toxic) - sum(toxic) + 1
-
-    def odds(k: float, other: float) -> float:
-        return math.log(k / n1) - math.log(other / n0) - SEED_ERRORS * math.sqrt(1 / k + 1 / other)
-
-    return {f for f, k in seen[1].items() if k >= SEED_DOCS and odds(k + 0.5, seen[0][f] + 0.5) > SEED_ODDS}
+class Corpus:
+    """Documents as numbers of words, and the words' features."""
+
+    def __init__(self, sample: Iterable[tuple[int, str | None, int]]):
+        number: dict[bytes, int] = {}
+        self.docs: list[np.ndarray] = []
+        labels = []
+        for _, text, label in sample:
+            words = (text or "").encode().translate(FOLD).split()
+            self.docs.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+            labels.append(1 if label else 0)
+        self.toxic, self.words = np.array(labels, np.int64), list(number)
+        code: dict[bytes, int] = {}
+        #: Of each word; the last feature stands for none.
+        self.features = np.full((len(number), 4), -1, np.int32)
+        for i, w in enumerate(self.words):
+            for k, f in enumerate(features(w)):
+                self.features[i, k] = code.setdefault(f, len(code))
+        self.names = list(code)
+        self.features[self.features < 0] = len(code)
+
+    def seeds(self, rows: np.ndarray) -> np.ndarray:
+        """Whether a feature tells the toxic ones of these documents from the others."""
+        seen = np.zeros((2, len(self.names) + 1))
+        for i in rows.tolist():
+            seen[self.toxic[i], np.unique(self.features[np.unique(self.docs[i])])] += 1
+        y = self.toxic[rows]
+        n1, n0 = int(y.sum()) + 1, int(len(y) - y.sum()) + 1
+        k, other = seen[1] + 0.5, seen[0] + 0.5
+        odds = np.log(k / n1) - np.log(other / n0) - SEED_ERRORS * np.sqrt(1 / k + 1 / other)
+        out = (seen[1] >= SEED_DOCS) & (odds > SEED_ODDS)
+        out[-1] = False
+        return out
 
 
 class Field:
@@ -144,86 +165,94 @@ class Field:
         return at, [float(x1 * y1 / (x0 * y0 + x1 * y1)) for (x0, x1), (y0, y1) in zip(alphas, betas, strict=True)]
 
 
-def train(docs: list[list[bytes]], toxic: list[int], rounds: int = 15, rate: float = 0.5, penalty: float = 1e-4, seed: int = 5) -> Field | None:
-    """A field from tokens of documents and the documents' labels; None if no token can be labelled."""
-    sown = seeds(docs, toxic)
-    hot = {w: any(f in sown for f in features(w)) for d, y in zip(docs, toxic, strict=True) if y for w in set(d)}
-    marked = [[int(y and hot.get(w, False)) for w in d] for d, y in zip(docs, toxic, strict=True)]
-    names = sorted({f for d, m in zip(docs, marked, strict=True) for w, y in zip(d, m, strict=True) if y for f in features(w)})
-    if not names:
+def train(corpus: Corpus, rows: np.ndarray, rounds: int = 15, still: float = 0.03, rate: float = 0.5, penalty: float = 1e-4, seed: int = 5) -> Field | None:
+    """A field from these documents and their labels; None if no token can be labelled.
+
+    Ends after `rounds` passes, or one that moves the weights by less than `still` of their length."""
+    hot = corpus.seeds(rows)[corpus.features].any(1)
+    said = np.zeros(len(corpus.words), bool)
+    for i in rows[corpus.toxic[rows] == 1].tolist():
+        said[corpus.docs[i]] = True
+    used = np.unique(corpus.features[hot & said])
+    used = used[used < len(corpus.names)]
+    if not len(used):
         return None
-    number = {f: i for i, f in enumerate(names)}
-    own: dict[bytes, list[int]] = {}
-    none = len(names)
+    none = len(used)
+    number = np.full(len(corpus.names) + 1, none, np.int32)
+    number[used] = np.arange(none)
+    # words with the same features are one; the first one has none
+    kinds, own = np.unique(np.concatenate((np.full((1, 4), none, np.int32), np.sort(number[corpus.features], 1))), axis=0, return_inverse=True)
+    blank, own = int(own[0]), own[1:].astype(np.int32)
     rng = np.random.default_rng(seed)
     wide = 2 * SIDE + 1
-    xs, ys = [], []
-    for d, m in zip(docs, marked, strict=True):
-        if not d:
+    parts = []
+    for i in rows.tolist():
+        d = corpus.docs[i]
+        if not len(d):
             continue
-        for w in set(d):
-            if w not in own:
-                own[w] = ([number[f] for f in features(w) if f in number] + [none] * 4)[:4]
-        # around all toxic tokens, around all others that share a feature with one, and anywhere
-        code = np.full((len(d) + 2 * SIDE, 4), none, np.int32)
-        code[SIDE : SIDE + len(d)] = [own[w] for w in d]
-        mark = np.zeros(len(d) + 2 * SIDE, np.int8)
-        mark[SIDE : SIDE + len(d)] = m
+        # around all toxic tokens, around all others that share a feature with one, and anywhere; twice the number, and 1 where toxic
+        code = np.full(len(d) + 2 * SIDE, 2 * blank, np.int32)
+        code[SIDE : SIDE + len(d)] = 2 * own[d] + (hot[d] & bool(corpus.toxic[i]))
         mid, last = rng.integers(0, len(d), 2).tolist(), -wide
-        for i in np.flatnonzero((code[SIDE : SIDE + len(d)] != none).any(1)).tolist():
-            # one window stands for the tokens up to half a side after its middle
-            if i - last > SIDE // 2:
-                mid.append(i)
-                last = i
-        at = np.array(mid)[:, None] + np.arange(wide)
-        xs.append(code[at])
-        ys.append(mark[at])
-    x, y = np.concatenate(xs), np.concatenate(ys)
+        for k in np.flatnonzero(own[d] != blank).tolist():
+            # a window stands for all tokens in its second half
+            if k - last > SIDE:
+                mid.append(k)
+                last = k
+        parts.append(code[np.array(mid)[:, None] + np.arange(wide)])
+    # equal windows count as often as they are there
+    x, times = np.unique(np.concatenate(parts).view(np.dtype((np.void, 4 * wide))).ravel(), return_counts=True)
+    x = x.view(np.int32).reshape(-1, wide)
     weight, grad_sq = np.zeros(none + 1), np.full(none + 1, 1e-6)
     rest = np.zeros(6)  # bias, first, move
     rest_sq = np.full(6, 1e-6)
     for _ in range(rounds):
+        before = weight.copy()
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 1024)):
-            xb, yb = x[part], y[part]
-            e = weight[xb].sum(2) + rest[0]
-            move = rest[2:].reshape(2, 2)
-            m = np.exp(move)
-            n = len(part)
-            emit = np.ones((n, wide, 2))
-            emit[:, :, 1] = np.exp(np.clip(e, -30, 30))
-            alpha = np.empty((n, wide, 2))
-            beta = np.ones((n, wide, 2))
-            alpha[:, 0] = emit[:, 0] * np.array([1.0, math.exp(rest[1])])
-            alpha[:, 0] /= alpha[:, 0].sum(1, keepdims=True)
-            for t in range(1, wide):
-                alpha[:, t] = alpha[:, t - 1] @ m * emit[:, t]
-                alpha[:, t] /= alpha[:, t].sum(1, keepdims=True)
-            for t in range(wide - 2, -1, -1):
-                beta[:, t] = (emit[:, t + 1] * beta[:, t + 1]) @ m.T
-                beta[:, t] /= beta[:, t].sum(1, keepdims=True)
-            gamma = alpha * beta
-            gamma /= gamma.sum(2, keepdims=True)
-            pair = alpha[:, :-1, :, None] * m[None, None] * (emit * beta)[:, 1:, None, :]
-            pair /= pair.sum((2, 3), keepdims=True)
-            truth = np.zeros((2, 2))
-            np.add.at(truth, (yb[:, :-1].ravel(), yb[:, 1:].ravel()), 1)
-            off = (gamma[:, :, 1] - yb) / n
-            g = np.bincount(xb.ravel(), np.repeat(off.ravel(), 4), none + 1) + penalty * weight
+            t = times[part] / times[part].sum()
+            word, y = x[part].T >> 1, x[part].T & 1
+            m = np.exp(rest[2:])
+            e = np.exp(np.clip(weight[kinds].sum(1) + rest[0], -30, 30))[word]
+            # messages of label 1, as shares: from the left with the token's own emission, from the right without
+            left, right = np.empty(word.shape), np.empty(word.shape)
+            q = math.exp(rest[1]) * e[0]
+            left[0], right[-1] = q / (1 + q), 0.5
+            for k in range(1, wide):
+                p = left[k - 1]
+                q = ((1 - p) * m[1] + p * m[3]) * e[k]
+                left[k] = q / ((1 - p) * m[0] + p * m[2] + q)
+            for k in range(wide - 2, -1, -1):
+                q = e[k + 1] * right[k + 1]
+                r = 1 - right[k + 1]
+                u, v = m[0] * r + m[1] * q, m[2] * r + m[3] * q
+                right[k] = v / (u + v)
+            q = left * right
+            toxic = q / (q + (1 - left) * (1 - right))
+            a, b = (1 - left[:-1], left[:-1]), (1 - right[1:], e[1:] * right[1:])
+            pair = [a[i] * m[2 * i + j] * b[j] for i in (0, 1) for j in (0, 1)]
+            total = pair[0] + pair[1] + pair[2] + pair[3]
+            move = np.array([((z / total).sum(0) * t).sum() for z in pair])
+            step = 2 * y[:-1] + y[1:]
+            off = (toxic - y) * t
+            g = np.bincount(word.ravel(), off.ravel(), len(kinds))
+            g = np.bincount(kinds.ravel(), np.repeat(g, 4), none + 1) + penalty * weight
             g[none] = 0
-            gr = np.concatenate(([off.sum(), off[:, 0].sum()], ((pair.sum((0, 1)) - truth) / n).ravel())) + penalty * rest
+            gr = np.concatenate(([off.sum(), off[0].sum()], move - np.bincount(step.ravel(), np.broadcast_to(t, step.shape).ravel(), 4))) + penalty * rest
             grad_sq += g * g
             rest_sq += gr * gr
             weight -= rate * g / np.sqrt(grad_sq)
             rest -= rate * gr / np.sqrt(rest_sq)
-    return Field({f: float(weight[i]) for f, i in number.items()}, float(rest[0]), rest[2:].reshape(2, 2), float(rest[1]))
+        if np.linalg.norm(weight - before) < still * np.linalg.norm(weight):
+            break
+    return Field({corpus.names[f]: float(w) for f, w in zip(used.tolist(), weight.tolist(), strict=False)}, float(rest[0]), rest[2:].reshape(2, 2), float(rest[1]))
 
 
 def summary(words: list[bytes], at: list[int], p: list[float]) -> float:
     """A document's marginals as one figure: the log-odds that some word is toxic, from the largest of each
-    different word if it is LEAST or more (a word said often is no more evidence); between -6 and 30."""
+    different word (a word said often is no more evidence); between -6 and 30."""
     best: dict[bytes, float] = {}
     for i, x in zip(at, p, strict=True):
-        if x >= LEAST and x > best.get(words[i], 0.0):
+        if x > best.get(words[i], 0.0):
             best[words[i]] = x
     quiet = sum(math.log1p(-min(x, 1 - 1e-12)) for x in best.values())
     some = -math.expm1(quiet)
@@ -243,22 +272,25 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * summary(words, at, p) + self.shift)))), at, p
 
 
-def fit(sample: list[tuple[int, str, int]]) -> Model:
-    y = [1 if label else 0 for _, _, label in sample]
-    if not y or min(y) == max(y):
-        return Model(None, 1.0, 0.0, float(y[0]) if y else 0.0)
-    once: dict[bytes, bytes] = {}  # one object a word, or the driver holds one for each token
-    docs = [[once.setdefault(w, w) for w in (t or "").encode().translate(FOLD).split()] for _, t, _ in sample]
-    sample = []
+def fit(sample: Iterable[tuple[int, str | None, int]]) -> Model:
+    corpus = Corpus(sample)
+    y, rows = corpus.toxic, np.arange(len(corpus.docs))
+    if not len(y) or y.min() == y.max():
+        return Model(None, 1.0, 0.0, float(y[0]) if len(y) else 0.0)
     # the curve is fitted on documents that its field has not learnt from
-    a, b = list(range(0, len(y), 2)), list(range(1, len(y), 2))
-    part = train([docs[i] for i in a], [y[i] for i in a]) if len({y[i] for i in a}) > 1 else None
-    field = train(docs, y)
+    a, b = rows[::2], rows[1::2]
+    part = train(corpus, a) if len(set(y[a].tolist())) > 1 else None
+    field = train(corpus, rows)
     if field is None:
-        return Model(None, 1.0, 0.0, sum(y) / len(y))
-    if part is None or len({y[i] for i in b}) < 2:
-        part, b = field, list(range(len(y)))
-    slope, shift = curve(np.array([summary(docs[i], *part.marginals(docs[i])) for i in b]), np.array([y[i] for i in b]))
+        return Model(None, 1.0, 0.0, float(y.mean()))
+    if part is None or len(set(y[b].tolist())) < 2:
+        part, b = field, rows
+
+    def evidence(i: int) -> float:
+        words = [corpus.words[w] for w in corpus.docs[i].tolist()]
+        return summary(words, *part.marginals(words))
+
+    slope, shift = curve(np.array([evidence(i) for i in b.tolist()]), y[b])
     return Model(field, slope, shift)
 
 
@@ -285,9 +317,9 @@ def spans(text: str, at: list[int], p: list[float], least: float = 0.5) -> list[
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
-    """All columns of docs, __score, and __spans: the offending offsets in code points."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", rows, chars)))
+def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """All columns of docs, and two more, __score and __spans: the offending offsets in code points."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", rows)))  # words of the sampled toxic texts
 
     def make():
         model = shared.value
@@ -308,4 +340,5 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score is under the threshold, with their own columns."""
-    return score(docs, labels).where(F.col("__score") < threshold).select(*docs.columns)
+    got = score(docs, labels)
+    return got.where(col(got.columns[-2]) < threshold).select(*map(col, docs.columns))
