@@ -2,12 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and returns the columns of documents; the last one adds the token ids.
+Null and empty texts go through all stages (of copies one stays); repeated rows are
+judged alike, and the near-copy stage keeps one of them; a null doc_id is less
+than all others; texts may be of any length; docs may have columns of any names
+besides; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vecframe.llm import decontaminate, line_dedup, pieces, simhash, toxicity
 from vecframe.llm.common import durable, ship, table
@@ -37,10 +40,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts; ids and their count come after the columns of documents."""
+    """Encode the texts, which go; ids and their count come after the other columns."""
     ship(spark)
-    out = pieces.encode(docs)
-    return out.withColumn("n_tokens", F.size("__ids").cast("long")).withColumnRenamed("__ids", "ids").drop("text")
+    return pieces.tokens(docs)
 
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash_dedup", near_copies), ("decontamination", contaminated), ("sentencepiece", tokens)]
