@@ -1,6 +1,7 @@
 """Second implementations of the operators, by brute force; for tests only."""
 
 import hashlib
+import math
 
 import xxhash
 
@@ -91,3 +92,82 @@ def lines(docs, run=3, heavy=50):
         got = line_dedup.cut((t or "").encode(), marks.get((d, t or ""), []))
         out.append((d, got[1], got[2], len(got[0].decode()), hashlib.sha256(got[0]).hexdigest()))
     return out
+
+
+def page(body):
+    """(html, main text) of a tree of [tag, kids] and texts, by the definitions; no articles, no class names."""
+
+    def write(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(write, x[1]))}</{x[0]}>"
+
+    def letters(x):
+        return len("".join(x.split())) if isinstance(x, str) else sum(map(letters, x[1]))
+
+    def tags(x):
+        return 0 if isinstance(x, str) else sum(tags(k) + (not isinstance(k, str)) for k in x[1])
+
+    def linked(x, inside=False):
+        inside = inside or x[0] == "a" and not isinstance(x, str)
+        return sum((letters(k) if inside else 0) if isinstance(k, str) else linked(k, inside) for k in x[1])
+
+    def links(x):
+        return 0 if isinstance(x, str) else (x[0] == "a") + sum(map(links, x[1]))
+
+    share = linked(body) / max(1, letters(body))
+
+    def density(x, in_link=False):
+        c = letters(x)
+        lc, t, lt = (c if in_link else 0, 0, 0) if isinstance(x, str) else (linked(x), tags(x), links(x))
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base + 1e-9) if base > 1.000001 else c / max(1, t) * math.log(max(1.0, c * max(1, t)) + 1)
+
+    def total(x):
+        return sum(density(k, x[0] == "a") for k in x[1])
+
+    def under(x):
+        return [x, *(y for k in x[1] if not isinstance(k, str) for y in under(k))]
+
+    up = {id(k): x for x in under(body) for k in x[1] if not isinstance(k, str)}
+    if not letters(body):
+        return write(body), ""
+    x = max(under(body), key=total)
+    low = density(x)
+    while id(x) in up:
+        x = up[id(x)]
+        low = min(low, density(x))
+    block = lambda x: x[0] in ("div", "p", "ul", "li", "body")
+    chosen = set()
+    centre = max(under(body), key=total)
+    chosen.add(id(centre))
+    for x in under(body):
+        if letters(x) and density(x) >= low:
+            y = max(under(x), key=total)
+            while not block(y):
+                y = up[id(y)]
+            chosen.add(id(y))
+    out, line = [], []
+
+    def flush():
+        if " ".join("".join(line).split()):
+            out.append(" ".join("".join(line).split()))
+        line.clear()
+
+    def read(x, on):
+        if isinstance(x, str):
+            if on:
+                line.append(x)
+            return
+        if block(x) and links(x) >= 3 and linked(x) > 0.6 * letters(x):
+            return
+        begins = id(x) in chosen and not on
+        if block(x) or begins:
+            flush()
+        for k in x[1]:
+            read(k, on or begins)
+        if block(x) or begins:
+            flush()
+
+    read(body, False)
+    return write(body), "\n".join(out)

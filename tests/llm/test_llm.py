@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import os
 import random
+import time
 import zlib
 
 import duckdb
@@ -394,6 +395,41 @@ def test_html_selects_by_threshold():
         assert html_text.main_text(f"<html><body>{html}</body></html>").split("\n") == sum(parts, [])
 
 
+def test_html_by_density():
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+
+    def grow(depth):
+        tag = rng.choice(["div", "div", "ul"] if depth > 1 else ["p", "span", "a", "b"])
+        if tag == "ul":
+            return [tag, [["li", [["a", [words(2)]]]] for _ in range(rng.randrange(1, 6))]]
+        if depth <= 1:
+            return [tag, [words(rng.choice([1, 3, 20, 60])), *([["a", [words(2)]]] if tag == "p" and rng.random() < 0.3 else [])]]
+        return [tag, [grow(depth - rng.randrange(1, 3)) for _ in range(rng.randrange(1, 5))]]
+
+    for _ in range(300):
+        html, text = brute.page(["body", [grow(rng.randrange(1, 5)) for _ in range(rng.randrange(0, 5))]])
+        assert html_text.main_text(html) == text, html
+
+
+@pytest.mark.parametrize("sign", sorted(html_text.SIGNS))
+def test_html_signs(sign):
+    """What running text says of itself only by its class: density alone would keep it."""
+    say = lambda n: "".join(f"<p>Sentence {i} of {n} is as long as any sentence of the article and has no links at all.</p>" for i in range(6))
+    page = "<body><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><div>%s</div><div class='%s'>%s</div></body>"
+    assert "of other" in html_text.main_text(page % (say("story"), "x", say("other")))
+    for name in (sign, f"box-{sign}", f"my_{sign} x", sign.title() + "Area"):
+        got = html_text.main_text(page % (say("story"), name, say("other")))
+        assert "of story" in got and "of other" not in got
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a '>'", "<!", "<!--", "<div>", "<i><div></div>", "<li>", "</p>", "<script>", "<a b=", "&amp", "x"])
+def test_html_takes_linear_time(part):
+    start = time.perf_counter()
+    html_text.main_text("<p>text</p>" + part * ((1 << 20) // len(part)))
+    assert time.perf_counter() - start < 10  # 1 MB; growing with the square it would be hours
+
+
 def test_html_frames(spark):
     df = spark.createDataFrame([(1, "u", "<p>é</p>"), (2, None, None), (1, "u", "<p>é</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert rows(html_text.digest(df), "page_id", "text", "n_chars") == sorted([(1, "é", 1), (2, "", 0), (1, "é", 1)], key=repr)

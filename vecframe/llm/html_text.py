@@ -1,19 +1,23 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree (implied end tags are set, unknown end tags passed
-over).  Subtrees that can't be article text go first: scripts, styles,
-forms, menus, footers, asides, page headers, what is hidden, and elements
-whose class, id or role names an advert, a notice, a sidebar, a menu or reader
-comments, unless the article itself is inside.  Every node left has characters
-and tags, and those of links; its density is characters by tag, adjusted by the
-share of links.  The node with the largest sum of its children's densities
+over, elements nested over DEEP levels are put beside each other).  Subtrees that
+are never article text go first: scripts, styles, forms, menus, footers, asides,
+page headers, what is hidden, and elements whose class, id or role says what density
+can't see, since it is running text: adverts, notices, sidebars and reader comments
+(SIGNS), unless the article itself is inside.  Every node left, texts among them, has
+characters and tags, and those of links; its density is characters by tag, adjusted
+by the share of links.  The node with the largest sum of its children's densities
 is the centre; the least density on its path to the body is the
 threshold, and in each branch that reaches it the node with the largest sum
-is text, with all it holds but lists of links.  Such a node inside an article,
-or inside a main element without articles, stands for that whole element.
+is text, with all it holds but menus (blocks that are mostly links).  Such a node inside
+an article, or inside a main element without articles, stands for that whole element:
+this widens what density has selected, and nothing in an article goes as a menu.
 
 Blocks end at block-level tags.  Null and empty pages, and pages without
-text, give an empty string.  Repeated rows give repeated results.
+text, give an empty string.  Repeated rows give repeated results.  A page of any
+length and nesting takes time in proportion to its length: tags are scanned once,
+forwards.  Columns may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,18 +42,23 @@ BLOCK = _words("address article aside blockquote body caption center dd details
 IMPLIED = {"li": (_words("li"), _words("ul ol menu dir")), "dt": (_words("dt dd"), _words("dl")), "dd": (_words("dt dd"), _words("dl")), "tr": (_words("tr td th"), _words("table")), "td": (_words("td th"), _words("tr table")), "th": (_words("td th"), _words("tr table")), "option": (_words("option"), _words("select")), "tbody": (_words("tbody thead tfoot tr td th"), _words("table"))}
 #: Elements that are never article text.
 OUT = _words("script style noscript template iframe object embed head title form button select textarea input fieldset nav footer aside menu dialog svg canvas video audio map")
-#: Words in class, id or role that say the same.
-SIGNS = _words("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe subscription signup share sharing social sidebar sidenav aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended recommendations comment comments commentlist disqus replies respond widget widgets pagination pager search login complementary contentinfo hidden")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+#: Words in class, id or role that say the same of running text.
+SIGNS = _words("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert disclaimer popup modal newsletter subscribe subscription sidebar complementary related comment comments replies respond hidden")
+DEEP = 512
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile("[<>\"']")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "depth", "block", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, out: bool = False):
         self.tag, self.up, self.out = tag, up, out
+        self.depth = up.depth + 1 if up else 0
+        #: The nearest block-level element, itself included.
+        self.block: Node | None = self if tag in BLOCK or up is None else up.block
         self.kids: list[Node | str] = []
 
 
@@ -64,22 +73,91 @@ def _marked(attrs: str) -> bool:
     return False
 
 
+class Tags:
+    """The tags of a page, from left to right; what isn't there is not looked for again."""
+
+    def __init__(self, html: str):
+        self.html, self.gone = html, {}
+
+    def find(self, what: str, start: int) -> int:
+        """The next place of `what`, the length if there is none."""
+        if start >= self.gone.get(what, len(self.html) + 1):
+            return len(self.html)
+        at = self.html.find(what, start)
+        if at < 0:
+            self.gone[what] = start
+            return len(self.html)
+        return at
+
+    def end(self, start: int) -> int:
+        """Where a tag ends whose attributes begin at `start`: at a > (or a <) outside quotes; of an open quote, at the next > at all."""
+        at, size = start, len(self.html)
+        while m := _STOP.search(self.html, at):
+            sign = m[0]
+            if sign in "<>":
+                return m.start()
+            close = self.find(sign, m.end())
+            if close == size:
+                return self.find(">", start)
+            at = close + 1
+        return size
+
+    def raw_end(self, name: str, start: int) -> int:
+        """Where the raw text that begins at `start` has ended, with its end tag."""
+        key = f"</{name}"
+        if start < self.gone.get(key, len(self.html) + 1):
+            if m := re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(self.html, start):
+                return m.end()
+            self.gone[key] = start
+        return len(self.html)
+
+    def scan(self):
+        """(text before it, name or "" for comments and the like, whether it ends an element, attributes, place after it)."""
+        html, size, pos = self.html, len(self.html), 0
+        text = 0
+        while True:
+            at = self.find("<", pos)
+            if self.find(">", at) == size:
+                # no tag can end any more, so the rest is text
+                yield html[text:], "", False, "", size
+                return
+            pos = at + 1
+            m = _NAME.match(html, at)
+            if m:
+                stop = self.end(m.end())
+                if stop == size:
+                    continue  # never closed: text
+                after = stop + (html[stop] == ">")
+                skip = yield html[text:at], m[2].lower(), bool(m[1]), html[m.end() : stop], after
+            elif html.startswith("<!--", at):
+                skip = yield html[text:at], "", False, "", min(size, self.find("-->", at + 4) + 3)
+                after = min(size, self.find("-->", at + 4) + 3)
+            elif html[at + 1 : at + 2] in ("!", "?", "/") and (stop := self.find(">", at)) < size:
+                after = stop + 1
+                skip = yield html[text:at], "", False, "", after
+            else:
+                continue
+            text = pos = max(after, skip or 0)
+
+
 def tree(html: str) -> Node:
     root = Node("#root", None)
-    at, pos, size = root, 0, len(html)
-    while pos < size:
-        m = _TAG.search(html, pos)
-        stop = m.start() if m else size
-        if stop > pos:
-            at.kids.append(unescape(html[pos:stop]))
-        if not m:
-            break
-        pos = m.end()
-        name = m[2] or m[5]
+    at, count = root, {}
+    tags = Tags(html)
+    scan, skip = tags.scan(), None
+    while True:
+        try:
+            text, name, closes, attrs, pos = scan.send(skip)
+        except StopIteration:
+            return root
+        skip = None
+        if text:
+            at.kids.append(unescape(text))
         if not name:
             continue
-        name, attrs = name.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
+        if closes:
+            if not count.get(name):
+                continue
             x = at
             while x is not root and x.tag != name and not (x.tag in ("table", "body") and name not in ("html", "body")):
                 x = x.up
@@ -94,13 +172,9 @@ def tree(html: str) -> Node:
                 continue
         if name == "body":
             at = next((k for k in root.kids if isinstance(k, Node) and k.tag == "html"), root)
+        if name in BLOCK and at.block.tag == "p":
+            at = at.block.up
         ends, bound = IMPLIED.get(name, (None, None))
-        if name in BLOCK:
-            x = at
-            while x is not root and x.tag not in BLOCK:
-                x = x.up
-            if x.tag == "p":
-                at = x.up
         if ends:
             x, last = at, None
             while x is not root and x.tag not in bound:
@@ -109,15 +183,17 @@ def tree(html: str) -> Node:
                 x = x.up
             if last is not None:
                 at = last.up
+        while at.depth >= DEEP:
+            at = at.up
         node = Node(name, at, name in OUT or name not in ("html", "body", "article", "main") and bool(attrs) and _marked(attrs))
         at.kids.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
-            pos = end.end() if end else size
+            low = tags.raw_end(name, pos)
+            skip = low
             node.out = True
         elif name not in VOID:
             at = node
-    return root
+            count[name] = count.get(name, 0) + 1
 
 
 def _walk(root: Node) -> list[Node]:
@@ -164,18 +240,25 @@ def _measure(root: Node) -> None:
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
     share = root.link_chars / max(1, root.chars)
     for x in order:
-        c, t = x.chars, max(1, x.tags)
-        lc, lt = max(1, x.link_chars), max(1, x.link_tags)
-        if not c:
-            x.density = 0.0
-            continue
-        base = math.log(c / max(1, c - x.link_chars) * x.link_chars + share * c + math.e)
-        x.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1.0) + 1e-9)) if base > 1.000001 else c / t * math.log(max(1.0, c / lc * t / lt) + 1)
+        x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
     for x in order:
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node))
-        # a node with text of its own is its own child, else a page of bare text has no sums
-        own = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
-        x.total += own / max(1, t) if (t := len(x.kids)) else 0.0
+        link = x.tag == "a"
+        x.total = 0.0
+        for k in x.kids:
+            if isinstance(k, str):
+                n = len("".join(k.split()))
+                x.total += _density(n, 0, n if link else 0, 0, share)
+            else:
+                x.total += k.density
+
+
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters by tag, times a logarithm of how few of both are links, to a base that grows with the page's share of links."""
+    if not chars:
+        return 0.0
+    tags, some, linked = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars / some * tags / linked)) / math.log(base + 1e-9) if base > 1.000001 else chars / tags * math.log(max(1.0, chars * tags) + 1)
 
 
 def _blocks(node: Node, keep) -> list[str]:
