@@ -171,3 +171,49 @@ def page(body):
 
     read(body, False)
     return write(body), "\n".join(out)
+
+
+def parsing(text):
+    """All names of all levels of locally consistent parsing, symbol by symbol, as (level, name)."""
+    mask = (1 << 64) - 1
+    k1, k2, power = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25
+
+    def toss(before, own, bits):
+        d = before ^ own
+        if d == 0:
+            return 2 * bits
+        place = (d & -d).bit_length() - 1
+        return 2 * place + (own >> place & 1)
+
+    out, level, codes = set(), 0, list(text)
+    while codes:
+        level += 1
+        label = [0] + [toss(a, b, 8 if level == 1 else 64) for a, b in zip(codes, codes[1:])]
+        for bits in (5, 4) if level == 1 else (8, 5, 4):
+            label = [0] + [toss(a, b, bits) for a, b in zip(label, label[1:])]
+        n = len(codes)
+        starts = [i for i in range(n) if i == 0 or (4 < i < n - 1 and label[i] > label[i - 1] and label[i] >= label[i + 1])]
+        names = []
+        for s, e in zip(starts, [*starts[1:], n]):
+            h = 0
+            for i, x in enumerate(codes[s:e]):
+                x = ((x + 1) * k1 & mask) ^ (((x + 1) * k2 & mask) >> 7) if level == 1 else x * k1 & mask
+                h = (h + x * pow(power, i & 4095, 1 << 64) + (i >> 12)) & mask
+            h ^= h >> 32
+            h = h * k2 & mask
+            names.append(h ^ h >> 29)
+        out |= {(level, x) for x in names}
+        if len(names) == 1:
+            break
+        codes = names
+    return out
+
+
+def fingerprint(text, bins=64):
+    """Minima of the names, bin by bin, as numbers of 16 bits."""
+    mask, least = (1 << 64) - 1, {}
+    for level, x in parsing(text):
+        h = (x + level) * 0x9E3779B97F4A7C15 & mask
+        h ^= h >> 31
+        least[h % bins] = min(least.get(h % bins, mask), h >> 6)
+    return [(least[b] & 0xFFFF or 1) if b in least else 0 for b in range(bins)]

@@ -109,6 +109,29 @@ def test_near_copies_of_any_length(limit):
     assert np.mean(alike) > 0.75 and min(alike) > 0.6
 
 
+def test_parsing_by_brute_force(corpus):
+    texts = [t.encode() for _, t in corpus[:40] if t] + [b"a", b"ab", b"abcabcabc", b"a" * 5000, bytes(range(256)), b"ab" * 70]
+    for t, row in zip(texts, fingerprint.sketches(texts), strict=True):
+        assert row.tolist() == brute.fingerprint(t), t
+
+
+def test_likeness_has_no_steps():
+    rng = random.Random(14)
+    words = ["".join(rng.choice(["an", "er", "th", "ou", "la"]) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(900)).encode() for _ in range(12)]
+    mean = [np.mean([fingerprint.likeness(*fingerprint.sketches([t[:n], t[:n] + b"abc"])) for t in texts]) for n in range(200, 3001, 140)]
+    assert min(mean) > 0.7 and max(abs(a - b) for a, b in itertools.pairwise(mean)) < 0.15
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_fingerprints_of_one_frequent_id(make_docs, parts):
+    rng = random.Random(15)
+    texts = [(i if i % 3 else (None if i % 2 else 7), " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(30))) for i in range(150)]
+    docs = make_docs(texts)
+    first = fingerprint.digest(docs, parts=1)
+    assert rows(fingerprint.digest(docs, parts=parts)) == rows(first) and first.count() == 150
+
+
 def test_fingerprint_small_tables(make_docs):
     assert fingerprint.digest(make_docs([])).count() == 0
     one = fingerprint.digest(make_docs([(7, "abc" * 30)])).first()
@@ -333,6 +356,43 @@ def test_field_is_exact_and_spans(judged):
     assert [text[a:b] for a, b in toxicity.spans(text, at, p)] == ["rotten", "blasted rotten", "rotten"]
 
 
+def test_chain_by_enumeration():
+    rng = np.random.default_rng(3)
+    e, first, m = np.exp(rng.normal(size=(5, 3))), 0.7, np.exp(rng.normal(size=4))
+    toxic, pair = toxicity.chain(e, first, m)
+    for w in range(3):
+        one, two, total = np.zeros(5), np.zeros((4, 4)), 0.0
+        for s in itertools.product((0, 1), repeat=5):
+            p = (first if s[0] else 1) * np.prod([e[i, w] for i in range(5) if s[i]]) * np.prod([m[2 * a + b] for a, b in itertools.pairwise(s)])
+            total += p
+            one += p * np.array(s)
+            for i, (a, b) in enumerate(itertools.pairwise(s)):
+                two[2 * a + b, i] += p
+        assert toxic[:, w] == pytest.approx(one / total) and np.array([x[:, w] for x in pair]) == pytest.approx(two / total)
+
+
+def test_dual_by_projected_steps():
+    rng = np.random.default_rng(4)
+    x, y, cost = rng.normal(size=(30, 6)), np.where(rng.random(30) < 0.4, 1.0, -1.0), rng.random(30) + 0.2
+    weight, bias = quality.descend([(np.arange(6), v) for v in x], y, cost, 6, 3000)
+    z = np.concatenate((x, np.ones((30, 1))), 1) * y[:, None]
+    alpha, gram = np.zeros(30), z @ z.T
+    for _ in range(20000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, cost)
+    assert np.append(weight, bias) == pytest.approx(z.T @ alpha, abs=1e-3)
+
+
+def test_ratios_by_counting():
+    sample = [(i, t, y) for i, (t, y) in enumerate([("aa bb", 1), ("aa cc aa", 0), ("Zz 12", 1), ("", 0), ("bb bb", 1), ("x-y", 0)])]
+    model, features = quality.fit(sample), quality.Features()
+    seen = [[1] * (1 << quality.BITS), [1] * (1 << quality.BITS)]
+    for _, t, y in sample:
+        for f in set(features.of(t.encode()).tolist()):
+            seen[y][f] += 1
+    for f in features.of(b"aa bb Zz").tolist():
+        assert model.ratio[f] == pytest.approx(np.log(seen[1][f] / sum(seen[1])) - np.log(seen[0][f] / sum(seen[0])))
+
+
 def test_field_learns_from_whole_documents():
     rng = random.Random(8)
     plain = lambda n: [b"%s%s" % (rng.choice([b"an", b"th", b"ou"]), rng.choice([b"der", b"ther", b"ble"])) for _ in range(n)]
@@ -485,16 +545,109 @@ def test_registered(spark, sf):
     assert queries.op9_decontaminate(spark, sf).count() == n
 
 
-def test_pipeline(spark, sf):
+NAMES = "__k __text __marks __removed __runs __ids ids n_tokens __score __spans __fp __fingerprint __n_words __items __longest __n_hit __contaminated k k2 t row row2 marks c0 c1 b h own text_ a.b".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark, make_docs, corpus):
+    """Documents with every name in use, repeated rows, null ids, a very long text; labels that contradict each other; items."""
+    docs = make_docs([*corpus[:50], *corpus[:3], (None, "one two three four five six"), (None, None), (None, ""), (900, "long " * 60_000), (901, "x" * 200_000)])
+    docs = docs.withColumns({c: F.lit(c) for c in NAMES})
+    labels = spark.createDataFrame([(i, (i // 7) % 2, y) for i, _ in corpus for y in (0, int(i % 5 == 0))], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, corpus[0][1]), (2, None), (None, "a b")], "item_id long, text string")
+    return docs, labels, items
+
+
+OPERATORS = {
+    "fingerprint": lambda d, y, b: fingerprint.fingerprint(d),
+    "html": lambda d, y, b: html_text.extract(d.withColumn("html", F.col("text"))).drop("html"),
+    "keep_one": lambda d, y, b: simhash.keep_one(d),
+    "line_dedup": lambda d, y, b: line_dedup.dedup(d),
+    "lines": lambda d, y, b: line_dedup.drop_repeated_lines(d),
+    "toxicity": lambda d, y, b: toxicity.score(d, y),
+    "not_toxic": lambda d, y, b: toxicity.drop_toxic(d, y),
+    "quality": lambda d, y, b: quality.score(d, y),
+    "judged": lambda d, y, b: decontaminate.judged(d, b, block_chars=200),
+    "decontaminate": lambda d, y, b: decontaminate.decontaminate(d, b),
+    "pieces": lambda d, y, b: pieces.encode(d),
+    "tokens": lambda d, y, b: pieces.tokens(d),
+    "suffix_dedup": lambda d, y, b: suffix_dedup.dedup(d),
+    "op2": lambda d, y, b: fingerprint.digest(d),
+    "op5": lambda d, y, b: simhash.digest(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_tables(odd, name):
+    docs, labels, items = odd
+    out = OPERATORS[name](docs, labels, items)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    n = out.count()
+    assert n == docs.count() or name in ("keep_one", "not_toxic", "decontaminate") and 0 < n <= docs.count()
+    own = [c for c in NAMES if c in out.columns]
+    if name not in ("suffix_dedup", "op2", "op5"):
+        assert own == NAMES
+        assert out.where(" or ".join(f"`{c}` is distinct from '{c}'" for c in own)).count() == 0
+    assert OPERATORS[name](docs.limit(0), labels, items).count() == 0
+    assert OPERATORS[name](docs, labels.limit(0), items.limit(0)).count() in (n, docs.count())
+
+
+def test_many_rows_without_ids(spark):
+    """Texts are told apart where ids don't, by more than 32 bits."""
+    docs = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2((-F.col("id") - 1).cast("string"), 256)).alias("text"))
+    assert suffix_dedup.digest(docs).agg(F.sum("n_removed"), F.count("*")).first()[:] == (0, 30_000)
+    assert line_dedup.digest(docs).agg(F.sum("n_removed"), F.count("*")).first()[:] == (0, 30_000)
+
+
+@pytest.mark.parametrize("size", [30, 60, 10**6])
+def test_long_items_are_cut(size):
+    own = [b"w%d" % i for i in range(200)]
+    parts = [p.split() for p in decontaminate.parts_of(own, size, 13)]
+    grams = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    assert set().union(*map(grams, parts)) == grams(own)
+
+
+def test_every_repeated_line(make_docs, corpus):
+    docs = make_docs(corpus)
+    assert rows(line_dedup.dedup(docs, heavy=0), "doc_id", "__removed") == sorted(((r[0], r[1]) for r in brute.lines(corpus, heavy=0)), key=repr)
+
+
+def test_pipeline_by_brute_force(spark, sf, make_docs):
     import corpus_pipeline as c
 
+    assert [n for n, _ in c.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "decontamination", "sentencepiece"]
+    stages = dict(c.STAGES)
     docs = table(spark, sf, "documents")
-    sizes = [docs.count()]
-    for _, stage in c.STAGES:
+    clean = stages["toxicity"](spark, docs, sf)
+    assert clean.columns == docs.columns
+    scores = {r.doc_id: r.score for r in toxicity.digest(docs, table(spark, sf, "labels")).collect()}
+    assert {r.doc_id for r in clean.collect()} == {i for i, x in scores.items() if x < 0.5}
+    whole = {r.doc_id: r.text for r in clean.collect()}
+    cut = stages["line_dedup"](spark, clean, sf)
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert cut.columns == docs.columns
+    want = {r[0]: r[4] for r in brute.lines(list(whole.items()))}
+    assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()} == want
+    one = stages["simhash_dedup"](spark, cut, sf)
+    kept = {i for i, _, least in brute.near(list(texts.items())) if i == least}
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(kept)
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    fair = {r[0] for r in brute.contamination([(i, texts[i]) for i in kept], items) if not r[5]}
+    rest = stages["decontamination"](spark, one, sf)
+    assert rest.columns == docs.columns and sorted(r.doc_id for r in rest.collect()) == sorted(fair)
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = {r.doc_id: r for r in c.run(spark, sf).collect()}
+    assert {i: r.ids for i, r in got.items()} == {i: lib.encode(texts[i]) for i in fair}
+    assert all(r.n_tokens == len(r.ids) for r in got.values())
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf, odd):
+    import corpus_pipeline as c
+
+    docs = odd[0]
+    for name, stage in c.STAGES:
         out = stage(spark, docs, sf)
-        if stage is not c.STAGES[-1][1]:
-            assert out.columns == docs.columns
-        docs = out.checkpoint()
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[1] == sizes[2] and sizes[-1] == sizes[-2]
-    assert c.run(spark, sf).count() == sizes[-1]
+        last = name == "sentencepiece"
+        assert out.columns == docs.columns if not last else [x for x in out.columns if x in docs.columns] == [x for x in docs.columns if x != "text"]
+        assert 0 < out.count() <= docs.count() and stage(spark, docs.limit(0), sf).count() == 0
+        docs = docs if last else out.checkpoint()

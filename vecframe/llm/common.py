@@ -100,22 +100,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         yield batch.slice(start)
 
 
-def append_arrow(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], fields: list[tuple[str, T.DataType]], text: str = "text") -> DataFrame:
-    """All columns of `df`, and `fields` computed from the bytes of `text`.
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., so that no name of theirs matters."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """All columns of `df`, and `fields`, by a map of batches with numbered columns to (batch, new columns).
+
+    New names that `df` has already get underscores; the new columns are the last ones."""
+    own = numbered(df)
+    schema = T.StructType([*own.schema.fields, *(T.StructField(f"n{i}", t) for i, (_, t) in enumerate(fields))])
 
-    `make()` runs once a task and returns the function on a slice's texts.
-    New names that `df` has already get underscores; the new columns are the last ones.
-    """
-    names = fresh(df, *(n for n, _ in fields))
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, (_, t) in zip(names, fields, strict=True))])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, made in run(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
+
+    return own.mapInArrow(work, schema).toDF(*df.columns, *fresh(df, *(n for n, _ in fields)))
+
+
+def append_arrow(df: DataFrame, make: Callable[[], Callable[[list[bytes]], list[pa.Array]]], fields: list[tuple[str, T.DataType]], text: str = "text") -> DataFrame:
+    """map_arrow() of a function on the bytes of `text`; `make()` runs once a task and returns it."""
+    name = f"c{df.columns.index(text)}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches):
         work = make()
-        for part in slices(batches, text):
-            made = work(utf8(part.column(part.schema.get_field_index(text))))
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+        for part in slices(batches, name):
+            yield part, work(utf8(part.column(part.schema.get_field_index(name))))
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, fields)
 
 
 def held_out(doc_id) -> "F.Column":

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, col, durable, fresh
+from .common import append_arrow, col, durable, fresh, numbered
 
 WINDOW = 13
 GRAM = 6
@@ -193,8 +193,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     span = T.ArrayType(T.ArrayType(T.IntegerType()))
     fields = [("n_words", T.LongType()), ("spans", span), ("items", T.ArrayType(T.StringType())), ("longest", T.LongType())]
-    own = [f"c{i}" for i in range(len(docs.columns))]
-    out, place = docs.toDF(*own), own[docs.columns.index(text)]
+    out, place = numbered(docs), f"c{docs.columns.index(text)}"
     for k, block in enumerate(blocks(benchmark, block_chars, window)):
         shared = spark.sparkContext.broadcast(block)  # of about block_chars code points
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, slices, utf8
+from .common import col, fresh, numbered, slices, utf8
 
 RUN_LINES = 3
 HEAVY_WORDS = 50
@@ -97,7 +97,7 @@ def _beside(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """k, row, the columns of docs by number, and the set of marks of each document (null: none).
 
     Uses that pass on all columns have equal exchanges of the documents, so Spark makes one."""
-    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    named = numbered(docs)
     text, doc = (named[f"c{docs.columns.index(x)}"] for x in ("text", "doc_id"))
     keyed = named.withColumns({"k": F.coalesce(doc.cast("long"), F.lit(NONE)), "row": F.xxhash64(text)})
     value = [c for c in marks.columns if c not in ("k", "row")]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, slices
+from .common import col, fresh, map_arrow, slices
 
 MARK = "▁"
 #: Bytes of words, and pairs of pieces, that a worker remembers; longer words are forgotten at once.
@@ -198,18 +198,17 @@ def _read(path: str) -> bytes:
     return model
 
 
-def _map(df: DataFrame, model: str | None, schema, columns) -> DataFrame:
-    """A map over slices; `columns(pieces, texts)` gives the new columns after those of df."""
+def _map(df: DataFrame, model: str | None, fields, columns) -> DataFrame:
+    """`columns(pieces, texts)` gives the new columns."""
     shared = df.sparkSession.sparkContext.broadcast(_read(model or default_model()))  # of MODEL_BYTES at most
     place = df.columns.index("text")
 
     def run(batches):
         pieces = Pieces(shared.value)
-        for part in slices(batches, "text", 4 << 20):
-            made = columns(pieces, part.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *schema.names[len(part.schema.names) :]])
+        for part in slices(batches, f"c{place}", 4 << 20):
+            yield part, columns(pieces, part.column(place).to_pylist())
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, fields)
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -223,23 +222,20 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         offsets = pa.array(ends.astype(np.int32), mask=np.append(gone, False)) if gone.any() else pa.array(ends.astype(np.int32))
         return [pa.ListArray.from_arrays(offsets, pa.array(flat))]
 
-    return _map(docs, model, T.StructType([*docs.schema.fields, T.StructField(*fresh(docs, "__ids"), T.ArrayType(T.IntegerType()))]), columns)
+    return _map(docs, model, [("__ids", T.ArrayType(T.IntegerType()))], columns)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
     """All columns of rows, and one more, __decoded: the text of the array column `ids`; null stays null."""
-    shared = rows.sparkSession.sparkContext.broadcast(_read(model or default_model()))
-    place, (name,) = rows.columns.index(ids), fresh(rows, "__decoded")
+    shared = rows.sparkSession.sparkContext.broadcast(_read(model or default_model()))  # of MODEL_BYTES at most
+    place = rows.columns.index(ids)
 
     def run(batches):
         pieces = Pieces(shared.value)
         for part in batches:
-            if not part.num_rows:
-                continue
-            texts = [None if x is None else pieces.decode(np.array(x, np.int64)) for x in part.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, name])
+            yield part, [pa.array([None if x is None else pieces.decode(np.array(x, np.int64)) for x in part.column(place).to_pylist()], pa.string())]
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())]))
+    return map_arrow(rows, run, [("__decoded", T.StringType())])
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -255,9 +251,8 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
             pa.array([b == (t or "") for b, t in zip(back, texts, strict=True)], pa.bool_()),
         ]
 
-    own = docs.select("doc_id", "text")
-    schema = T.StructType([*own.schema.fields]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
-    return _map(own, model, schema, columns).drop("text")
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("round_trip", T.BooleanType())]
+    return _map(docs.select("doc_id", "text"), model, fields, columns).drop("text")
 
 
 def tokens(docs: DataFrame, model: str | None = None) -> DataFrame:

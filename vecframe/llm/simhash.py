@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, durable
+from .common import append_arrow, durable, numbered
 from .components import components
 
 SHINGLE = 4
@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     number = lambda c: F.coalesce(c.cast("long"), F.lit(NONE))
     first = clustered(docs).where(F.col("doc_id").eqNullSafe(F.col("__component")))
     kept = first.groupBy("__root").agg(F.min(F.struct(number(F.col("doc_id")).alias("k"), F.col("__text").alias("t"))).alias("m")).select("m.*")
-    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    named = numbered(docs)
     doc, text = (named[f"c{docs.columns.index(x)}"] for x in ("doc_id", "text"))
     rows = named.withColumns({"k": number(doc), "t": F.xxhash64(text)})
     # repeated rows are next to each other after the join, which dealt them by the same keys

@@ -165,6 +165,30 @@ class Field:
         return at, [float(x1 * y1 / (x0 * y0 + x1 * y1)) for (x0, x1), (y0, y1) in zip(alphas, betas, strict=True)]
 
 
+def chain(e: np.ndarray, first: float, m: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Forward-backward over windows, a column each: e and first are the factors of label 1, m those of 00, 01, 10, 11.
+
+    The probability of label 1 at each place, and of each pair of labels at neighbours."""
+    wide = len(e)
+    # messages of label 1, as shares: from the left with the token's own factor, from the right without
+    left, right = np.empty(e.shape), np.empty(e.shape)
+    q = first * e[0]
+    left[0], right[-1] = q / (1 + q), 0.5
+    for k in range(1, wide):
+        p = left[k - 1]
+        q = ((1 - p) * m[1] + p * m[3]) * e[k]
+        left[k] = q / ((1 - p) * m[0] + p * m[2] + q)
+    for k in range(wide - 2, -1, -1):
+        q, r = e[k + 1] * right[k + 1], 1 - right[k + 1]
+        u, v = m[0] * r + m[1] * q, m[2] * r + m[3] * q
+        right[k] = v / (u + v)
+    q = left * right
+    a, b = (1 - left[:-1], left[:-1]), (1 - right[1:], e[1:] * right[1:])
+    pair = [a[i] * m[2 * i + j] * b[j] for i in (0, 1) for j in (0, 1)]
+    total = pair[0] + pair[1] + pair[2] + pair[3]
+    return q / (q + (1 - left) * (1 - right)), [x / total for x in pair]
+
+
 def train(corpus: Corpus, rows: np.ndarray, rounds: int = 15, still: float = 0.03, rate: float = 0.5, penalty: float = 1e-4, seed: int = 5) -> Field | None:
     """A field from these documents and their labels; None if no token can be labelled.
 
@@ -213,25 +237,8 @@ def train(corpus: Corpus, rows: np.ndarray, rounds: int = 15, still: float = 0.0
             word, y = x[part].T >> 1, x[part].T & 1
             m = np.exp(rest[2:])
             e = np.exp(np.clip(weight[kinds].sum(1) + rest[0], -30, 30))[word]
-            # messages of label 1, as shares: from the left with the token's own emission, from the right without
-            left, right = np.empty(word.shape), np.empty(word.shape)
-            q = math.exp(rest[1]) * e[0]
-            left[0], right[-1] = q / (1 + q), 0.5
-            for k in range(1, wide):
-                p = left[k - 1]
-                q = ((1 - p) * m[1] + p * m[3]) * e[k]
-                left[k] = q / ((1 - p) * m[0] + p * m[2] + q)
-            for k in range(wide - 2, -1, -1):
-                q = e[k + 1] * right[k + 1]
-                r = 1 - right[k + 1]
-                u, v = m[0] * r + m[1] * q, m[2] * r + m[3] * q
-                right[k] = v / (u + v)
-            q = left * right
-            toxic = q / (q + (1 - left) * (1 - right))
-            a, b = (1 - left[:-1], left[:-1]), (1 - right[1:], e[1:] * right[1:])
-            pair = [a[i] * m[2 * i + j] * b[j] for i in (0, 1) for j in (0, 1)]
-            total = pair[0] + pair[1] + pair[2] + pair[3]
-            move = np.array([((z / total).sum(0) * t).sum() for z in pair])
+            toxic, pair = chain(e, math.exp(rest[1]), m)
+            move = np.array([(z.sum(0) * t).sum() for z in pair])
             step = 2 * y[:-1] + y[1:]
             off = (toxic - y) * t
             g = np.bincount(word.ravel(), off.ravel(), len(kinds))
