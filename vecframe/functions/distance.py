@@ -47,14 +47,13 @@ def _euclidean(v, q):
     return F.sqrt(_sum(v, q, lambda x, y: (x - y) * (x - y)))
 
 
+def cosine_of(product: Column, a: Column, b: Column) -> Column:
+    """The cosine distance from the product and the two norms; 1 where a norm is 0."""
+    return F.when((a == 0) | (b == 0), 1.0).otherwise(1.0 - product / (a * b))
+
+
 def _cosine(v, q):
-    parts = F.aggregate(
-        F.zip_with(v, q, lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
-        F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
-        lambda s, p: F.struct((s.d + p.x * p.y).alias("d"), (s.a + p.x * p.x).alias("a"), (s.b + p.y * p.y).alias("b")),
-        lambda s: F.when((s.a == 0) | (s.b == 0), 1.0).otherwise(1.0 - s.d / (F.sqrt(s.a) * F.sqrt(s.b))),
-    )
-    return parts
+    return cosine_of(_sum(v, q, lambda x, y: x * y), norm(v), norm(q))
 
 
 def _jaccard(v, q):

@@ -32,8 +32,9 @@ def float_bits(x: Column) -> Column:
 
 def float_bytes(v: Column) -> Column:
     """Little-endian bytes of an array of floats, as array<bigint>."""
-    four = F.transform(v, lambda x: F.transform(F.array(*(F.lit(s) for s in (0, 8, 16, 24))), lambda s: F.floor(float_bits(x) / F.pow(F.lit(2.0), s)).cast("bigint").bitwiseAND(F.lit(255).cast("bigint"))))
-    return F.flatten(four)
+    byte = lambda b, s: F.shiftright(b, s).bitwiseAND(F.lit(255).cast("bigint"))
+    # the bits are worked out once a number: the second transform has them as its variable
+    return F.flatten(F.transform(F.transform(v, float_bits), lambda b: F.array(*(byte(b, s) for s in (0, 8, 16, 24)))))
 
 
 def text_bytes(s: Column) -> Column:

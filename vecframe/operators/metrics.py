@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..sources.shared import durable
 
 #: What is aggregated by default: name, window, functions.
 DEFAULTS = (("request_rate", "1 minute", ("sum", "avg", "max")), ("error_rate", "5 minutes", ("sum", "avg")), ("latency", "5 minutes", ("p50", "p95", "p99")))
@@ -63,7 +64,7 @@ def label_key(labels: Column) -> Column:
 
 
 def percentile(values: Column, p: float) -> Column:
-    """The value at floor((n - 1) p) of the sorted values."""
+    """The value at floor((n - 1) p) of the sorted values, as an aggregate: for groups that are small, like a window of a series."""
     s = F.array_sort(F.collect_list(values))
     return F.get(s, F.floor((F.count(values) - 1) * F.lit(p)).cast("int"))
 
@@ -75,10 +76,22 @@ def function(name: str, value: Column) -> Column:
 
 
 def exact_percentiles(df: DataFrame, by: list[str], ps: list[float], value: str = "value") -> DataFrame:
-    """Percentiles at floor((n - 1) p) without gathering a group into one value: ranks by a window, then the rows picked."""
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"__i": F.row_number().over(w.orderBy(value)) - 1, "__n": F.count("*").over(w)})
-    return rows.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == F.floor((F.col("__n") - 1) * F.lit(p)), F.col(value))).alias(f"p{round(p * 100)}") for p in ps))
+    """Percentiles at floor((n - 1) p).  Equal values are counted first, in each task; a group of any
+    number of values is then cut in ranges, and its counts are added up range by range."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    sorted_ = counted.repartitionByRange(*by, "__v").withColumn("__p", F.spark_partition_id())
+    rows = durable(sorted_)
+    inner = Window.partitionBy("__p", *by).orderBy("__v")
+    # of each group, the rows in each range, and those in the ranges before it: as many rows as ranges and groups
+    parts = rows.groupBy(*by, "__p").agg(F.sum("__c").alias("__s"))
+    of = Window.partitionBy(*by).orderBy("__p")
+    parts = parts.withColumns({"__before": F.sum("__s").over(of) - F.col("__s"), "__n": F.sum("__s").over(Window.partitionBy(*by))}).drop("__s")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    parts = parts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__p").alias("__q"), "__before", "__n")
+    rows = rows.join(parts, [*same, F.col("__p") == F.col("__q")]) if by else rows.join(parts, F.col("__p") == F.col("__q"))
+    rows = rows.withColumn("__end", F.col("__before") + F.sum("__c").over(inner))
+    at = lambda p: F.floor((F.col("__n") - 1) * F.lit(p))
+    return rows.groupBy(*by).agg(*(F.max(F.when((F.col("__end") > at(p)) & (F.col("__end") - F.col("__c") <= at(p)), F.col("__v"))).alias(f"p{round(p * 100)}") for p in ps))
 
 
 def aggregate(df: DataFrame, by: list[Column], functions: tuple[str, ...] = ("sum", "avg", "max", "min"), value: str = "value") -> DataFrame:

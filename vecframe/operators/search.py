@@ -95,7 +95,14 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric
     own = [c for c in ("k", "threshold") if c in queries.columns]
     out = None
     for block in query_blocks(queries.select("query_id", "q", *own)):
-        pairs = rows.crossJoin(F.broadcast(block)).withColumn("distance", D.distance(F.col("data"), F.col("q"), metric)).where("distance is not null")
+        if D.metric_name(metric) == "cosine":
+            # norms once a vector and once a query, not once a pair
+            own_rows, own_block = rows.withColumn("__a", D.norm(F.col("data"))), block.withColumn("__b", D.norm(F.col("q")))
+            product = F.when(F.size("data") == F.size("q"), D.inner_product(F.col("data"), F.col("q")))
+            distance = F.when(product.isNotNull(), D.cosine_of(product, F.col("__a"), F.col("__b")))
+        else:
+            own_rows, own_block, distance = rows, block, D.distance(F.col("data"), F.col("q"), metric)
+        pairs = own_rows.crossJoin(F.broadcast(own_block)).withColumn("distance", distance).where("distance is not null")
         if "threshold" in own:
             pairs = pairs.where("threshold is null or threshold = 0 or distance <= threshold")
         part = ranked(pairs.select("query_id", "id", "distance", *keep, *(["k"] if "k" in own else [])), MAX_K if "k" in own else k, ["query_id"])

@@ -3,7 +3,7 @@
 A decision of these machines depends on earlier decisions, so each is a pure
 step (state, event) -> (state, decision) in Python.  A batch folds it over a key's
 events in order, streaming through Arrow batches that are sorted by key, so
-no key has to fit in memory; streaming/limits.py runs the same steps on streams.
+no key has to fit in memory; streaming/jobs.py runs the same steps on streams.
 What needs no decisions (load trend, thresholds) is windows and CASE.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import micros
+from .ranges import ranked_by_range
 
 
 @dataclass(frozen=True)
@@ -176,7 +177,7 @@ def evict(df: DataFrame, policy: str, max_size: int, order_id: str = "id") -> Da
     n = df.count()
     if n < max_size:
         return df
-    gone = df.orderBy(column, order_id).limit(max(1, n // 10)).select(order_id)
+    gone = ranked_by_range(df.select(order_id, column), [F.col(column), F.col(order_id)], "__rank").where(F.col("__rank") <= max(1, n // 10)).select(order_id)
     return df.join(gone, order_id, "left_anti")
 
 

@@ -6,11 +6,11 @@ query; without it all rows are one result.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable
+from .ranges import ranked_by_range
 from .search import clamp_k
 
 DEFAULT_THRESHOLD, SIMILAR, SAMPLE, SPREAD = 0.5, 0.8, 100, 0.5
@@ -21,8 +21,10 @@ POOL = 1000
 def _rank(df: DataFrame, by: list[str], k: int | None) -> DataFrame:
     order = [F.col("score").desc(), F.col("id")]
     if not by:
+        if k is None:
+            return ranked_by_range(df, order)
         # without a key: the limit first, so only k rows meet for their ranks
-        top = df.orderBy(*order).limit(k) if k is not None else df
+        top = df.orderBy(*order).limit(k)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
     return out.where(F.col("rank") <= k) if k is not None else out
@@ -52,15 +54,6 @@ def adaptive(df: DataFrame, k: int | None = None, by: tuple[str, ...] = (), posi
     return _rank(kept.select(*df.columns), list(by), clamp_k(k))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The rows written once to spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(at or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def diverse(df: DataFrame, k: int | None = None, by: tuple[str, ...] = (), similar: float = SIMILAR, data: str = "data") -> DataFrame:
     """Greedy: best first, then whoever is at most `similar` to all chosen; may return fewer than k.
 
@@ -92,7 +85,7 @@ def diverse(df: DataFrame, k: int | None = None, by: tuple[str, ...] = (), simil
 
     empty = F.slice(F.col("c"), 1, 0)
     first = F.when(F.size("c") <= k, F.col("c")).otherwise(F.aggregate("c", empty, step))
-    now = _written(pools(rows, F.lit(0)).select(*state(first)))
+    now = durable(pools(rows, F.lit(0)).select(*state(first)))
     done = now.where(~F.col("open"))
     while not (now := now.where("open")).isEmpty():
         # chosen rows that are not even like themselves (without a length) come first again
@@ -103,7 +96,7 @@ def diverse(df: DataFrame, k: int | None = None, by: tuple[str, ...] = (), simil
         more = pools(left, F.col("again"))
         after = more.select(*(F.col(c).alias(f"{c}b") for c in keys), "c")
         both = now.join(after, same, "left").withColumn("c", F.coalesce("c", F.slice("chosen", 1, 0)))
-        now = _written(both.select(*state(F.aggregate("c", F.col("chosen"), step))))
+        now = durable(both.select(*state(F.aggregate("c", F.col("chosen"), step))))
         done = done.unionByName(now.where(~F.col("open")))
     out = done.select(*(F.col(n).alias(c) for n, c in zip(keys, by)), F.posexplode("chosen").alias("p", "x"))
     return out.select(*by, F.col("x.id").alias("id"), F.col("x.score").alias("score"), (F.col("p") + 1).cast("bigint").alias("rank"))
