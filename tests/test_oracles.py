@@ -32,6 +32,8 @@ def test_matches_sql(spark, sf, duck, name):
     assert sorted([shown(r[c]) for c in sorted(names)] for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() >= 0
+def test_recall_of_half_the_lists(spark, sf):
+    """The one query that SQL can't tell: k-means."""
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"ivf_recall"}
+    got = [r.recall for r in registry.QUERIES["ivf_recall"](spark, sf).collect()]
+    assert got and sum(got) / len(got) >= 0.9

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecframe import api
-from vecframe.operators import ivf, stateful
-from vecframe.sources import requests
+from vecframe.operators import buffer, ivf, stateful, topology
+from vecframe.sources import requests, store
 from vecframe.sources.store import VectorStore, prepare
 from vecframe.streaming import jobs
 
@@ -38,6 +38,68 @@ def test_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(cluster_id" in s.read([one])._jdf.queryExecution().toString()
 
 
+def test_store_keeps_what_a_lost_write_leaves(spark, tmp_path):
+    s = VectorStore(spark, str(tmp_path / "t"))
+    s.append(prepare(rows(spark, list("abcdefgh")), 4)[0])
+    before = {r.segment: r.created for r in s.entries().collect()}
+    one = s.read().where("id = 'a'").first().cluster_id
+    s.delete(spark.createDataFrame([("a",)], "id string"))
+    now = s.entries().where("status <> 'deleted'").collect()
+    # only the cluster of the id was written anew
+    assert {r.cluster_id for r in now if r.created == 2} <= {one} and all(before[r.segment] == 1 for r in now if r.created == 1)
+    assert s.count() == s.read().count() == 7
+    # data, and a manifest, that a lost driver didn't finish
+    spark.range(3).write.parquet(f"{s.path}/data/version=3/cluster_id=0")
+    (tmp_path / "t" / "manifest" / "3").mkdir()
+    assert s.versions()[-1] == 2 and s.read().count() == 7 and s.validate().count() == 0
+    s.append(prepare(rows(spark, ["i", "b"]), 4)[0])
+    assert sorted(r.id for r in s.ids().collect()) == list("bcdefghi")
+    s.compact()
+    assert sorted(r.id for r in s.ids().collect()) == list("bcdefghi") and s.entries().where("status = 'deleted'").count() == 0
+    assert s.entries().groupBy("cluster_id").count().where("count > 1").count() == 0
+    first = s.entries().first()
+    s.set_status([first.segment], "readonly")
+    assert s.read(segments=[first.segment]).count() == first.vectors and store.of_status(s.entries(), "readonly").count() == 1
+    for wrong in (lambda: s.set_status(["x"], "deleted"), lambda: store.without_entry(s.entries(), "x"), lambda: store.with_entry(s.entries(), first.asDict())):
+        with pytest.raises((KeyError, ValueError)):
+            wrong()
+    assert [store.codec_for(n) for n in (10, 5000, 50 << 20)] == ["uncompressed", "zstd", "uncompressed"]
+
+
+def test_stored_index_opens_probed_lists_only(spark, sf):
+    from vecframe.plans import nearest, registry
+
+    found = nearest.index(spark, sf).search(registry.vector_of(spark, sf), 10, 1)
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [list_id" in plan or "PartitionFilters: [cast(list_id" in plan, plan
+
+
+def test_buffer(spark):
+    now = F.timestamp_seconds(F.lit(9))
+    empty = spark.createDataFrame([], "id string, data array<float>, metadata map<string,string>, added_at timestamp, last_access timestamp, access_count bigint")
+    new = spark.createDataFrame([(c, [1.0, 2.0], {"k": "v"}) for c in "abcb"], "id string, data array<float>, metadata map<string,string>")
+    b = buffer.add(empty, new, now)
+    assert buffer.usage(b, 4).first().asDict() == {"vectors": 3, "bytes": 3 * (8 + 16 + 72), "memory_mb": 288 / (1 << 20), "usage": 0.75}
+    hits, b = buffer.get(b, spark.createDataFrame([("a",), ("a",), ("z",)], "id string"), now)
+    assert [(r.id, r.access_count) for r in hits.collect()] == [("a", 3)]
+    assert buffer.has(b, "b") and not buffer.has(b, "z") and buffer.ids(b).count() == 3
+    assert sorted(r.id for r in buffer.room_for_more(b, "lfu", 3).collect()) == ["a", "c"] and buffer.room_for_more(b, "lfu", 4).count() == 3
+    assert buffer.remove(b, spark.createDataFrame([("a",)], "id string")).count() == 2
+    due = spark.createDataFrame([(0.8, 0.0, 5, True), (0.79, 29.0, 5, False), (0.1, 30.0, 5, True), (0.0, 99.0, 0, False)], "s double, t double, n int, want boolean")
+    assert due.where(buffer.flush_due(F.col("s"), F.col("t"), F.col("n")) != F.col("want")).count() == 0
+
+
+def test_node_registry_refuses(spark):
+    nodes = spark.createDataFrame([("a", "x", 1, "healthy", 0.0)], "id string, address string, port int, status string, load_score double").withColumn("last_seen", F.current_timestamp())
+    now = F.current_timestamp()
+    for bad in ({"id": "", "address": "x", "port": 1}, {"id": "b", "address": "", "port": 1}, {"id": "b", "address": "x", "port": 0}, {"id": "a", "address": "x", "port": 1}):
+        with pytest.raises(ValueError):
+            topology.with_node(nodes, bad, now)
+    with pytest.raises(KeyError):
+        topology.without_node(nodes, "z")
+    assert topology.healthy_nodes(topology.with_node_status(nodes, "a", "offline", now)).count() == 0
+
+
 def test_parsers(spark):
     text = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     http = requests.from_http(text('{"id":"a","vector":[1,2],"metadata":{"k":"v"}}', '[{"id":"b","vector":[3]},{"id":"c","vector":[4]}]'))

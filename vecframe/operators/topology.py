@@ -246,3 +246,43 @@ def plan_report(nodes: int, has_filter: bool) -> dict:
     """Strategy, cost and latency (ms) that the planner would name."""
     strategy = "single" if nodes == 1 else "parallel" if nodes <= 3 else "broadcast" if nodes > 10 else "hybrid"
     return {"strategy": strategy, "cost": 1.0 + 0.5 * nodes + (0.3 if has_filter else 0.0), "latency_ms": 10 + {"single": 0, "parallel": 5, "broadcast": 20, "hybrid": 15}[strategy]}
+
+
+# -- the node registry: nodes as a table (id, address, port, status, load_score, last_seen, ...)
+
+
+def with_node(nodes: DataFrame, node: dict, now: Column) -> DataFrame:
+    """One node more, healthy and just seen; its id must be new and not empty, its address set, its port positive."""
+    if not node.get("id") or not node.get("address") or (node.get("port") or 0) <= 0:
+        raise ValueError("a node needs an id, an address and a positive port")
+    if not nodes.where(F.col("id") == node["id"]).isEmpty():
+        raise ValueError(f"node {node['id']} already exists")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    row = nodes.sparkSession.createDataFrame([tuple(node.get(f.name) for f in nodes.schema.fields)], kinds)
+    return nodes.unionByName(row.withColumns({"status": F.lit("healthy"), "last_seen": now}))
+
+
+def _known(nodes: DataFrame, id_: str) -> Column:
+    if nodes.where(F.col("id") == id_).isEmpty():
+        raise KeyError(f"node {id_} not found")
+    return F.col("id") == id_
+
+
+def without_node(nodes: DataFrame, id_: str) -> DataFrame:
+    return nodes.where(~_known(nodes, id_))
+
+
+def with_node_status(nodes: DataFrame, id_: str, status: str, now: Column) -> DataFrame:
+    own = _known(nodes, id_)
+    return nodes.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "last_seen": F.when(own, now).otherwise(F.col("last_seen"))})
+
+
+def with_capacity(nodes: DataFrame, id_: str, cpu: float, net: float, mem: float, vectors: float, now: Column) -> DataFrame:
+    """The node's load score from its new capacity."""
+    own = _known(nodes, id_)
+    score = load_score(*(F.lit(float(x)) for x in (cpu, net, mem, vectors)))
+    return nodes.withColumns({"load_score": F.when(own, score).otherwise(F.col("load_score")), "last_seen": F.when(own, now).otherwise(F.col("last_seen"))})
+
+
+def healthy_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.where("status = 'healthy'")

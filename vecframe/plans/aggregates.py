@@ -116,8 +116,46 @@ def pressure(spark, sf):
     return rows.select("event_id", "p.action", "p.delay_ms")
 
 
+#: A key's events by number, and a recursion over them: {first} and {next} give the columns of the state, `decision` among them.
+_FOLD = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, value / 50 AS load, CAST(event_type <> 'error' AS INT) AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, n, event_id, t, {first} FROM (SELECT *, {start} FROM e WHERE n = 1)
+UNION ALL SELECT user_id, n, event_id, t, {next} FROM (SELECT e.*, {before} FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, decision FROM s"""
+_SEVEN = "CAST(1 AS DOUBLE) / 7200"
+_FOLDS = {
+    # the bucket of a new key stays full
+    "token_bucket": ("3.0::DOUBLE AS tokens, 'allow' AS decision", "1 AS one", "CASE WHEN x >= 1 THEN x - 1 ELSE x END, CASE WHEN x >= 1 THEN 'allow' ELSE 'reject' END", f"least(3.0::DOUBLE, s.tokens + {_SEVEN} * (e.t - s.t)) AS x"),
+    "sliding_limiter": ("[t] AS seen, 'allow' AS decision", "1 AS one", "CASE WHEN len(x) < 3 THEN list_append(x, t) ELSE x END, CASE WHEN len(x) < 3 THEN 'allow' ELSE 'reject' END", "list_filter(s.seen, lambda y: y > e.t - 36000) AS x"),
+    "fixed_limiter": (
+        "t AS start, 1 AS used, 1 AS spare, 'allow' AS decision",
+        "1 AS one",
+        "b, CASE WHEN u < 3 THEN u + 1 ELSE u END, CASE WHEN u >= 3 AND p > 0 THEN p - 1 ELSE p END, CASE WHEN u < 3 OR p > 0 THEN 'allow' ELSE 'reject' END",
+        "CASE WHEN e.t - s.start >= 36000 THEN e.t ELSE s.start END AS b, CASE WHEN e.t - s.start >= 36000 THEN 0 ELSE s.used END AS u, CASE WHEN e.t - s.start >= 36000 THEN 1 ELSE s.spare END AS p",
+    ),
+    "load_circuit": ("load >= 0.9 AS opened, 'allow' AS decision", "1 AS one", "CASE WHEN o THEN load > 0.5 ELSE load >= 0.9 END, CASE WHEN o AND load > 0.5 THEN 'reject' ELSE 'allow' END", "s.opened AS o"),
+    "circuit_breaker": (
+        # two failures open it, and two successes after 7200 s close it
+        "'closed' AS kind, 1 - ok AS used, t AS since, 'closed' AS decision",
+        "1 AS one",
+        """CASE WHEN k = 'open' THEN 'open' WHEN ok = 1 THEN CASE WHEN k = 'half' AND c + 1 < 2 THEN 'half' ELSE 'closed' END WHEN k = 'half' OR c + 1 >= 2 THEN 'open' ELSE 'closed' END,
+        CASE WHEN k = 'open' THEN c WHEN ok = 1 THEN CASE WHEN k = 'half' AND c + 1 < 2 THEN c + 1 ELSE 0 END WHEN k = 'half' OR c + 1 >= 2 THEN 0 ELSE c + 1 END,
+        CASE WHEN k = 'open' THEN z WHEN ok = 1 THEN CASE WHEN k = 'half' AND c + 1 >= 2 THEN t ELSE z END WHEN k = 'half' OR c + 1 >= 2 THEN t ELSE z END,
+        CASE WHEN k = 'open' THEN 'reject' WHEN ok = 1 THEN CASE WHEN k = 'half' AND c + 1 < 2 THEN 'half_open' ELSE 'closed' END WHEN k = 'half' OR c + 1 >= 2 THEN 'open' ELSE 'closed' END""",
+        "CASE WHEN s.kind = 'open' AND e.t - s.since >= 7200 THEN 'half' ELSE s.kind END AS k, CASE WHEN s.kind = 'open' AND e.t - s.since >= 7200 THEN 0 ELSE s.used END AS c, s.since AS z",
+    ),
+    "consecutive_health": (
+        "ok AS up, 1 - ok AS down, 'healthy' AS decision",
+        "1 AS one",
+        "u, d, CASE WHEN d >= 3 THEN 'unhealthy' WHEN u >= 2 THEN 'healthy' ELSE was END",
+        "CASE WHEN e.ok = 1 THEN s.up + 1 ELSE 0 END AS u, CASE WHEN e.ok = 1 THEN 0 ELSE s.down + 1 END AS d, s.decision AS was",
+    ),
+}
+
+
 def _machine(name, machine, value=None):
-    @query(name)
+    first, start, after, before = _FOLDS[name]
+
+    @query(name, _FOLD.format(first=first, start=start, next=after, before=before))
     def run(spark, sf):
         e = events(spark, sf).select("event_id", "user_id", "ts", (F.col("value") / 50).alias("load"), (F.col("event_type") != "error").cast("double").alias("ok"))
         return S.fold(e, machine, "user_id", "ts", ("event_id",), value).select("event_id", "decision")
@@ -131,6 +169,21 @@ _machine("circuit_breaker", S.CircuitBreaker(2, 2, 7200), "ok")
 _machine("consecutive_health", S.ConsecutiveHealth(), "ok")
 
 
+_TREND = "CASE WHEN n > 1 THEN (load - f) / (n - 1) ELSE 0 END"
+
+
+@query(
+    "backpressure_adaptive",
+    f"WITH l AS (SELECT event_id, user_id, ts, value / 50 AS load FROM events), w AS (SELECT event_id, load, first_value(load) OVER x AS f, count(*) OVER x AS n FROM l WINDOW x AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), t AS (SELECT event_id, load + 0.2 * {_TREND} AS p, greatest(0.1, least(0.9, 0.7 - 0.1 * {_TREND})) AS w, greatest(0.1, least(0.9, 0.85 - 0.1 * {_TREND})) AS c FROM w) SELECT event_id, round(w, 9) AS warning, round(c, 9) AS critical, CASE WHEN p >= 0.95 THEN 'reject' WHEN p >= c THEN 'delay' WHEN p >= w THEN 'limit' ELSE 'allow' END AS action FROM t",
+)
+def adaptive_pressure(spark, sf):
+    """The trend moves the thresholds, and the predicted load is held against them."""
+    rows = S.load_trend(events(spark, sf).withColumn("load", F.col("value") / 50), ["user_id"], ["ts", "event_id"])
+    warning, critical, emergency = S.thresholds(F.col("trend"))
+    rows = rows.withColumns({"warning": warning, "critical": critical}).withColumn("p", S.backpressure(F.col("predicted"), F.col("warning"), F.col("critical"), emergency))
+    return rows.select("event_id", F.round("warning", 9).alias("warning"), F.round("critical", 9).alias("critical"), "p.action")
+
+
 @query("instrument_series", "SELECT 'cluster=' || event_type || ',service=' || CAST(user_id % 3 AS VARCHAR) AS label, le, CAST(sum(CASE WHEN value <= le THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events, (VALUES (1.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE), (1000.0::DOUBLE), (10000.0::DOUBLE), ('inf'::DOUBLE)) t(le) GROUP BY ALL")
 def instrument(spark, sf):
     labels = F.create_map(F.lit("service"), (F.col("user_id") % 3).cast("string"), F.lit("cluster"), F.col("event_type"))

@@ -51,7 +51,17 @@ def by_group(spark, sf):
     return _shown(topk.by_score(scored(spark, sf), 5, ("label",)), "label")
 
 
-@query("topk_diverse")
+# greedy: the best row at most 0.8 like all chosen ones, five times
+_GREEDY = """
+WITH RECURSIVE {Q}, {V}, {S}, x AS (SELECT s.label, s.id, s.score, v.v, row_number() OVER (PARTITION BY s.label ORDER BY s.score DESC, s.id) AS n, count(*) OVER (PARTITION BY s.label) AS c FROM s JOIN v USING (id)),
+g AS (SELECT label, n, [v] AS chosen, id, score, 1::BIGINT AS rank FROM x WHERE n = 1
+UNION ALL SELECT label, n, list_append(chosen, v), id, score, rank + 1 FROM (
+  SELECT x.*, g.chosen, g.rank, row_number() OVER (PARTITION BY x.label ORDER BY x.n) AS pick FROM g JOIN x ON x.label = g.label AND x.n > g.n
+  WHERE g.rank < 5 AND (x.c <= 5 OR len(list_filter(g.chosen, lambda y: list_cosine_similarity(y, x.v) > 0.8)) = 0)) WHERE pick = 1)
+SELECT label, id, round(score, 6) AS score, rank FROM g"""
+
+
+@query("topk_diverse", _GREEDY.format(Q=Q, V=V, S=S))
 def diverse(spark, sf):
     return _shown(topk.diverse(scored(spark, sf), 5, ("label",)), "label")
 
@@ -134,6 +144,6 @@ def sources(spark, sf):
     return M.with_sources(M.coordinator(rows, 20), rows).select("id", F.array_join("sources", ",").alias("sources"))
 
 
-@query("near_ties")
+@query("near_ties", f"WITH RECURSIVE {Q}, {V}, {SETS}, o AS (SELECT id, distance AS d, row_number() OVER (ORDER BY distance, id) AS n FROM sets), g AS (SELECT id, d, n, 1 AS k FROM o WHERE n = 1 UNION ALL SELECT * FROM (SELECT o.id, o.d, o.n, g.k + 1 FROM g JOIN o ON o.n > g.n AND o.d - g.d >= 0.001 WHERE g.k < 50 ORDER BY o.n LIMIT 1)) SELECT id, round(d, 6) + 0.0 AS distance FROM g")
 def near_ties(spark, sf):
     return M.collapse_near_ties(sets(spark, sf), 0.001, 50).select("id", r6(F.col("distance")).alias("distance"))

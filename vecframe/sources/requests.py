@@ -36,6 +36,16 @@ def from_redis(df: DataFrame, column: str = "value") -> DataFrame:
     return df.where(adds & (F.size(words) >= 3)).select(F.explode(pairs).alias("v")).select("v.id", "v.data", F.create_map().cast("map<string,string>").alias("metadata"))
 
 
+def redis_reply(column: Column) -> Column:
+    """What a client gets for a command line: PONG, OK, the number of arguments, or an error."""
+    words = F.split(F.trim(column), r"\s+")
+    name, n = F.upper(F.get(words, F.lit(0))), F.size(words) - 1
+    wrong = lambda c: F.lit(f"-ERR wrong number of arguments for '{c}' command\r\n")
+    known = F.when(name == "PING", F.lit("+PONG\r\n")).when(name == "VECTOR.ADD", F.when(n < 1, wrong("vector.add")).otherwise(F.lit("+OK\r\n")))
+    known = known.when(name == "VECTOR.MADD", F.when(n < 1, wrong("vector.madd")).otherwise(F.concat(F.lit(":"), n.cast("string"), F.lit("\r\n"))))
+    return F.when(F.trim(column) == "", F.lit("-ERR empty command\r\n")).otherwise(F.coalesce(known, F.concat(F.lit("-ERR unknown command '"), name, F.lit("'\r\n"))))
+
+
 def respond(results: DataFrame, by: str = "query_id", pretty: bool = False) -> DataFrame:
     """One JSON body a query: {"results": [...], "total": n}."""
     cols = [c for c in results.columns if c != by]

@@ -1,15 +1,18 @@
 """Vectors as Parquet segments: append, upsert, delete, compact, manifest.
 
-A table is <path>/vectors, partitioned by cluster_id, in files of at most
-SEGMENT rows; the manifest is an aggregate of it.  Rewrites go to a new folder and
-take its place by a rename, so a lost job leaves the old table.
+Data is never changed in place.  Each write puts a folder
+<path>/data/version=<n>/cluster_id=<c> for the clusters it touches, in files of
+at most SEGMENT rows, and then a manifest <path>/manifest/<n>: a row a folder, with its
+status.  The newest manifest that is whole (Parquet's _SUCCESS is written last) is the
+table, so a lost job or driver leaves the table as it was.  What a
+write replaces is `deleted` in the manifest until compact() drops it.
+
+Reads open the folders of the clusters or segments asked for, and no others.
 """
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import cluster_of_vector
@@ -18,6 +21,14 @@ from ..operators.validate import reject_reason, split
 SEGMENT = 10_000
 #: Codecs by the names of the reference.
 CODECS = {"none": "uncompressed", "lz4": "lz4", "gzip": "gzip", "zlib": "gzip", "flate": "gzip", "lzw": "snappy", "snappy": "snappy", "zstd": "zstd"}
+#: Sizes that are compressed at all: smaller ones don't pay, larger ones are left alone.
+LEAST_BYTES, MOST_BYTES = 1 << 10, 10 << 20
+ENTRY = "segment string, cluster_id bigint, vectors bigint, dim int, bytes bigint, crc32 bigint, status string, created bigint"
+
+
+def codec_for(size: int, codec: str = "zstd") -> str:
+    """The codec of data of this size: none under LEAST_BYTES and over MOST_BYTES."""
+    return CODECS[codec] if LEAST_BYTES <= size <= MOST_BYTES else "uncompressed"
 
 
 def prepare(rows: DataFrame, clusters: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -32,66 +43,131 @@ class VectorStore:
     def __init__(self, spark: SparkSession, path: str, codec: str = "zstd", segment: int = SEGMENT):
         self.spark, self.path, self.codec, self.segment = spark, path.rstrip("/"), CODECS[codec], segment
 
-    @property
-    def vectors(self) -> str:
-        return f"{self.path}/vectors"
+    # -- the manifest
 
-    def exists(self) -> bool:
+    def _fs(self, at: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def versions(self) -> list[int]:
+        """Numbers of the whole manifests."""
+        fs, at = self._fs(f"{self.path}/manifest")
+        if not fs.exists(at):
+            return []
+        names = [s.getPath() for s in fs.listStatus(at)]
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.vectors)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return sorted(int(n.getName()) for n in names if n.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+
+    def exists(self) -> bool:
+        return bool(self.versions())
+
+    def entries(self, version: int | None = None) -> DataFrame:
+        """A row a folder: segment (version-cluster), cluster_id, vectors, dim, bytes, crc32, status, created (version)."""
+        found = self.versions()
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/manifest/{version or found[-1]}") if found else self.spark.createDataFrame([], ENTRY)
+
+    def _publish(self, entries: DataFrame, version: int) -> None:
+        """Rows of a manifest: at most clusters times versions since the last compact()."""
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version}")
 
-    def read(self, clusters: list[int] | None = None, segments: list[str] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.vectors).withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
+    def set_status(self, segments: list[str], status: str) -> None:
+        """active, readonly, compacting or deleted; an unknown segment is an error."""
+        now = self.entries()
+        if now.where(F.col("segment").isin(segments)).count() != len(set(segments)):
+            raise KeyError("segment not found")
+        self._publish(with_status(now, segments, status), self._next())
+
+    def _next(self) -> int:
+        return (self.versions() or [0])[-1] + 1
+
+    def read(self, clusters: list[int] | None = None, segments: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+        live = self.entries().where("status <> 'deleted'")
         if clusters is not None:
-            df = df.where(F.col("cluster_id").isin(clusters))
+            live = live.where(F.col("cluster_id").isin(clusters))
         if segments is not None:
-            df = df.where(F.element_at(F.split(F.input_file_name(), "/"), -1).isin(segments))
-        return df
-
-    def _write(self, df: DataFrame, path: str, mode: str) -> None:
-        df.repartition("cluster_id").sortWithinPartitions("cluster_id", "id").write.mode(mode).option("compression", self.codec).option("maxRecordsPerFile", self.segment).partitionBy("cluster_id").parquet(path)
+            live = live.where(F.col("segment").isin(segments))
+        paths = [f"{self.path}/data/version={r.created}/cluster_id={r.cluster_id}" for r in live.select("created", "cluster_id").collect()]  # a row a folder
+        if not paths:
+            anywhere = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
+            return anywhere.where(F.lit(False)).withColumn("cluster_id", F.col("cluster_id").cast("bigint")).drop("version")
+        df = self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).withColumn("cluster_id", F.col("cluster_id").cast("bigint")).drop("version")
+        return df.where(F.col("cluster_id").isin(clusters)) if clusters is not None else df
+
+    # -- writes
+
+    def _put(self, rows: DataFrame, replaced: list[int] = ()) -> None:
+        """A new version: `rows`, in place of all that the replaced clusters have."""
+        version = self._next()
+        at = f"{self.path}/data/version={version}"
+        rows.repartition("cluster_id").sortWithinPartitions("cluster_id", "id").write.mode("overwrite").option("compression", self.codec).option("maxRecordsPerFile", self.segment).partitionBy("cluster_id").parquet(at)
+        old = self.entries()
+        if replaced:
+            old = old.withColumn("status", F.when(F.col("cluster_id").isin(list(replaced)), "deleted").otherwise(F.col("status")))
+        fs, p = self._fs(at)
+        new = old.limit(0)
+        if any(s.isDirectory() for s in fs.listStatus(p)):
+            written = self.spark.read.parquet(at).groupBy("cluster_id").agg(F.count("*").alias("vectors"), F.max(F.size("data")).alias("dim"), F.sum(4 * F.size("data")).cast("bigint").alias("bytes"), crc32().alias("crc32"))
+            new = written.select(F.concat_ws("-", F.lit(version), "cluster_id").alias("segment"), F.col("cluster_id").cast("bigint").alias("cluster_id"), "vectors", "dim", "bytes", "crc32", F.lit("active").alias("status"), F.lit(version).cast("bigint").alias("created"))
+        self._publish(old.unionByName(new), version)
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return [r.cluster_id for r in rows.select("cluster_id").distinct().collect()]  # clusters at most
 
     def append(self, rows: DataFrame) -> None:
-        """Rows whose id is new; the first by ts of ids that repeat among them."""
+        """Rows whose id is new; the first by ts of ids that repeat among them.
+
+        Of what is stored only ids are read, and only those of the batch go on (a small batch is sent to where the
+        ids are)."""
         if "ts" in rows.columns:
             w = Window.partitionBy("id").orderBy("ts", F.xxhash64("data"))
             rows = rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
         else:
             rows = rows.dropDuplicates(["id"])
         if self.exists():
-            rows = rows.join(self.read().select("id"), "id", "left_anti")
-        self._write(rows, self.vectors, "append")
-
-    def _replace(self, df: DataFrame) -> None:
-        new = f"{self.path}/new-{time.time_ns()}"
-        self._write(df, new, "errorifexists")
-        jvm = self.spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        old, at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/old-{time.time_ns()}"), jvm.org.apache.hadoop.fs.Path(self.vectors)
-        if fs.exists(at):
-            fs.rename(at, old)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(new), at)
-        fs.delete(old, True)
-        self.spark.catalog.refreshByPath(self.vectors)
+            known = self.read().select("id").join(rows.select("id"), "id", "left_semi")
+            rows = rows.join(known, "id", "left_anti")
+        self._put(rows)
 
     def upsert(self, rows: DataFrame) -> None:
-        """The newest row of each id stays."""
-        both = self.read().unionByName(rows, allowMissingColumns=True) if self.exists() else rows
-        self._replace(latest(both))
+        """The newest row of each id stays; only clusters that hold one of the ids are written anew."""
+        if not self.exists():
+            self._put(latest(rows))
+            return
+        ids = rows.select("id").distinct()
+        stored = self.read()
+        known = stored.join(ids, "id", "left_semi")
+        touched = self._touched(known)
+        best = latest(known.unionByName(rows, allowMissingColumns=True))
+        rest = self.read(touched).join(ids, "id", "left_anti") if touched else stored.limit(0)
+        self._put(rest.unionByName(best, allowMissingColumns=True), touched)
 
     def delete(self, ids: DataFrame) -> None:
-        self._replace(self.read().join(ids.select("id"), "id", "left_anti"))
+        """Only clusters that hold one of the ids are written anew."""
+        touched = self._touched(self.read().join(ids.select("id"), "id", "left_semi"))
+        if touched:
+            self._put(self.read(touched).join(ids.select("id"), "id", "left_anti"), touched)
 
-    def delete_where(self, predicate) -> int:
+    def delete_where(self, predicate: Column) -> int:
         rows = self.read()
         n = rows.where(predicate).count()
         if n:
-            self._replace(rows.where(~F.coalesce(predicate, F.lit(False))))
+            touched = self._touched(rows.where(predicate))
+            self._put(self.read(touched).where(~F.coalesce(predicate, F.lit(False))), touched)
         return n
 
     def compact(self) -> None:
-        self._replace(self.read())
+        """Clusters of several folders become one; `deleted` entries leave the manifest, and their folders the disk."""
+        live = self.entries().where("status <> 'deleted'")
+        many = [r.cluster_id for r in live.groupBy("cluster_id").count().where("count > 1").collect()]  # clusters at most
+        if many:
+            self._put(self.read(many), many)
+        gone = self.entries().where("status = 'deleted'").collect()  # folders since the last compact()
+        self._publish(without_deleted(self.entries()), self._next())
+        for r in gone:
+            fs, at = self._fs(f"{self.path}/data/version={r.created}/cluster_id={r.cluster_id}")
+            fs.delete(at, True)
+
+    # -- lookups
 
     def get(self, ids: list[str]) -> DataFrame:
         return self.read().where(F.col("id").isin(ids))
@@ -103,15 +179,13 @@ class VectorStore:
         return self.read().select("id")
 
     def count(self) -> int:
-        return self.read().count()
+        return int(self.entries().where("status <> 'deleted'").agg(F.coalesce(F.sum("vectors"), F.lit(0))).first()[0])
 
     def compression_ratio(self) -> float:
         """Bytes of the table's files over those of its numbers."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.vectors)
-        size = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-        raw = self.read().agg(F.sum(4 * F.size("data"))).first()[0] or 0
-        return size / raw if raw else 0.0
+        fs, at = self._fs(f"{self.path}/data")
+        raw = self.entries().agg(F.sum("bytes")).first()[0] or 0
+        return fs.getContentSummary(at).getLength() / raw if raw else 0.0
 
     def page(self, limit: int = 100, offset: int = 0) -> DataFrame:
         return self.read().orderBy("id").offset(offset).limit(limit)
@@ -122,15 +196,60 @@ class VectorStore:
         return df.groupBy("cluster_id", "segment").agg(F.count("*").alias("vectors"), F.max(F.size("data")).alias("dim"), F.sum(4 * F.size("data")).alias("bytes"), F.when(F.count("*") >= self.segment, "sealed").otherwise("active").alias("status"))
 
     def validate(self) -> DataFrame:
-        """Segments whose vectors differ in length or repeat an id."""
-        df = self.read().withColumn("segment", F.element_at(F.split(F.input_file_name(), "/"), -1))
-        return df.groupBy("cluster_id", "segment").agg(F.min(F.size("data")).alias("least"), F.max(F.size("data")).alias("greatest"), (F.count("*") - F.count_distinct("id")).alias("repeats")).where("least <> greatest or repeats > 0")
+        """Segments whose vectors differ in length, repeat an id, or are not those of the manifest (counts and crc32)."""
+        live = self.entries().where("status <> 'deleted'").select("cluster_id", "vectors", "crc32")
+        want = live.groupBy("cluster_id").agg(F.sum("vectors").alias("want"), F.expr("bit_xor(crc32)").alias("sum"))
+        got = self.read().groupBy("cluster_id").agg(F.min(F.size("data")).alias("least"), F.max(F.size("data")).alias("greatest"), (F.count("*") - F.count_distinct("id")).alias("repeats"), F.count("*").alias("vectors"), crc32().alias("crc32"))
+        return want.join(got, "cluster_id", "left").where("least <> greatest or repeats > 0 or vectors is null or vectors <> want or crc32 <> sum")
 
     def backup(self, to: str) -> None:
         self.read().write.mode("overwrite").partitionBy("cluster_id").parquet(to)
 
     def restore(self, source: str) -> None:
-        self._replace(self.spark.read.parquet(source).withColumn("cluster_id", F.col("cluster_id").cast("bigint")))
+        rows = self.spark.read.parquet(source).withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
+        self._put(rows, [r.cluster_id for r in self.entries().select("cluster_id").distinct().collect()])  # clusters at most
+
+
+def crc32() -> Column:
+    """A checksum of a segment's rows in any order."""
+    return F.expr("bit_xor(crc32(encode(concat_ws('|', id, array_join(cast(data AS array<string>), ',')), 'UTF-8')))")
+
+
+# -- manifests as tables
+
+
+def with_entry(entries: DataFrame, entry: dict) -> DataFrame:
+    """A manifest with one entry more; its segment must be new, and its dimension that of its cluster's others."""
+    if not entries.where(F.col("segment") == entry["segment"]).isEmpty():
+        raise ValueError("segment already added")
+    if not entries.where((F.col("cluster_id") == entry["cluster_id"]) & (F.col("dim") != entry["dim"])).isEmpty():
+        raise ValueError("vector dimension mismatch")
+    row = entries.sparkSession.createDataFrame([tuple(entry.get(f.name) for f in entries.schema.fields)], entries.schema)
+    return entries.unionByName(row)
+
+
+def without_entry(entries: DataFrame, segment: str) -> DataFrame:
+    if entries.where(F.col("segment") == segment).isEmpty():
+        raise KeyError("segment not found")
+    return entries.where(F.col("segment") != segment)
+
+
+def with_status(entries: DataFrame, segments: list[str], status: str) -> DataFrame:
+    return entries.withColumn("status", F.when(F.col("segment").isin(segments), status).otherwise(F.col("status")))
+
+
+def of_status(entries: DataFrame, status: str = "active") -> DataFrame:
+    """active or readonly segments."""
+    return entries.where(F.col("status") == status)
+
+
+def without_deleted(entries: DataFrame) -> DataFrame:
+    return entries.where("status <> 'deleted'")
+
+
+def manifest_totals(entries: DataFrame) -> DataFrame:
+    """status, segments, vectors, bytes."""
+    return entries.groupBy("status").agg(F.count("*").alias("segments"), F.sum("vectors").cast("bigint").alias("vectors"), F.sum("bytes").cast("bigint").alias("bytes"))
 
 
 def latest(rows: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
