@@ -8,7 +8,6 @@ where one text alone is larger, so memory does not follow the batch size.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import durable, shared_folder  # noqa: F401
+
 SLICE_BYTES = 8 << 20
 
 
@@ -35,31 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the folder that the session was given for checkpoints.
-
-    Where neither is set a new folder serves a local session only: on a cluster there is none that all executors share."""
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or (own.get() if own.isDefined() else None)
-    if not at and spark.sparkContext.master.startswith("local"):
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(at)
-    if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return at
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written once to spark.checkpoint.dir, which executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as a compressed table beside the checkpoints."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
