@@ -1,6 +1,7 @@
 """Second implementations of the operators, by brute force; for tests only."""
 
 import hashlib
+import itertools
 import math
 
 import xxhash
@@ -51,6 +52,21 @@ def near(docs, budget=4):
     return [(d, f"{prints[i]:016x}", least[root(i)]) for i, (d, _) in enumerate(docs)]
 
 
+def linked(edges):
+    """Each node that is not the least of its component, and that least node; for tests."""
+    comp: dict[int, int] = {}
+    for x in itertools.chain.from_iterable(edges):
+        comp.setdefault(x, x)
+    moved = True
+    while moved:
+        moved = False
+        for x, y in edges:
+            low = min(comp[x], comp[y])
+            moved |= comp[x] != low or comp[y] != low
+            comp[x] = comp[y] = low
+    return {x: low for x, low in comp.items() if x != low}
+
+
 def contamination(docs, items, window=13):
     """The rows of op9 from sets of tuples; for tests."""
     wins: dict[tuple, set[str]] = {}

@@ -281,6 +281,35 @@ def test_trie_join_finds_every_component(m):
     del up
 
 
+@pytest.mark.parametrize("bits", [12, 13, 32, 45])
+def test_finer_layouts_are_bounded_and_exact(bits):
+    rng = np.random.default_rng(bits)
+    fp = (np.uint64(5) << np.uint64(64 - bits)) | rng.integers(0, 1 << (64 - bits), 50).astype(np.uint64)
+    near = fp.copy()
+    for i in range(50):
+        for b in rng.integers(0, 64 - bits, 4).tolist():
+            near[i] ^= np.uint64(1 << b)
+    met = np.zeros(50, bool)
+    for order, fixed in simhash.finer(bits):
+        assert bits < fixed <= 64 and 64 - fixed <= simhash.FREE
+        a, b = simhash.arranged(fp, order), simhash.arranged(near, order)
+        assert (simhash.restored(a, order) == fp).all()
+        met |= a >> np.uint64(64 - fixed) == b >> np.uint64(64 - fixed)
+    assert met.all()
+
+
+def test_large_groups_are_dealt_again(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fp = sorted({rng.choice(base[:2] if i % 4 else base) ^ sum(1 << b for b in set(rng.choices(range(64), k=rng.randrange(6)))) for i in range(160)} | {rng.getrandbits(64) for _ in range(20)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(x),) for x in fp], "__fp long")
+    want = brute.linked([(x, y) for x, y in itertools.combinations(map(signed, fp), 2) if ((x ^ y) & (1 << 64) - 1).bit_count() <= 4])
+    for taken in (simhash.TAKEN, 8):
+        got = {r.u: r.v for r in components.components(simhash.links(table, len(fp), taken)).collect()}
+        assert got == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r.u: r.v for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}

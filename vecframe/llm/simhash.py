@@ -6,7 +6,11 @@ most BUDGET bits agree in at least m - BUDGET of any m blocks of bits; for
 each choice of m - BUDGET blocks the fingerprints are written with those
 bits first and dealt out by them, so every linked pair meets in some group,
 whatever m is; m only balances rows against pairs, and follows the number of
-fingerprints.  A group is a subtree of a binary trie (a sorted array is one:
+fingerprints.  A group that a sample of the fingerprints shows to be large (thousands of
+millions of near copies share most bits) is dealt again: two of its fingerprints differ
+in the bits that it has not fixed only, so these are cut in the same way, into so many blocks
+that FREE bits are left at most.  So a task holds at most 2^FREE fingerprints of such a group,
+whatever the data; the sample decides how rows are dealt, not which pairs meet.  A group is a subtree of a binary trie (a sorted array is one:
 a node is a range).  The self-join goes down pairs of nodes, adds up
 differing bits, and drops a pair when it is over the budget, or when
 both nodes lie in one component already, which keeps groups of
@@ -22,6 +26,7 @@ null (null if all are).  Columns may have any names; an empty table gives an emp
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 
@@ -38,8 +43,9 @@ from .components import components
 SHINGLE = 4
 BUDGET = 4
 SEED = 42
-#: Fingerprints of whole groups that a task takes at once, and node pairs.
+#: Fingerprints of whole groups that a task takes at once, bits that a large group's finer layouts leave free, and node pairs.
 TAKEN = 1 << 19
+FREE = 20
 PAIRS = 1 << 18
 
 
@@ -78,17 +84,44 @@ def blocks_for(n: int, budget: int = BUDGET) -> int:
     return min(range(budget + 1, budget + 5), key=cost)
 
 
-def layouts(m: int, budget: int = BUDGET) -> list[tuple[list[tuple[int, int]], int]]:
-    """For each choice of blocks: all blocks as (shift, bits), the chosen ones first, and the bits of those."""
-    edge = [64 * i // m for i in range(m + 1)]
+def layouts(m: int, budget: int = BUDGET, width: int = 64) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each choice of blocks of the last `width` bits: all blocks as (shift, bits), the bits before them
+    and the chosen ones first, and the number of those bits."""
+    edge = [width * i // m for i in range(m + 1)]
     cuts = [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    fixed = [(width, 64 - width)] if width < 64 else []
     out = []
     for pick in itertools.combinations(range(m), m - budget):
-        order = [cuts[i] for i in pick] + [cuts[i] for i in range(m) if i not in pick]
-        out.append((order, sum(cuts[i][1] for i in pick)))
+        order = [*fixed, *(cuts[i] for i in pick), *(cuts[i] for i in range(m) if i not in pick)]
+        out.append((order, 64 - width + sum(cuts[i][1] for i in pick)))
     return out
 
 
+def finer(bits: int, budget: int = BUDGET) -> list[tuple[list[tuple[int, int]], int]]:
+    """Layouts of a group that has fixed `bits` bits; they leave at most FREE bits free."""
+    width = 64 - bits
+    left = lambda m: budget * (width // m) + min(budget, width % m)
+    return layouts(next(m for m in range(budget + 1, 65) if left(m) <= FREE), budget, width)
+
+
+class Ways:
+    """All layouts by number: those of all fingerprints, then the finer ones of each."""
+
+    def __init__(self, m: int):
+        self.plan = layouts(m)
+        self.fine = {bits: finer(bits) for bits in {bits for _, bits in self.plan}}
+        counts = [len(self.fine[bits]) for _, bits in self.plan]
+        self.first = [len(self.plan) + n for n in itertools.accumulate(counts, initial=0)]
+
+    def of(self, k: int) -> tuple[list[list[tuple[int, int]]], int]:
+        """The arrangements of layout k, one after the other, and the bits that it fixes."""
+        if k < len(self.plan):
+            return [self.plan[k][0]], self.plan[k][1]
+        own = bisect.bisect_right(self.first, k) - 1
+        order, bits = self.fine[self.plan[own][1]][k - self.first[own]]
+        return [self.plan[own][0], order], bits
+
+
 def arranged(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros(len(fp), np.uint64)
     for shift, bits in order:
@@ -200,17 +233,30 @@ def trie_join(r: np.ndarray, depth: int, budget: int = BUDGET) -> list[tuple[int
     return forest.links
 
 
-def links(fps: DataFrame, count: int) -> DataFrame:
-    """u, v: links between distinct fingerprints (column __fp) that make their components."""
-    plan = layouts(blocks_for(count))
+def _row(k: int, r: np.ndarray, bits: int) -> pa.RecordBatch:
+    group = (r >> np.uint64(64 - bits)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(group), pa.array(r.view(np.int64))], names=["k", "g", "r"])
+
+
+def links(fps: DataFrame, count: int, taken: int = TAKEN) -> DataFrame:
+    """u, v: links between distinct fingerprints (column __fp) that make their components.
+
+    taken: about so many fingerprints make a group large, to be dealt by finer layouts."""
+    ways = Ways(blocks_for(count))
 
     def deal(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            for k, (order, bits) in enumerate(plan):
-                r = arranged(fp, order)
-                group = (r >> np.uint64(64 - bits)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(group), pa.array(r.view(np.int64))], names=["k", "g", "r"])
+            for k, (order, bits) in enumerate(ways.plan):
+                yield _row(k, arranged(fp, order), bits)
+
+    def deal_again(batches):
+        for batch in batches:
+            k, r, large = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~large)).select(["k", "g", "r"])
+            for own in np.unique(k[large]).tolist():
+                for j, (order, bits) in enumerate(ways.fine[ways.plan[own][1]]):
+                    yield _row(ways.first[own] + j, arranged(r[large & (k == own)], order), bits)
 
     def meet(batches):
         held: list[np.ndarray] = []
@@ -219,11 +265,13 @@ def links(fps: DataFrame, count: int) -> DataFrame:
         def done(parts):
             if not parts:
                 return
-            order, bits = plan[own]
+            orders, bits = ways.of(own)
             r = np.sort(np.concatenate(parts))
             if pairs := trie_join(r, bits):
-                i = np.array(pairs)
-                fp = restored(r, order).view(np.int64)
+                fp = r
+                for order in reversed(orders):
+                    fp = restored(fp, order)
+                i, fp = np.array(pairs), fp.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[i[:, 0]]), pa.array(fp[i[:, 1]])], names=["u", "v"])
 
         for batch in batches:
@@ -237,8 +285,8 @@ def links(fps: DataFrame, count: int) -> DataFrame:
                     held, own = [], int(k[start])
                 elif sum(map(len, held)) > TAKEN:
                     # groups are in order: all but the newest one are complete
-                    g = part >> np.uint64(64 - plan[own][1])
-                    before = held[-1][-1] >> np.uint64(64 - plan[own][1])
+                    free = np.uint64(64 - ways.of(own)[1])
+                    g, before = part >> free, held[-1][-1] >> free
                     cut = int(np.argmax(g != before)) if (g != before).any() else None
                     if cut is not None:
                         held.append(part[:cut])
@@ -247,7 +295,14 @@ def links(fps: DataFrame, count: int) -> DataFrame:
                 held.append(part)
         yield from done(held)
 
-    dealt = fps.select("__fp").mapInArrow(deal, "k int, g long, r long")
+    shape = "k int, g long, r long"
+    dealt = fps.select("__fp").mapInArrow(deal, shape)
+    if count > taken:  # else no group can be large
+        share = max(1, taken // 64)
+        some = fps.select("__fp").where(F.pmod(F.xxhash64("__fp"), F.lit(share)) == 0).mapInArrow(deal, shape)
+        large = durable(some.groupBy("k", "g").agg(F.count("*").alias("large")).where(F.col("large") >= max(1, taken * 3 // 4 // share)))
+        if groups := large.count():  # at most a row for each `taken` rows dealt, about
+            dealt = dealt.join(F.broadcast(large) if groups <= 1 << 20 else large, ["k", "g"], "left").select("k", "g", "r", "large").mapInArrow(deal_again, shape)
     near = dealt.repartition("k", "g").sortWithinPartitions("k", "g")
     return near.mapInArrow(meet, "u long, v long")
 
