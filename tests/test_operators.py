@@ -283,19 +283,25 @@ def test_state_machines():
     assert replay(stateful.SlidingWindow(2, 10), [(0, 0), (1, 0), (2, 0), (10, 0), (11, 0)]) == ["allow", "allow", "reject", "allow", "allow"]
     assert replay(stateful.FixedWindow(1, 10, 1), [(0, 0), (1, 0), (2, 0), (10, 0)]) == ["allow", "allow", "reject", "allow"]
     assert replay(stateful.LoadCircuit(), [(0, 0.95), (1, 0.7), (2, 0.5), (3, 0.6)]) == ["allow", "reject", "allow", "allow"]
+    with pytest.raises(ValueError):
+        stateful.LoadCircuit(0.5, 0.5)
     breaker = stateful.CircuitBreaker(2, 1, 10)
     assert replay(breaker, [(0, 0), (1, 0), (2, 1), (12, 1), (13, 0)]) == ["closed", "open", "reject", "closed", "closed"]
 
 
-def test_fold_equals_replay(spark):
+@pytest.mark.parametrize("machine", [stateful.SlidingWindow(3, 60), stateful.LoadCircuit(), stateful.LoadCircuit(0.6, 0.4), stateful.ConsecutiveHealth(), stateful.ConsecutiveHealth(1, 3)], ids=repr)
+def test_fold_equals_replay(spark, machine):
     rng = random.Random(2)
-    rows = [(i, rng.randrange(5), rng.randrange(1000)) for i in range(400)]
-    df = spark.createDataFrame(rows, "i int, k int, s int").withColumn("ts", F.timestamp_seconds("s"))
-    machine = stateful.SlidingWindow(3, 60)
-    got = {r.i: r.decision for r in stateful.fold(df, machine, "k", "ts", ("i",)).collect()}
+    value = (lambda: rng.random() < 0.6) if isinstance(machine, stateful.ConsecutiveHealth) else rng.random
+    rows = [(i, rng.randrange(5), rng.randrange(1000), float(value())) for i in range(400)]
+    rows[7:9] = [(7, 2, 30, float("nan")), (8, 2, 31, float("nan"))] if isinstance(machine, stateful.LoadCircuit) else rows[7:9]
+    df = spark.createDataFrame(rows, "i int, k int, s int, v double").withColumn("ts", F.timestamp_seconds("s"))
+    out = stateful.fold(df, machine, "k", "ts", ("i",), "v")
+    assert out.columns == [*df.columns, "decision"]
+    got = {r.i: r.decision for r in out.collect()}
     for k in range(5):
-        own = sorted((s, i) for i, kk, s in rows if kk == k)
-        assert [got[i] for _, i in own] == stateful.replay(machine, [(s, 0) for s, _ in own])
+        own = sorted((s, i, v) for i, kk, s, v in rows if kk == k)
+        assert [got[i] for _, i, _ in own] == stateful.replay(machine, [(s, v) for s, _, v in own])
 
 
 def test_percentile_forms_agree(spark):

@@ -4,7 +4,8 @@ A decision of these machines depends on earlier decisions, so each is a pure
 step (state, event) -> (state, decision) in Python.  A batch folds it over a key's
 events in order, streaming through Arrow batches that are sorted by key, so
 no key has to fit in memory; streaming/jobs.py runs the same steps on streams.
-What needs no decisions (load trend, thresholds) is windows and CASE.
+Where the state follows from the last event that set it (load circuit, consecutive health), a
+batch reads it by a window instead.  What needs no decisions (load trend, thresholds) is windows and CASE.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,12 +73,24 @@ class LoadCircuit:
     trip: float = 0.9
     recover: float = 0.5
 
+    def __post_init__(self):
+        if not self.recover < self.trip:
+            raise ValueError("a circuit recovers below the load that trips it")
+
     def step(self, state: tuple | None, t: float, value: float) -> tuple[tuple, str]:
         opened = bool(state and state[0])
         if opened:
             return ((False,), "allow") if value <= self.recover else ((True,), "reject")
         return (value >= self.trip,), "allow"
 
+    def by_window(self, df: DataFrame, load: Column, w: WindowSpec) -> DataFrame:
+        """The decisions of all rows; loads at `trip` or over open it, those at `recover` or under close it,
+        others (unknown ones too) leave it as it is."""
+        known = F.when(~F.isnan(load), load)
+        change = F.when(known >= self.trip, True).when(known <= self.recover, False)
+        opened = F.coalesce(F.last(change, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        return df.withColumn("decision", F.when(opened & ~F.coalesce(known <= self.recover, F.lit(False)), "reject").otherwise("allow"))
+
 
 @dataclass(frozen=True)
 class CircuitBreaker:
@@ -116,10 +129,20 @@ class ConsecutiveHealth:
         kind = "unhealthy" if down >= self.bad else "healthy" if up >= self.good else kind
         return (kind, up, down), kind
 
+    def by_window(self, df: DataFrame, value: Column, w: WindowSpec) -> DataFrame:
+        """The decisions of all rows: the last `bad` or `good` rows alike set the state, which lasts until the next such row."""
+        fine = F.coalesce(value != 0, F.lit(False))
+        alike = lambda which, n: F.sum(which.cast("int")).over(w.rowsBetween(1 - n, 0)) >= n
+        rows = df.withColumn("__set", F.when(alike(~fine, self.bad), "unhealthy").when(alike(fine, self.good), "healthy"))
+        kept = F.last("__set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("decision", F.coalesce(kept, F.lit("healthy"))).drop("__set")
+
 
 def fold(df: DataFrame, machine: Any, key: str, ts: str, order: tuple[str, ...] = (), value: str | None = None) -> DataFrame:
     """All columns of df and `decision`: the machine over each key's rows by time."""
     rows = df.withColumns({"__t": micros(F.col(ts)) / 1e6, "__v": F.col(value).cast("double") if value else F.lit(0.0), "__k": F.col(key).cast("string")})
+    if hasattr(machine, "by_window"):
+        return machine.by_window(rows, F.col("__v"), Window.partitionBy("__k").orderBy("__t", *order)).drop("__t", "__v", "__k")
     rows = rows.repartition(key).sortWithinPartitions("__k", "__t", *order)
 
     def run(batches):
