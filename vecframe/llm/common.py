@@ -7,7 +7,6 @@ where one text alone is larger, so memory does not follow the batch size.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,20 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import durable, shared_folder  # noqa: F401
+from ..sources.shared import durable, shared_folder, ship  # noqa: F401
 
 SLICE_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, whatever the driver's path is."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,7 +3,8 @@
 One query is a literal: distances are computed in the scan's stage and
 TakeOrderedAndProject keeps k rows a task, without a shuffle of vectors.  A
 batch is a DataFrame of queries, sent to the tasks in blocks of a checked
-size; a rank limit by query runs in each task before rows meet by query.
+size; products of matrices find each task's nearest rows before rows meet by
+query (other metrics: a rank limit by query over all pairs).
 Ties are broken by id.  A threshold is inclusive, and 0 or None is none.
 """
 
@@ -16,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from . import products
 
 DEFAULT_K, MAX_K = 10, 1000
 #: Numbers of a block of queries that may be broadcast.
 MAX_BROADCAST = 4_000_000
+#: The clamp of a query's own k.
+OWN_K = f"if(k is null or k <= 0, {DEFAULT_K}, least(k, {MAX_K}))"
 
 
 @dataclass(frozen=True)
@@ -78,10 +82,10 @@ def knn(vectors: DataFrame, query, k: int = DEFAULT_K, metric: str | None = None
     return out.select("id", "distance", D.score_metric(F.col("distance"), metric).alias("score"), "rank", *extra)
 
 
-def query_blocks(queries: DataFrame, most: int = MAX_BROADCAST):
-    """The queries in DataFrames whose numbers are at most `most`; one pass finds how many."""
+def query_blocks(queries: DataFrame, most: int | None = None, k: int = 1):
+    """The queries in DataFrames whose numbers, and results at k a query, are at most `most`; one pass finds how many."""
     n, size = queries.agg(F.count("*"), F.max(F.size("q"))).first()
-    blocks = max(1, -(-n * max(1, size or 1) // most))
+    blocks = max(1, -(-n * max(1, size or 1, k) // (most or MAX_BROADCAST)))
     if blocks == 1:
         yield queries
         return
@@ -93,21 +97,20 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric
     """query_id, id, distance, rank; queries have query_id, q and may have k and threshold."""
     rows = (vectors if where is None else vectors.where(where)).select("id", "data", *keep)
     own = [c for c in ("k", "threshold") if c in queries.columns]
-    out = None
-    for block in query_blocks(queries.select("query_id", "q", *own)):
-        if D.metric_name(metric) == "cosine":
-            # norms once a vector and once a query, not once a pair
-            own_rows, own_block = rows.withColumn("__a", D.norm(F.col("data"))), block.withColumn("__b", D.norm(F.col("q")))
-            product = F.when(F.size("data") == F.size("q"), D.inner_product(F.col("data"), F.col("q")))
-            distance = F.when(product.isNotNull(), D.cosine_of(product, F.col("__a"), F.col("__b")))
+    queries = queries.select("query_id", "q", *own)
+    if "k" in own:
+        k = queries.agg(F.max(F.expr(OWN_K))).first()[0] or DEFAULT_K
+    by_products, out = D.metric_name(metric) in products.METRICS and k is not None and k > 0, None
+    for block in query_blocks(queries, k=k if by_products else 1):
+        if by_products:
+            pairs = products.nearest(rows, block, k, D.metric_name(metric), keep)
         else:
-            own_rows, own_block, distance = rows, block, D.distance(F.col("data"), F.col("q"), metric)
-        pairs = own_rows.crossJoin(F.broadcast(own_block)).withColumn("distance", distance).where("distance is not null")
+            pairs = rows.crossJoin(F.broadcast(block)).withColumn("distance", D.distance(F.col("data"), F.col("q"), metric)).where("distance is not null")
         if "threshold" in own:
             pairs = pairs.where("threshold is null or threshold = 0 or distance <= threshold")
-        part = ranked(pairs.select("query_id", "id", "distance", *keep, *(["k"] if "k" in own else [])), MAX_K if "k" in own else k, ["query_id"])
+        part = ranked(pairs.select("query_id", "id", "distance", *keep, *(["k"] if "k" in own else [])), k, ["query_id"])
         if "k" in own:
-            part = part.where("rank <= if(k is null or k <= 0, 10, least(k, 1000))").drop("k")
+            part = part.where(f"rank <= {OWN_K}").drop("k")
         out = part if out is None else out.unionByName(part)
     return out
 

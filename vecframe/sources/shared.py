@@ -1,12 +1,22 @@
-"""The folder that the driver and all executors share, and tables written to it."""
+"""What the driver and all executors share: a folder, tables written to it, this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, whatever the driver's path is."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the folder that the session was given for checkpoints.
 
