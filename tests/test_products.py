@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecframe.functions import distance as D
-from vecframe.operators import products, search
-from vecframe.plans import registry
+from vecframe.operators import ivf, products, search
+from vecframe.plans import nearest, registry
 
 
 def plan(df):
@@ -75,3 +75,21 @@ def test_own_k_threshold_and_equal_queries(spark):
 def test_no_row_for_each_pair(spark, sf, name):
     got = plan(registry.QUERIES[name](spark, sf))
     assert "BroadcastNestedLoopJoin" not in got and "CartesianProduct" not in got
+
+
+@pytest.mark.parametrize("metric", products.METRICS)
+def test_batch_over_lists_equals_their_pairs(spark, metric):
+    rows = [r for r in odd_rows() if r[1] is None or all(x is None or x == 0 or 1e-150 < abs(x) < 1e150 for x in r[1])]
+    v = spark.createDataFrame(rows, "id string, data array<double>, n int")
+    q = v.select(F.col("id").alias("query_id"), F.col("data").alias("q"))
+    index = ivf.IVF.build(v, 9, metric)
+    pairs = index.lists.join(index.assigned_probes(q, 3), "list_id").withColumn("distance", D.distance(F.col("data"), F.col("q"), metric))
+    pairs = pairs.where(D.inner_product(F.col("data"), F.col("q")).isNotNull() & F.col("distance").isNotNull())
+    want = shown(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where("rank <= 5"))
+    assert want and shown(index.search_batch(q, 5, 3)) == want
+
+
+def test_recall_joins_no_vectors(spark, sf):
+    rows, q = registry.vectors(spark, sf), nearest.query_set(spark, sf)
+    got = plan(ivf.IVF.build(rows, 4, method="kmeans").search_batch(q, 10, 3)).split("== Physical Plan ==")[-1]
+    assert "HashJoin" not in got and "SortMergeJoin" not in got and "MapInArrow" in got

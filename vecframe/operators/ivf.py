@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from . import products
 from .search import query_blocks, ranked
 
 MAX_LISTS = 65_536
@@ -103,21 +104,28 @@ class IVF:
         return ranked(rows.select("id", "distance"), k)
 
     def search_batch(self, queries: DataFrame, k: int = 10, nprobe: int = 1) -> DataFrame:
-        """query_id, id, distance, rank.  Each query's lists are exploded and joined on list_id."""
-        out = None
-        for block in query_blocks(queries.select("query_id", "q")):
-            near = self.assigned_probes(block, nprobe)
-            pairs = self.lists.select("id", "data", "list_id").join(F.broadcast(near), "list_id")
-            pairs = pairs.withColumn("distance", D.distance(F.col("data"), F.col("q"), self.metric)).where("distance is not null")
+        """query_id, id, distance, rank.  A task meets each query with the rows of its lists only."""
+        out, name = None, D.metric_name(self.metric)
+        by_products = name in products.METRICS and k is not None and k > 0
+        for block in query_blocks(queries.select("query_id", "q"), k=max(k, nprobe) if by_products else 1):
+            if by_products:
+                pairs = products.nearest(self.lists, self.probe_lists(block, nprobe), k, name)
+            else:
+                pairs = self.lists.select("id", "data", "list_id").join(F.broadcast(self.assigned_probes(block, nprobe)), "list_id")
+                pairs = pairs.withColumn("distance", D.distance(F.col("data"), F.col("q"), self.metric)).where("distance is not null")
             part = ranked(pairs.select("query_id", "id", "distance"), k, ["query_id"])
             out = part if out is None else out.unionByName(part)
         return out
 
-    def assigned_probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
+    def probe_lists(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        """query_id, q and probes, the numbers of the nearest lists."""
         spark = queries.sparkSession
         table = spark.createDataFrame(list(enumerate(self.centroids)), "i bigint, c array<double>").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("t"))
         near = F.transform("t", lambda t: F.struct(D.distance(F.col("q"), t.c, self.metric).alias("d"), t.i.alias("i")))
-        return queries.crossJoin(F.broadcast(table)).select("query_id", "q", F.explode(F.slice(F.array_sort(near), 1, nprobe)).alias("x")).select("query_id", "q", F.col("x.i").alias("list_id"))
+        return queries.crossJoin(F.broadcast(table)).select("query_id", "q", F.transform(F.slice(F.array_sort(near), 1, nprobe), lambda x: x.i).alias("probes"))
+
+    def assigned_probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        return self.probe_lists(queries, nprobe).select("query_id", "q", F.explode("probes").alias("list_id"))
 
     def add(self, vectors: DataFrame) -> IVF:
         return IVF(self.lists.unionByName(self.assign(vectors, self.centroids, self.metric)), self.centroids, self.metric, self.spark)
