@@ -71,7 +71,7 @@ def test_own_k_threshold_and_equal_queries(spark):
     assert search.knn_batch(v, v.limit(0).select(F.col("id").alias("query_id"), F.col("data").alias("q")), 3).count() == 0
 
 
-@pytest.mark.parametrize("name", ["knn_batch_cosine", "scatter_gather"])
+@pytest.mark.parametrize("name", ["knn_batch_cosine", "scatter_gather", "knn_batch"])
 def test_no_row_for_each_pair(spark, sf, name):
     got = plan(registry.QUERIES[name](spark, sf))
     assert "BroadcastNestedLoopJoin" not in got and "CartesianProduct" not in got
