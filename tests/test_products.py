@@ -93,3 +93,21 @@ def test_recall_joins_no_vectors(spark, sf):
     rows, q = registry.vectors(spark, sf), nearest.query_set(spark, sf)
     got = plan(ivf.IVF.build(rows, 4, method="kmeans").search_batch(q, 10, 3)).split("== Physical Plan ==")[-1]
     assert "HashJoin" not in got and "SortMergeJoin" not in got and "MapInArrow" in got
+
+
+def test_a_list_of_most_rows_is_dealt_to_several_tasks(spark, tmp_path):
+    """Before, a list was one file, and one task met all of it with all its queries."""
+    far = spark.createDataFrame([(-1, [9.0]), (-2, [0.0])], "id long, data array<float>")
+    v = far.unionByName(spark.range(4000).select("id", F.array((F.col("id") % 50 / 1000).cast("float")).alias("data")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ivf.IVF.build(v, 2).save(str(tmp_path / "i"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    index = ivf.IVF.load(spark, str(tmp_path / "i"))
+    large = index.lists.groupBy("list_id", F.input_file_name().alias("f")).count().orderBy(F.desc("count")).first()
+    assert index.lists.count() == 4002 and large["count"] < 3500
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("data").alias("q"))
+    got = plan(index.search_batch(q, 3, 2))
+    assert "Join" not in got.split("== Physical Plan ==")[-1]
+    assert shown(index.search_batch(q, 3, 2)) == all_pairs(v, q, 3, "euclidean")

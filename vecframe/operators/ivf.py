@@ -143,8 +143,9 @@ class IVF:
         return self.lists.groupBy("list_id").agg(F.count("*").alias("vectors"))
 
     def save(self, path: str) -> None:
-        """Vectors by list under `path`, centroids beside them."""
-        self.lists.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        """Vectors by list under `path`, centroids beside them; a task a core writes a list, however large."""
+        share = F.pmod(F.xxhash64("id"), F.lit(self.lists.sparkSession.sparkContext.defaultParallelism))
+        self.lists.repartition("list_id", share).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
         self.spark.createDataFrame([(i, c, self.metric) for i, c in enumerate(self.centroids)], "i bigint, c array<double>, metric string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @classmethod
