@@ -77,6 +77,16 @@ def test_no_row_for_each_pair(spark, sf, name):
     assert "BroadcastNestedLoopJoin" not in got and "CartesianProduct" not in got
 
 
+def test_every_label_is_on_a_node(spark, sf, tmp_path):
+    """Before, vectors without a label were on no node and in no result."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    odd = F.expr("case when vec_id % 3 = 0 then null when vec_id % 7 = 0 then 99 when vec_id % 11 = 0 then -5 else label end")
+    rows.withColumn("label", odd.cast("int")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    v, q = registry.vectors(spark, str(tmp_path)), nearest.query_set(spark, str(tmp_path))
+    want = [(a, b, c) for a, b, c, _ in all_pairs(v, q, 10, "euclidean")]
+    assert want and [(a, b, c) for a, b, c, _ in shown(registry.QUERIES["scatter_gather"](spark, str(tmp_path)))] == want
+
+
 @pytest.mark.parametrize("metric", products.METRICS)
 def test_batch_over_lists_equals_their_pairs(spark, metric):
     rows = [r for r in odd_rows() if r[1] is None or all(x is None or x == 0 or 1e-150 < abs(x) < 1e150 for x in r[1])]

@@ -141,9 +141,9 @@ def knn_batch_cosine(spark, sf):
 
 @query("scatter_gather", _batch("euclidean", "v, qs"))
 def scatter(spark, sf):
-    """Two nodes with overlapping vectors, merged."""
+    """Two nodes with overlapping vectors, merged; every vector is on one of them, whatever its label."""
     rows, qs = vectors(spark, sf), query_set(spark, sf)
-    a, b = (search.knn_batch(rows.where(w), qs, 10).drop("rank") for w in ("label <= 6", "label >= 4"))
+    a, b = (search.knn_batch(rows.where(w), qs, 10).drop("rank") for w in ("label <= 6 or label is null", "label >= 4"))
     return _pairs(search.scatter_gather(a.unionByName(b), 10))
 
 
