@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -77,6 +78,30 @@ def test_no_row_for_each_pair(spark, sf, name):
     assert "BroadcastNestedLoopJoin" not in got and "CartesianProduct" not in got
 
 
+def test_few_pairs_are_worked_out_and_fewer_by_row_in_longer_tables(monkeypatch):
+    """Before, each of rows x queries was; now what a task works out and returns hardly grows with its rows."""
+    m = np.random.default_rng(7).normal(size=(16_000, 64)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    seen, distance = [], products.Queries._distance
+    monkeypatch.setattr(products.Queries, "_distance", lambda self, rows, r, side, q: seen.append(len(r)) or distance(self, rows, r, side, q))
+    vector = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, 64, dtype=np.int32)), pa.array(m.ravel()))
+    queries = pa.table({"query_id": pa.array(range(40)), "q": vector[:40].cast(pa.list_(pa.float64()))})
+    pairs = []
+    for n in (4_000, 16_000):
+        seen.clear()
+        batches = [pa.RecordBatch.from_arrays([vector[i : i + 1000], pa.array(range(i, i + 1000))], names=["data", "id"]) for i in range(0, n, 1000)]
+        out = list(products.Queries(queries, "euclidean", 10, ["query_id"]).scan(iter(batches), ["query_id", "distance", "id"]))
+        assert sum(b.num_rows for b in out) == 400
+        pairs.append(sum(seen))
+    assert pairs[0] < 40 * 4_000 / 20 and pairs[1] < 2 * pairs[0]
+
+
+def test_rows_of_one_file_are_dealt_to_all_cores(spark, sf):
+    rows, q = registry.vectors(spark, sf), nearest.query_set(spark, sf)
+    assert rows.rdd.getNumPartitions() == 1
+    assert products.nearest(rows, q, 10, "euclidean").rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
 def test_every_label_is_on_a_node(spark, sf, tmp_path):
     """Before, vectors without a label were on no node and in no result."""
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
