@@ -96,6 +96,53 @@ def test_few_pairs_are_worked_out_and_fewer_by_row_in_longer_tables(monkeypatch)
     assert pairs[0] < 40 * 4_000 / 20 and pairs[1] < 2 * pairs[0]
 
 
+def kinds_of_vectors():
+    """(vectors, whether single precision tells their distances apart) by name."""
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(3000, 24))
+    some = np.repeat(rng.normal(size=(60, 24)), 50, axis=0)
+    return {
+        "plain": (plain, True),
+        "whole numbers with ties": (rng.integers(-2, 3, size=(3000, 24)).astype(float), True),
+        "near copies": (some + rng.normal(size=some.shape) * 1e-9, None),
+        "far from zero": (plain + 1e5, False),
+        "small and large": (plain * 10.0 ** rng.integers(-16, 17, size=3000)[:, None], None),
+        "too small for single precision": (plain * 1e-30, False),
+    }
+
+
+@pytest.mark.parametrize("metric", products.METRICS)
+@pytest.mark.parametrize("name", kinds_of_vectors())
+def test_bounds_are_single_first_and_lose_no_pair(name, metric, monkeypatch):
+    """Before, all bounds were products in double precision, which take twice the time."""
+    m, told = kinds_of_vectors()[name]
+    used, near = {np.float32: 0, np.float64: 0}, products.Queries._near
+
+    def counted(self, rows, side, some, last):
+        used[side.factors.dtype.type] += len(some) * len(rows.square)
+        return near(self, rows, side, some, last)
+
+    monkeypatch.setattr(products.Queries, "_near", counted)
+    worked, distance = [], products.Queries._distance
+    monkeypatch.setattr(products.Queries, "_distance", lambda self, rows, r, side, q: worked.append(len(r)) or distance(self, rows, r, side, q))
+    vector = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
+    queries = products.Queries(pa.table({"query_id": pa.array(range(30)), "q": vector.take(pa.array(range(0, 3000, 100)))}), metric, 10, ["query_id"])
+    batches = [pa.RecordBatch.from_arrays([vector[i : i + 1000], pa.array(range(i, i + 1000))], names=["data", "id"]) for i in range(0, 3000, 1000)]
+    got = [r for b in queries.scan(iter(batches), ["query_id", "distance", "id"]) for r in b.to_pylist()]
+    assert used[np.float32] == 30 * 3000
+    if told:
+        assert used[np.float64] < used[np.float32] / 10
+    if told is False:
+        assert used[np.float64] == 30 * 3000
+    assert sum(worked) < 30 * 3000 / 4
+    rows, side = products.Side(m, metric, False), products.Side(m[::100], metric, True)
+    for q in range(30):
+        d = distance(queries, rows, np.arange(3000), side, np.full(3000, q))
+        best = np.lexsort((np.arange(3000), d))[:10]
+        found = sorted((r for r in got if r["query_id"] == q), key=lambda r: (r["distance"], r["id"]))
+        assert [(r["id"], r["distance"]) for r in found] == [(i, d[i]) for i in best.tolist()]
+
+
 def test_rows_of_one_file_are_dealt_to_all_cores(spark, sf):
     rows, q = registry.vectors(spark, sf), nearest.query_set(spark, sf)
     assert rows.rdd.getNumPartitions() == 1

@@ -2,10 +2,12 @@
 
 A task gets rows in the order of their ids and holds the k nearest of every
 query so far.  A matrix product bounds the distances of a batch from below,
-with a margin for rounding that its terms carry; only pairs whose bound is
-within the query's k-th distance are worked out, number by number in the
-order of ``distance``, and these results alone are compared and returned.
-Numbers too large or small for the bounds, and NaN, are always worked out.
+with a margin for rounding that its terms carry: first in single precision,
+then in double for queries that this leaves too many pairs.  Only pairs
+whose bound is within the query's k-th distance are worked out, number by
+number in the order of ``distance``, and these results alone are compared
+and returned.  Numbers too large or small for both bounds, and NaN, are
+always worked out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from ..sources.shared import ship
 
 METRICS = ("euclidean", "cosine", "dotproduct")
 #: Numbers of a block of products, pairs that are worked out at once, and rows of a batch of results.
-CELLS, PAIRS, ROWS = 2_000_000, 1 << 17, 100_000
+CELLS, PAIRS, ROWS = 1_000_000, 1 << 17, 100_000
 NONE = np.int64(2**62)
 
 
@@ -60,26 +62,44 @@ def first_copies(m: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[nth < k])
 
 
+def counts(flat: np.ndarray, n: int, width: int) -> np.ndarray:
+    """How many of the sorted places are in each of n rows of this width."""
+    return np.diff(np.searchsorted(flat, np.arange(n + 1) * width))
+
+
+def above(x: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The numbers as this kind, none of them less."""
+    return x if x.dtype == kind else np.nextafter(x.astype(kind), kind.type(np.inf))
+
+
+class Factors:
+    """Factors of the products in one precision, with a margin for its rounding."""
+
+    def __init__(self, m: np.ndarray, square: np.ndarray, norm: np.ndarray, metric: str, query: bool, kind: type):
+        small, large, unit = (1e-20, 1e20, 2.0**-24) if kind is np.float32 else (1e-290, 1e290, 2.0**-53)
+        self.odd = ~(square < large) | ((square < small) & m.any(1))
+        #: 16 times what rounding can add up to, of the squared norms
+        self.margin = 16 * (m.shape[1] + 16) * unit
+        self.square = np.where(self.odd, 0.0, square)
+        plain = np.where(self.odd[:, None], 0.0, m)
+        if metric == "cosine":
+            plain /= np.where(self.odd | (norm == 0), 1.0, norm)[:, None]
+        own = 1.0 if query else {"euclidean": 1 - self.margin, "cosine": 0.0, "dotproduct": -self.margin}[metric] * self.square
+        self.slack = ((0.0 if metric == "cosine" else 2 * self.margin) * self.square).astype(kind)
+        by = 1.0 if query else -2.0 if metric == "euclidean" else -1.0
+        self.factors = np.column_stack([plain * by, np.broadcast_to(own, len(m))]).astype(kind)
+
+
 class Side:
     """Vectors of one length: their numbers by place, norms, and factors of the products."""
 
     def __init__(self, m: np.ndarray, metric: str, query: bool):
-        self.columns, n = np.ascontiguousarray(m.T), m.shape[1]
+        self.columns = np.ascontiguousarray(m.T)
         self.square = np.zeros(len(m))
         for x in self.columns:
             self.square += x * x
         self.norm = np.sqrt(self.square)
-        self.odd = ~(self.square < 1e290) | ((self.square < 1e-290) & m.any(1))
-        #: 16 times what rounding can add up to, of the squared norms
-        self.margin = 16 * (n + 16) * 2.0**-53
-        square = np.where(self.odd, 0.0, self.square)
-        plain = np.where(self.odd[:, None], 0.0, m)
-        if metric == "cosine":
-            plain /= np.where(self.odd | (self.norm == 0), 1.0, self.norm)[:, None]
-        own = 1.0 if query else {"euclidean": 1 - self.margin, "cosine": 0.0, "dotproduct": -self.margin}[metric] * square
-        self.slack = (0.0 if metric == "cosine" else 2 * self.margin) * square
-        by = 1.0 if query else -2.0 if metric == "euclidean" else -1.0
-        self.factors = np.column_stack([plain * by, np.broadcast_to(own, len(m))])
+        self.single, self.double = (Factors(m, self.square, self.norm, metric, query, kind) for kind in (np.float32, np.float64))
 
 
 class Queries:
@@ -156,33 +176,55 @@ class Queries:
         return came
 
     def _pairs(self, rows: Side, place: np.ndarray, side: Side, base: int, some: np.ndarray) -> bool:
-        k, e, square = self.k, side.margin, side.square[some]
+        last, n = self.near[base + some, self.k - 1], len(place)
+        flat, came = self._near(rows.single, side.single, some, last), False
+        loose = np.flatnonzero(counts(flat, len(some), n) > 8 * self.k)
+        if len(loose):
+            q, r = np.divmod(self._near(rows.double, side.double, some[loose], last[loose]), n)
+            flat = np.concatenate([flat[~np.isin(flat // n, loose)], loose[q] * n + r])
+        for lo in range(0, len(flat), PAIRS):
+            q, r = np.divmod(flat[lo : lo + PAIRS], n)
+            q = some[q]
+            came |= self._merge(base + q, self._distance(rows, r, side, q), place[r])
+        return came
+
+    def _near(self, rows: Factors, side: Factors, some: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The pairs, query's place x rows + row's, whose bound is within the query's k-th distance, here or in `last`."""
+        k, e, square, odd = self.k, side.margin, side.square[some], side.odd[some]
         low = side.factors[some] @ rows.factors.T
-        last = self.near[base + some, k - 1]
         if self.metric == "euclidean":
             most = last * last * (1 + 1e-12) - (1 - e) * square + 1e-300
         elif self.metric == "cosine":
             most = last - 1 + 4 * e
         else:
             most = last + e * square + 1e-12 * np.abs(last) + 1e-300
-        odd = side.odd[some]
-        near = ~(low > most[:, None])
-        many = np.flatnonzero((np.count_nonzero(near, axis=1) > 4 * k) & ~odd)
-        if len(many) and len(place) - np.count_nonzero(rows.odd) >= k:
+
+        def tighten(which: np.ndarray) -> None:
             # k rows of this block alone are as near as their upper bounds say
-            high = low[many] + rows.slack
-            high[:, rows.odd] = np.inf
-            high = np.partition(high, k - 1, axis=1)[:, k - 1]
-            own = 4 * e if self.metric == "cosine" else 2 * e * square[many] + 1e-12 * (np.abs(high) + 2 * square[many]) + 1e-300
-            near[many] = ~(low[many] > np.fmin(most[many], high + own)[:, None])
-        near[odd] = True
-        near[:, rows.odd] = True
-        flat, came = np.flatnonzero(near), False
-        for lo in range(0, len(flat), PAIRS):
-            q, r = np.divmod(flat[lo : lo + PAIRS], len(place))
-            q = some[q]
-            came |= self._merge(base + q, self._distance(rows, r, side, q), place[r])
-        return came
+            high = (low if len(which) == len(low) else low[which]) + rows.slack
+            if rows.odd.any():
+                high[:, rows.odd] = np.inf
+            high = np.partition(high, k - 1, axis=1)[:, k - 1].astype(np.float64)
+            own = 4 * e if self.metric == "cosine" else 2 * e * square[which] + 1e-12 * (np.abs(high) + 2 * square[which]) + 1e-300
+            most[which] = np.fmin(most[which], high + own)
+
+        enough = low.shape[1] - np.count_nonzero(rows.odd) >= k
+        fresh = np.isnan(most) & ~odd
+        if enough and fresh.any():
+            tighten(np.flatnonzero(fresh))
+        most[np.isnan(most)] = np.inf
+        near = low <= above(most, low.dtype)[:, None]
+        flat = np.flatnonzero(near)
+        many = np.flatnonzero((counts(flat, *low.shape) > 4 * k) & ~fresh & ~odd)
+        if enough and len(many):
+            tighten(many)
+            near[many] = low[many] <= above(most[many], low.dtype)[:, None]
+            flat = np.flatnonzero(near)
+        if odd.any() or rows.odd.any():
+            near[odd] = True
+            near[:, rows.odd] = True
+            flat = np.flatnonzero(near)
+        return flat
 
     def _distance(self, rows: Side, r: np.ndarray, side: Side, q: np.ndarray) -> np.ndarray:
         total = np.zeros(len(r))
